@@ -349,7 +349,7 @@ def _scan(df: DataFrame, recs: list[Rec], wanted: set[str], tiles: Tiles) -> Dat
         if r.out in EMA_SPANS:
             x, n = EMA_SPANS[r.out]
             seed = f"first(CASE WHEN bar_idx = {n - 1} THEN _run_{x} / {n}D END, true) {full}"
-            outs.append(F.expr(f"CASE WHEN bar_idx < {n - 1} THEN coalesce({seed}, 0D) ELSE {r.out} END AS {r.out}"))
+            outs.append(F.expr(f"CASE WHEN bar_idx < {n} THEN coalesce({seed}, 0D) ELSE {r.out} END AS {r.out}"))
         else:
             outs.append(F.col(r.out))
     return df.select(*before, *outs)

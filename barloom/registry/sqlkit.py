@@ -197,7 +197,7 @@ def features_cte(names: list[str], source: str = "events", out: str = "f") -> st
 
 
 def rounded(cols: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+    return ", ".join(f"CAST(round({c}, {digits}) AS DOUBLE) + 0.0 AS {c}" for c in cols)
 
 
 def feature_query(names: list[str], source: str = "events") -> str:
