@@ -8,6 +8,7 @@ from ..functions import meta as M
 from ..functions import rules as R
 from ..functions.indicators import ALL_FEATURES, BASE_FEATURES, STATEFUL, features, tiled_features
 from ..operators.tiling import Tiles, drop_halo
+from ..session import materialize
 from . import sqlkit as Q
 from .common import Registry, bars_of, rounded
 
@@ -119,7 +120,8 @@ sweep AS (
 
 def train_stats(spark, d):
     f = features(bars_of(spark, d), STAT_FEATURES)
-    return M.feature_stats(f.filter(F.col("bar_idx") < TRAIN_END), STAT_FEATURES)
+    stats = M.feature_stats(f.filter(F.col("bar_idx") < TRAIN_END), STAT_FEATURES)
+    return materialize(stats, "stats")  # one row per feature, read by several branches
 
 
 def candidates(spark, d):
