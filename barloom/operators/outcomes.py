@@ -49,7 +49,8 @@ def _sql(value) -> str:
 def entries(prep: DataFrame, strategies: list[Strategy], ends: DataFrame | None = None, tiles: Tiles = Tiles()) -> DataFrame:
     """One row per (strategy, signal): entry price, initial stop and target.
 
-    ``ends`` (symbol, end_idx) bounds the series; by default its last bar.
+    ``ends`` (symbol, grp, lo_idx, end_idx) gives the windows signals may lie in,
+    one group of events per window; by default the whole series is group 0.
     """
     calls = {"r_atr": lag("ATR14"), "r_volz": lag("VolZ20"), "r_close": lag("close")}
     for i, s in enumerate(strategies):
@@ -88,14 +89,29 @@ def entries(prep: DataFrame, strategies: list[Strategy], ends: DataFrame | None
     )
     if ends is None:
         ends = prep.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("end_idx"))
+        ends = ends.selectExpr("symbol", "0L AS grp", "0L AS lo_idx", "end_idx")
     keep = ["symbol", "strategy", "sid", "entry_idx", "entry_ms", "dir", "entry_price", "stop", "target",
             "trail_kind", "trail_k", "fee", "slip", "max_hold"]
-    return ev.select(*keep).join(ends, "symbol").filter("entry_idx < end_idx")
+    return windowed(ev.select(*keep), ends, "entry_idx").filter("entry_idx - 1 >= lo_idx").drop("lo_idx")
+
+
+def windowed(rows: DataFrame, windows: DataFrame, idx: str, tile: int = 8192) -> DataFrame:
+    """Rows joined with the windows ``[lo_idx, end_idx)`` of their symbol that hold them.
+
+    Windows are spread over the tiles they touch, so the join has an equality
+    key even for a symbol with very many rows and windows.
+    """
+    spread = windows.withColumn("_t", F.explode(F.expr(f"sequence(lo_idx div {tile}, (end_idx - 1) div {tile})")))
+    joined = rows.withColumn("_t", F.expr(f"{idx} div {tile}")).join(spread, ["symbol", "_t"])
+    return joined.filter(F.expr(f"{idx} >= lo_idx AND {idx} < end_idx")).drop("_t")
 
 
 def slip_sql(volz: str, slip: str = "slip") -> str:
-    """Slippage as a fraction; thin volume on the reference bar multiplies it."""
-    return f"({slip} / 1e4D * CASE WHEN {volz} < -2 THEN 4 WHEN {volz} < -1 THEN 2 ELSE 1 END)"
+    """Slippage as a fraction; thin volume on the reference bar multiplies it.
+
+    The bounds leave room for rounding: counts give scores of exactly -1 and -2.
+    """
+    return f"({slip} / 1e4D * CASE WHEN {volz} < -2.000000001D THEN 4 WHEN {volz} < -1.000000001D THEN 2 ELSE 1 END)"
 
 
 def path_bars(prep: DataFrame, strategies: list[Strategy], tiles: Tiles = Tiles()) -> DataFrame:
@@ -151,7 +167,7 @@ def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> Data
         "CASE trail_kind WHEN 1 THEN CASE WHEN atr > 0 THEN dir * close - trail_k * atr END "
         "WHEN 2 THEN CASE WHEN bar_idx > 50 THEN CASE WHEN dir = 1 THEN low51 ELSE -high51 END END END"))
     if trailing:
-        over = ("OVER (PARTITION BY symbol, bucket, sid, entry_idx ORDER BY bar_idx "
+        over = ("OVER (PARTITION BY symbol, bucket, sid, grp, entry_idx ORDER BY bar_idx "
                 "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         j = j.withColumn("ss", F.expr(f"greatest(live, max(cut) {over})"))
     else:
@@ -171,7 +187,7 @@ def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> Data
                 WHEN code IS NOT NULL THEN open * (1 - dir * sl) END AS px""",
         "CASE WHEN code IS NOT NULL THEN bar_idx END AS hit",
     )
-    keys = ["symbol", "bucket", "sid", "entry_idx"]
+    keys = ["symbol", "bucket", "sid", "grp", "entry_idx"]
     same = [c for c in events.columns if c not in keys and c not in ("live", "strategy")]
     return j.groupBy(*keys, "strategy").agg(
         *[F.first(c).alias(c) for c in same],
@@ -187,10 +203,10 @@ def _close(out: DataFrame) -> DataFrame:
     """Fill in end-of-data exits; compute pnl and hold."""
     names = "map(" + ", ".join(f"{k}, '{v}'" for k, v in REASONS.items()) + ")"
     out = out.selectExpr(
-        "strategy", "sid", "symbol", "dir", "entry_idx - 1 AS signal_idx", "entry_idx", "entry_ms", "entry_price", "stop", "target",
+        "strategy", "sid", "grp", "symbol", "dir", "entry_idx - 1 AS signal_idx", "entry_idx", "entry_ms", "entry_price", "stop", "target",
         "fee", "slip", "end_idx", "coalesce(exit_idx, last_idx) AS exit_idx", "coalesce(exit_ms, last_ms) AS exit_ms",
         f"coalesce(exit_price, last_close * (1 - dir * {slip_sql('last_volz')})) AS exit_price",
-        f"element_at({names}, coalesce(exit_code, 8)) AS reason",
+        f"element_at({names}, coalesce(exit_code, 8)) AS reason", "last_close",
     )
     return out.selectExpr(
         "*", "dir * (exit_price / entry_price - 1) - 2 * fee / 1e4D AS pnl", "exit_idx - entry_idx + 1 AS hold"
@@ -208,12 +224,12 @@ def excursions(trades: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
 
     ``horizon`` must be at least the longest hold.
     """
-    j = next_bars(trades.select("symbol", "sid", "strategy", "dir", "entry_idx", "exit_idx", "entry_price"), bars, horizon)
+    j = next_bars(trades.select("symbol", "sid", "grp", "strategy", "dir", "entry_idx", "exit_idx", "entry_price"), bars, horizon)
     j = j.filter("bar_idx <= exit_idx")
-    return j.groupBy("symbol", "bucket", "sid", "strategy", "entry_idx").agg(
+    return j.groupBy("symbol", "bucket", "sid", "grp", "strategy", "entry_idx").agg(
         (F.max(F.expr("CASE WHEN dir = 1 THEN high / entry_price - 1 ELSE 1 - low / entry_price END"))).alias("mfe"),
         (F.min(F.expr("CASE WHEN dir = 1 THEN low / entry_price - 1 ELSE 1 - high / entry_price END"))).alias("mae"),
-    ).drop("bucket", "sid")
+    ).drop("bucket", "sid", "grp")
 
 
 def violations(trades: DataFrame) -> DataFrame:

@@ -62,12 +62,12 @@ def walk_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": row["sid"], "grp": row["grp"], "symbol": row["symbol"], "signal_idx": signals[taken]})
 
 
-def select_trades(labels: DataFrame, cooldown: dict[int, int], max_losses: dict[int, int], group: str | None = None) -> DataFrame:
-    """Non-overlapping trades per (strategy, symbol[, group column])."""
+def select_trades(labels: DataFrame, cooldown: dict[int, int], max_losses: dict[int, int]) -> DataFrame:
+    """Non-overlapping trades per (strategy, window group, symbol)."""
     labels = materialize(labels, "labels")  # read three times below
     cool = F.element_at(F.create_map(*[F.lit(v) for kv in cooldown.items() for v in kv]), F.col("sid"))
     slim = labels.select(
-        "sid", (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("grp"), "symbol", "signal_idx", "exit_idx",
+        "sid", "grp", "symbol", "signal_idx", "exit_idx",
         cool.cast("long").alias("cooldown"), F.expr(f"signal_idx div {TILE_BARS}").alias("tile"),
     )
     series = ["sid", "grp", "symbol"]
@@ -76,8 +76,7 @@ def select_trades(labels: DataFrame, cooldown: dict[int, int], max_losses: dict[
     arrivals = steps.groupBy(*series).applyInPandas(fold_tiles, f"{head}, free_in long")
     taken = slim.join(arrivals, [*series, "tile"]).groupBy(*series, "tile").applyInPandas(
         walk_tile, "sid int, grp long, symbol string, signal_idx long")
-    keyed = labels.withColumn("grp", F.col(group).cast("long") if group else F.lit(0).cast("long"))
-    trades = keyed.join(taken, [*series, "signal_idx"], "left_semi")
+    trades = labels.join(taken, [*series, "signal_idx"], "left_semi")
     limits = {k: v for k, v in max_losses.items() if v > 0}
     return stop_after_losses(materialize(trades, "trades"), limits) if limits else trades
 

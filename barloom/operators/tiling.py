@@ -42,19 +42,26 @@ def tile_window(tile: str = "tile", idx: str = "bar_idx", key: str = "symbol"):
     return Window.partitionBy(key, tile).orderBy(idx)
 
 
-def running_offset(totals: DataFrame, keys: list[str], part: str, value: str, out: str, fan: int = 4096) -> DataFrame:
-    """Exclusive running sum of ``value`` over the dense-ish integer ``part``.
+def running_offset(
+    totals: DataFrame, keys: list[str], part: str, value: str | list[str], out: str | list[str], fan: int = 4096
+) -> DataFrame:
+    """Exclusive running sum of one or more columns over the integer ``part``.
 
     Two levels: inside groups of ``fan`` parts, then over the group totals, so
     the widest window holds 1/fan of the parts.
     """
-    totals = totals.withColumn("_grp", F.floor(F.col(part) / fan))
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    totals = totals.withColumn("_grp", F.expr(f"({part}) div {fan}"))
     w = Window.partitionBy(*keys, "_grp").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    inner = totals.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0) * F.col(value)))
+    inner = totals.select("*", *[
+        F.coalesce(F.sum(v).over(w), F.lit(0) * F.col(v)).alias(o) for v, o in zip(values, outs)])
     top_w = Window.partitionBy(*keys).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
-    top = totals.groupBy(*keys, "_grp").agg(F.sum(value).alias("_t"))
-    top = top.withColumn("_base", F.coalesce(F.sum("_t").over(top_w), F.lit(0) * F.col("_t"))).drop("_t")
-    return inner.join(top, [*keys, "_grp"]).withColumn(out, F.col(out) + F.col("_base")).drop("_base", "_grp")
+    top = totals.groupBy(*keys, "_grp").agg(*[F.sum(v).alias(f"_t_{o}") for v, o in zip(values, outs)])
+    top = top.select(*keys, "_grp", *[
+        F.coalesce(F.sum(f"_t_{o}").over(top_w), F.lit(0) * F.col(f"_t_{o}")).alias(f"_lift_{o}") for o in outs])
+    joined = inner.join(top, [*keys, "_grp"])
+    return joined.select(*[c for c in inner.columns if c not in outs and c != "_grp"],
+                         *[(F.col(o) + F.col(f"_lift_{o}")).alias(o) for o in outs])
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[Column], part: Column, out: str) -> DataFrame:

@@ -41,13 +41,13 @@ def book_trades(spark, d, strategies=BOOK, source="events"):
 COLS = ["symbol", "strategy", "signal_idx", "entry_idx", "exit_idx", "entry_price", "stop", "target", "exit_price", "reason", "pnl", "hold"]
 
 
-def shown(df, cols=COLS):
-    return rounded(df.select(*cols), [c for c in cols if c in MONEY])
+def shown(df, cols=COLS, digits=6):
+    return rounded(df.select(*cols), [c for c in cols if c in MONEY], digits)
 
 
-def show_sql(ctes, table, cols=COLS):
+def show_sql(ctes, table, cols=COLS, digits=6):
     return f"WITH RECURSIVE {ctes} SELECT " + ", ".join(
-        f"CAST(round({c}, 6) AS DOUBLE) + 0.0 AS {c}" if c in MONEY else c for c in cols) + f" FROM {table}"
+        f"CAST(round({c}, {digits}) AS DOUBLE) + 0.0 AS {c}" if c in MONEY else c for c in cols) + f" FROM {table}"
 
 
 def entry_points(spark, d):
@@ -77,7 +77,8 @@ def register(reg: Registry) -> None:
     reg.add("o08_open_ended", lambda s, d: shown(labels(s, d, [OPEN_END])), show_sql(labels_cte([OPEN_END]), "lab"))
     reg.add("o10_trades", lambda s, d: shown(book_trades(s, d)), show_sql(trades_cte(BOOK), "trades"))
     reg.add("o15_presets", lambda s, d: shown(book_trades(s, d, PRESETS)), show_sql(trades_cte(PRESETS), "trades"))
-    reg.add("o10_supplier_trades", lambda s, d: shown(book_trades(s, d, [WIDE], "lineitem")), show_sql(trades_cte([WIDE], "lineitem"), "trades"))
+    reg.add("o10_supplier_trades", lambda s, d: shown(book_trades(s, d, [WIDE], "lineitem"), digits=9),
+            show_sql(trades_cte([WIDE], "lineitem"), "trades", digits=9))
     reg.add("o11_excursions",
             with_trades(lambda s, t, b: rounded(X.excursions(t, b, HOLD), ["mfe", "mae"])),
             f"""WITH RECURSIVE {trades_cte(BOOK)} SELECT t.symbol, t.strategy, t.entry_idx,

@@ -14,7 +14,7 @@ def _num(v):
 
 
 def _slip(volz):
-    return f"(slip / 1e4 * CASE WHEN {volz} < -2 THEN 4 WHEN {volz} < -1 THEN 2 ELSE 1 END)"
+    return f"(slip / 1e4 * CASE WHEN {volz} < -2 - 1e-9 THEN 4 WHEN {volz} < -1 - 1e-9 THEN 2 ELSE 1 END)"
 
 
 def labels_cte(strategies: list[Strategy], source: str = "events", folds: str | None = None) -> str:
