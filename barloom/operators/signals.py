@@ -2,9 +2,65 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.indicators import PART, tiled_features
+from ..functions.rules import features_of, rule_sql
+from .tiling import Tiles, drop_halo
+
+_LAG = re.compile(r"lag\((\w+), (\d+)\) OVER \([^()]*\)")
+
+
+def _shifted(rule, names: list[str], back: int) -> str:
+    """Rule text over plain columns: ``x__k`` is feature x, k bars ago."""
+    sql = _LAG.sub(lambda m: f"{m.group(1)}__{int(m.group(2)) + back}", rule_sql(rule))
+    if back:
+        for name in names:
+            sql = re.sub(rf"\b{name}\b", f"{name}__{back}", sql)
+    return sql
+
+
+def rule_inputs(bars: DataFrame, rules: dict[str, tuple], tiles: Tiles = Tiles()) -> DataFrame:
+    """Every feature and shifted feature a set of rules needs, one row per bar.
+
+    Written once, it turns any number of rules into plain scans without
+    windows or shuffles: a rule on the previous bar is the same rule over
+    columns shifted one further.
+    """
+    names = features_of(*rules.values())
+    need = {(n, 1) for n in names}
+    for rule in rules.values():
+        for name, k in _LAG.findall(rule_sql(rule)):
+            need |= {(name, int(k)), (name, int(k) + 1)}
+    t = tiled_features(bars, names, tiles).select("symbol", "tile", "bar_idx", *names)
+    t = t.select(*[F.expr(f"nanvl({c}, CAST(NULL AS DOUBLE)) AS {c}") if c in names else F.col(c) for c in t.columns])
+    t = t.select("*", *[F.expr(f"lag({n}, {k}) OVER ({PART}) AS {n}__{k}") for n, k in sorted(need)])
+    return drop_halo(t, tiles.size)
+
+
+def rule_counts(inputs: DataFrame, rules: dict[str, tuple], batch: int = 100) -> DataFrame:
+    """True bars and false-to-true edges per (symbol, rule).
+
+    Each batch of rules is one scan with map-side combine; a row of counts per
+    symbol is unpivoted afterwards, so bars are never multiplied by rules.
+    """
+    items, out = list(rules.items()), None
+    for start in range(0, len(items), batch):
+        part = items[start:start + batch]
+        aggs = []
+        for i, (_, rule) in enumerate(part):
+            names = features_of(rule)
+            now, before = _shifted(rule, names, 0), _shifted(rule, names, 1)
+            aggs += [F.expr(f"count_if({now}) AS h{i}"), F.expr(f"count_if({now} AND NOT {before}) AS e{i}")]
+        wide = inputs.groupBy("symbol").agg(*aggs)
+        rows = ", ".join(f"struct('{name}' AS rule, h{i} AS hits, e{i} AS edges)" for i, (name, _) in enumerate(part))
+        long = wide.selectExpr("symbol", f"inline(array({rows}))")
+        out = long if out is None else out.unionByName(long)
+    return out
+
 
 def agreement(df: DataFrame, left: str, right: str, sample: int = 5000, skip: int = 200, key: str = "symbol") -> DataFrame:
     """Compare two boolean columns on evenly spaced bars after ``skip``.

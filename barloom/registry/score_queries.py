@@ -11,11 +11,10 @@ from ..operators import signals as S
 from ..operators.joins import unseen
 from ..operators.outcomes import windowed
 from ..session import materialize
-from ..sources.bars import DAY_MS
 from . import sqlkit as Q
-from .common import Registry, rounded, table
+from .common import Registry, bars_of, rounded, table
 from .rule_queries import FULL, RULES, candidates, plain, ruled, rules_cte
-from .metric_queries import R
+from .metric_queries import LEDGER_PART, R
 
 # --- metric rows from the orders table: strategy = block of ten customers ------
 
@@ -39,7 +38,7 @@ def metrics_by(trades, keys):
     r = trades.groupBy(*keys).agg(
         (X.growth(F.col("pnl")) - 1).alias("ret"), F.stddev_pop("pnl").alias("smooth_vol"),
         F.coalesce(F.sqrt(F.avg(F.when(F.col("pnl") < 0, F.col("pnl") ** 2))), F.lit(0.0)).alias("downside_vol"))
-    dd = X.trade_drawdown(trades, keys, "exit_ms, trade_no", f"exit_ms div {365 * DAY_MS}")
+    dd = X.trade_drawdown(trades, keys, "exit_ms, trade_no", LEDGER_PART)
     return m.join(r, keys).join(dd, keys).withColumn("tested", F.col("trades") * 100)
 
 
@@ -287,6 +286,26 @@ def gate_order(spark, d):
     return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+# A grid of rules evaluated together.
+GRID = {f"{k}_{f}_{x}": (k, f, float(x)) for k in ("GT", "LT") for f, xs in
+        {"RSI14": (30, 40, 50, 60), "ROC10": (-40, 0, 40), "ADX": (10, 15, 20)}.items() for x in xs}
+GRID |= {f"{k}_{f}_{n}": (k, f, n) for k in ("Rising", "Falling") for f in ("EMA10", "EMA20") for n in (1, 3, 5)}
+GRID |= {f"{k}_fast": (k, "EMA10", "EMA20") for k in ("CrossUp", "CrossDown", "BreakUp", "BreakDown")}
+
+
+def rule_grid(spark, d):
+    """True bars and edges of every rule of the grid, per symbol."""
+    inputs = materialize(S.rule_inputs(bars_of(spark, d), GRID), "rule-inputs")
+    return S.rule_counts(inputs, GRID, batch=16)
+
+
+_BY_POS = {str(i): rule for i, rule in enumerate(GRID.values())}
+GRID_SQL = f"""WITH RECURSIVE {rules_cte(_BY_POS)}, u AS ({' UNION ALL '.join(
+    f"SELECT symbol, bar_idx, '{n}' AS rule, r_{i} AS hit FROM c" for i, n in enumerate(GRID))}),
+v AS (SELECT *, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY symbol, rule ORDER BY bar_idx), FALSE) AS edge FROM u)
+SELECT symbol, rule, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE edge) AS edges FROM v GROUP BY symbol, rule"""
+
+
 # --- families -----------------------------------------------------------------------
 
 def fingerprints(spark, d):
@@ -368,6 +387,7 @@ def register(reg: Registry) -> None:
     reg.add("a16_a17_a18_rates", rates, RATES_SQL)
     reg.add("a19_a20_j04_fold_rates", fold_rates, FOLD_RATES)
     reg.add("w09_j06_prefilter", prefilter, PREFILTER)
+    reg.add("j06_a16_rule_grid", rule_grid, GRID_SQL)
     reg.add("w10_gate_order", gate_order, f"""WITH p AS ({PREFILTER.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)})
         SELECT CASE WHEN verdict IS NOT NULL THEN 'prescreen' WHEN regime * 100.0 / bars NOT BETWEEN 1 AND 99 THEN 'regime' WHEN overlap < 10 THEN 'overlap'
         WHEN entry / bars * 8766 < 900 THEN 'edge_rate' ELSE 'passed' END AS stage, count(*) AS n FROM p GROUP BY 1""")

@@ -95,7 +95,7 @@ def report_sink(spark, d):
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("max_dd"), F.desc("ret"), F.asc("strategy"))))
     path = _path(spark, "reports")
     Z.write_reports(Z.reports(ranked), path)
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select("rank", *Z.parse_report(F.col("value")))
 
 

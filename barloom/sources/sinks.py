@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Columns of the trade file.
@@ -82,11 +82,16 @@ def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def recent_distinct(df: DataFrame, key: str, order: str, window: int = 1000) -> DataFrame:
-    """Accepted rows less repeats of a key within the last ``window`` rows."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(order)
-    prev = F.lag(order).over(w)
-    return df.withColumn("_prev", prev).filter(F.col("_prev").isNull() | (F.col(order) - F.col("_prev") > window)).drop("_prev")
+    """Accepted rows less repeats of a key within the last ``window`` positions.
+
+    A repeat that close lies in the same ``window``-wide block or the one
+    before, so a key of any size is handled block by block.
+    """
+    df = df.withColumn("_blk", F.expr(f"{order} div {window}"))
+    before = df.groupBy(key, (F.col("_blk") + 1).alias("_blk")).agg(F.max(order).alias("_last"))
+    prev = F.coalesce(F.lag(order).over(Window.partitionBy(key, "_blk").orderBy(order)), F.col("_last"))
+    kept = df.join(before, [key, "_blk"], "left").withColumn("_prev", prev)
+    return kept.filter(F.col("_prev").isNull() | (F.col(order) - F.col("_prev") > window)).drop("_prev", "_last", "_blk")
 
 
 # --- reports ---------------------------------------------------------------------
@@ -104,7 +109,7 @@ def write_reports(df: DataFrame, path: str) -> None:
 
 def parse_report(text) -> list:
     """Numbers back out of a report block."""
-    num = lambda label: F.regexp_extract(text, label + r": (-?[\d.]+)", 1).cast("double")
+    num = lambda label: F.regexp_extract(text, label + r": (-?[\d.]+)", 1).try_cast("double")
     return [num("Score").alias("score"), num("Return").alias("ret_pct"), num("Max drawdown").alias("dd_pct"), num("Trades").alias("trades")]
 
 
