@@ -1,5 +1,7 @@
 """Bar cleaning, numbering, sinks and streams."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from barloom.operators.tiling import number_rows
@@ -48,19 +50,18 @@ def test_stream_bars_equal_batch_bars_up_to_the_watermark(spark):
 
 
 def test_late_rows_are_dropped_only_beyond_the_watermark(spark, tmp_path):
+    # a batch filters by the watermark of the batch before it, so late rows come third
     base = spark.read.parquet(f"{SF}/events.parquet")
-    edge = F.expr("timestamp_ntz'2024-01-20 00:00:00'")
-    base.filter(F.col("ts") < edge).coalesce(1).write.parquet(str(tmp_path / "a"))
-    late = base.filter(F.col("ts") < F.expr("timestamp_ntz'2024-01-02 00:00:00'")).withColumn("event_id", F.col("event_id") + 10**6)
-    late.unionByName(base.filter(F.col("ts") >= edge)).coalesce(1).write.parquet(str(tmp_path / "b"))
+    before = lambda day: F.col("ts") < F.expr(f"timestamp_ntz'2024-01-{day:02d} 00:00:00'")
+    late = base.filter(before(2)).withColumn("event_id", F.col("event_id") + 10**6)
+    parts = [base.filter(before(15)), base.filter(~before(15) & before(20)), late.unionByName(base.filter(~before(20)))]
     folder = tmp_path / "in"
     folder.mkdir()
-    for i, part in enumerate(("a", "b")):
-        src = next((tmp_path / part).glob("*.parquet"))
-        dst = folder / f"events{i}.parquet"
-        dst.write_bytes(src.read_bytes())
-        import os
-        os.utime(dst, (1_600_000_000 + i * 1000,) * 2)
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        target = folder / f"events{i}.parquet"
+        target.write_bytes(next((tmp_path / f"p{i}").glob("*.parquet")).read_bytes())
+        os.utime(target, (1_600_000_000 + i * 1000,) * 2)
     out = L.run_to_table(L.live_bars(L.event_stream(spark, str(folder))))
     want = B.event_bars(base)
     both = out.join(want.select("symbol", "open_ms", F.col("volume").alias("v")), ["symbol", "open_ms"])
