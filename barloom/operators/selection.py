@@ -9,14 +9,20 @@ tiles are then walked in parallel.  Work is on events, never on bars.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .tiling import drop_halo, number_rows, with_halo
 
+# Ship this module's functions by value: executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
 TILE_BARS = 65536
 
 

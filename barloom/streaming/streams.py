@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+# Ship this module's functions by value: executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
