@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each figure is the median of BENCH_RUNS (default 3) after one warm-up run.
+Each figure is the median of BENCH_RUNS (default 1) after one warm-up run.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from barloom.session import local_session, materialize
 from barloom.sources.bars import event_bars, lineitem_bars, order_bars
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def rule_grid(n: int) -> dict[str, tuple]:
