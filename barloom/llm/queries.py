@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, packing, quality, tokencount, tokenfile
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file, at the same place on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence of at most 4096 tokens."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files and reads every document back from them."""
+    index = tokenfile.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.read(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencount.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row per document with the verdicts of the policies "base" and "v1"."""
     led = quality.ledger(table(spark, sf_dir, "documents"))
@@ -17,4 +41,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       failed.alias("base_failed"), (~failed & quality.keeps(F.col("fail_bits"), "v1")).alias("kept"))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    ranks, pattern = tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_token_files": op5_token_files, "op8_token_counts": op8_token_counts, "op10_byte_bpe": op10_byte_bpe, "op9_quality_rules": op9_quality_rules}
