@@ -130,10 +130,11 @@ class TextBpe:
         with open(path, "rb") as f:
             self.bpe = Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
         self.find = regex.compile(pattern).findall
+        self.matches = UnitCache(lambda found: [np.array(self.bpe.encode(m.encode()), "<i4").tobytes() for m in found])
         self.cache = UnitCache(lambda units: map(self.ids, units))
 
     def ids(self, text: str) -> bytes:
-        return np.array([i for m in self.find(text) for i in self.bpe.encode(m.encode())], "<i4").tobytes()
+        return b"".join(self.matches.of(self.find(text)))
 
     def __call__(self, text: str) -> bytes:
         from .units import ODD_SPACE, SPACED

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, prepare
@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda variable is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (_id, _hash, _text): what identifies a document, free of clashing names. Null texts are empty.
 

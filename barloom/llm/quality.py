@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, let
+
 # The white space that separates words.
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -37,11 +39,6 @@ POLICIES = {
 }
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: a lambda variable is never inlined."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     return let(F.btrim(text, F.lit(SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPLIT)))
 
@@ -125,8 +122,6 @@ def ablation(led: DataFrame, policy: str, rules=RULES) -> DataFrame:
 
 def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that the policy keeps, with all their columns."""
-    name = "_ledger"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "_ledger")
     led = docs.withColumn(name, let(measures(F.col(text_col)), lambda m: bits(m)))
     return led.filter(keeps(F.col(name), policy)).drop(name)

@@ -9,39 +9,48 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Distinct units that one worker keeps (about 150 MB), and bytes of text worked on at once.
-CACHE_UNITS = 600_000
+# Distinct units in a generation of a worker's cache, of which two are held (about 100 MB), and bytes of text worked on at once.
+CACHE_UNITS = 350_000
 BLOCK_BYTES = 4 << 20
 
 # White space beyond ASCII and separators on which libraries differ: such texts go to the library whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 # With ASCII white space only: a word with the space before it; a run of white space but for its last character before a word; that character.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# Marks that are split off the end of a word that ends in an ASCII letter.
+MARKS, LETTERS = ".,;:!?", frozenset(ascii_letters)
 # Words between ASCII white space.
 BARE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class UnitCache(dict):
-    """unit -> value, filled by encode_many(units); emptied when it is full."""
+class UnitCache:
+    """unit -> value, filled by encode_many(units). When it is full, the generation before goes; what is used again stays."""
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable], limit: int = CACHE_UNITS):
-        super().__init__()
+        self.held: dict = {}
+        self.old: dict = {}
         self.encode_many, self.limit = encode_many, limit
 
-    def of(self, units: list[str]) -> Iterator:
-        new = set(units).difference(self)
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
+    def of(self, units: list[str]) -> list:
+        values = list(map(self.held.get, units))
+        if None in values:
+            new = {u for u, v in zip(units, values, strict=True) if v is None}
+            if len(self.held) + len(new) > self.limit:
+                self.old, self.held = self.held, {}
                 new = set(units)
-            new = list(new)
-            self.update(zip(new, self.encode_many(new), strict=True))
-        return map(self.__getitem__, units)
+            again = {u: self.old[u] for u in new if u in self.old}
+            self.held.update(again)
+            if len(again) < len(new):
+                new = [u for u in new if u not in again]
+                self.held.update(zip(new, self.encode_many(new), strict=True))
+            values = list(map(self.held.__getitem__, units))
+        return values
 
 
 class TextEncoder:
@@ -58,7 +67,22 @@ class TextEncoder:
         self.vocab_size = self.tok.get_vocab_size()
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("a  b\n c", "a b c")]
         self.drops_spaces = probe[0] == probe[1]
-        self.cache = UnitCache(self.library)
+        probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Ab", "ab")]
+        self.drops_case = probe[0] == probe[1]
+        self.parts = UnitCache(self.library)
+        self.cache = UnitCache(self.by_parts)
+
+    def by_parts(self, units: list[str]) -> list[bytes]:
+        """Units as a core and the marks after its last letter, which the library splits too."""
+        cores, tails = [], []
+        for unit in units:
+            core = unit.rstrip(MARKS)
+            if len(core) == len(unit) or core[-1:] not in LETTERS:
+                core = unit
+            tails.append(unit[len(core):])
+            cores.append(core.lower() if self.drops_case and core.isascii() and "<|" not in core else core)
+        n, both = len(units), self.parts.of(cores + tails)
+        return [a + b for a, b in zip(both[:n], both[n:], strict=True)]
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
