@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # Bytes that are merged directly, pair stabilities that a worker remembers.
 LEAF = 24
 PAIRS = 500_000
@@ -168,7 +170,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["_id", "ids"])
 
-    return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return map_arrow(rows, run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -188,4 +190,4 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -
                 yield pa.RecordBatch.from_arrays([*some.columns, binary_column(data)], [*columns, "decoded"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{schema}, decoded binary")
+    return map_arrow(encoded, run, f"{schema}, decoded binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import materialize
-from .common import keyed_texts
+from .common import keyed_texts, map_arrow
 from .spans import cut, later, runs
 
 MIN, MAX, BITS, LEAST = 32, 256, 5, 96
@@ -93,7 +93,7 @@ def chunks(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(pick), batch.column("_hash").take(pick), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
                                               pa.array(digests, pa.binary())], ["_id", "_hash", "start", "stop", "digest"])
 
-    return keyed.mapInArrow(run, f"_id {kind}, _hash bigint, start int, stop int, digest binary")
+    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, start int, stop int, digest binary")
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, spread_join
+from .common import components, map_arrow, spread_join
 
 BLOCK = 2048
 SEED = 20
@@ -75,7 +75,7 @@ def keyed(classes: DataFrame, projections: int, tables: int, width: float) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
 
     schema = ", ".join(f"{c} {t}" for c, t in classes.dtypes)
-    return classes.mapInArrow(run, f"{schema}, keys array<int>")
+    return map_arrow(classes, run, f"{schema}, keys array<int>")
 
 
 def compare(cid, n, vec, keys, side, table, threshold):
@@ -125,7 +125,7 @@ def _compared(groups: DataFrame, threshold: float) -> DataFrame:
             arrays = [pa.array(np.concatenate(o) if o else np.empty(0, np.int64)) for o in out]
             yield pa.RecordBatch.from_arrays(arrays, ["cid", "links", "root"])
 
-    return groups.mapInArrow(run, "cid bigint, links bigint, root bigint")
+    return map_arrow(groups, run, "cid bigint, links bigint, root bigint")
 
 
 def near_links(classes: DataFrame, threshold: float, tables: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import materialize
-from .common import keyed_texts
+from .common import keyed_texts, map_arrow
 from .spans import cut, later, runs
 
 WINDOW, EVERY, LEAST, MOST = 2, 3, 2, 64
@@ -77,7 +77,7 @@ def chunks(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_hash").take(at), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
                                               pa.array(digests, pa.int64()), pa.array(bodies, pa.large_binary()).cast(pa.binary())], ["_id", "_hash", "start", "stop", "digest", "body"])
 
-    return keyed.mapInArrow(run, f"_id {kind}, _hash bigint, start int, stop int, digest bigint, body binary")
+    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, start int, stop int, digest bigint, body binary")
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

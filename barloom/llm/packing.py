@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # Sequences that are filled together.
 WINDOW_SEQUENCES = 256
 
@@ -115,4 +117,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(rows, run, schema).withColumnRenamed("_id", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, tokencount, tokenfile
+from . import bpe, chunking, embeddings, lines, packing, ppm, quality, simhash, tokencount, tokenfile
 from .common import table
 
 
@@ -22,12 +22,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold substrings which an earlier document, or place, has: what stays of them, what goes, whose it was."""
+    return chunking.repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; a seventh of the ids is held out from training."""
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    scored = ppm.score(table(spark, sf_dir, "documents"), training)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold multi-line chunks which an earlier document, or place, has: what stays of them, what goes, whose it was."""
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token files and reads every document back from them."""
     index = tokenfile.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return tokenfile.read(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document: 3-word shingles, at most 3 bits apart."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), ngram=3, radius=3)
+    return groups.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector: equal labels, cosine of 0.98 or more."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return tokencount.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -51,4 +79,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_token_files": op5_token_files, "op8_token_counts": op8_token_counts, "op10_byte_bpe": op10_byte_bpe, "op9_quality_rules": op9_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_ppm_scores, op4_line_dedup, op5_token_files, op6_simhash,
+                                   op7_near_embeddings, op8_token_counts, op9_quality_rules, op10_byte_bpe)}

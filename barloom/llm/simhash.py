@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, free_name, keyed_texts, spread_join
+from .common import components, free_name, keyed_texts, map_arrow, spread_join
 
 # Fingerprints of a shard; flat leaves of a tree; shingles counted at once.
 SHARD = 4096
@@ -59,7 +59,7 @@ def fingerprints(keyed: DataFrame, ngram: int) -> DataFrame:
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array([fingerprint(t, ngram) for t in texts], pa.int64())], ["_id", "_hash", "fp"])
 
-    return keyed.mapInArrow(run, f"_id {kind}, _hash bigint, fp bigint")
+    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, fp bigint")
 
 
 class Groups:
@@ -149,7 +149,7 @@ def _stars(rows: DataFrame, radius: int) -> DataFrame:
                 b.append(own[label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return shards.mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(shards, run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, ngram: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 FREQUENT = 65_536
 SUMMARY = 4_096
 # A summary is cut to half this many entries when it grows over it, least frequent first.
@@ -95,7 +97,7 @@ def frequent_units(docs: DataFrame, model: str, text_col: str = "text", most: in
         yield pa.RecordBatch.from_pydict({"unit": [u for u, _ in top], "n": [n for _, n in top]}, pa.schema([("unit", pa.string()), ("n", pa.int64())]))
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    best = texts.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
+    best = map_arrow(texts, run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
     units = [r.unit for r in best.select("unit").collect()]
     return "\0".join(units), np.array(Lengths(model).encode(units), "<u2").tobytes() if units else b""
 
@@ -118,5 +120,5 @@ def count(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id"
                 [batch.column("_id"), pc.binary_length(texts).cast(pa.int64()), pa.array([lengths(t) for t in texts.to_pylist()], pa.int64())],
                 ["_id", "n_bytes", "n_tokens"])
 
-    out = rows.mapInArrow(run, f"_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = map_arrow(rows, run, f"_id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
-from .common import keyed_texts
+from .common import keyed_texts, map_arrow
 
 
 def open_folder(uri: str):
@@ -73,7 +73,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 f.close()
 
     schema = f"_id {kind}, part bigint, name string, width int, place bigint, n_tokens bigint"
-    return materialize(ordered.mapInArrow(run, schema), "token-index")
+    return materialize(map_arrow(ordered, run, schema), "token-index")
 
 
 def manifest(index: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def read(index: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, i + 1 - lo), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), binary_column(ids)], ["_id", "start", "n_tokens", "ids"])
                     lo, starts, sizes, ids, held = i + 1, [], [], [], 0
 
-    return rows.mapInArrow(run, f"_id {kind}, start bigint, n_tokens bigint, ids binary").withColumnRenamed("_id", id_col)
+    return map_arrow(rows, run, f"_id {kind}, start bigint, n_tokens bigint, ids binary").withColumnRenamed("_id", id_col)
 
 
 def _map(name: str, dtype: str) -> np.ndarray:

@@ -6,10 +6,13 @@ borders equal strings have equal ids, so each worker encodes a unit once.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from string import ascii_letters
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +43,40 @@ class UnitCache:
     def of(self, units: list[str]) -> list:
         values = list(map(self.held.get, units))
         if None in values:
-            new = {u for u, v in zip(units, values, strict=True) if v is None}
+            gaps = [i for i, v in enumerate(values) if v is None]
+            new = dict.fromkeys(units[i] for i in gaps)
             if len(self.held) + len(new) > self.limit:
                 self.old, self.held = self.held, {}
-                new = set(units)
-            again = {u: self.old[u] for u in new if u in self.old}
-            self.held.update(again)
-            if len(again) < len(new):
-                new = [u for u in new if u not in again]
-                self.held.update(zip(new, self.encode_many(new), strict=True))
-            values = list(map(self.held.__getitem__, units))
+            unknown = []
+            for u in new:
+                if (v := self.old.get(u)) is None:
+                    unknown.append(u)
+                else:
+                    self.held[u] = v
+            if unknown:
+                self.held.update(zip(unknown, self.encode_many(unknown), strict=True))
+            for i in gaps:
+                values[i] = self.held[units[i]]
         return values
 
 
+def byte_alphabet() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as characters from 256 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+def letters_are_whole(tok) -> bool:
+    """Byte-level merges over runs of letters, with no other changes than composed characters and lower case."""
+    said = json.loads(tok.to_str())
+    steps = (said["normalizer"] or {"normalizers": []}).get("normalizers", [{"type": "?"}])
+    before = said["pre_tokenizer"] or {}
+    before = before.get("pretokenizers", [before])
+    splits = any(x.get("use_regex") for x in before) or r"[\p{L}]+" in json.dumps(before).replace("\\\\", "\\")
+    return said["model"]["type"] == "BPE" and before[-1].get("type") == "ByteLevel" and splits and {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"}
+
+
 class TextEncoder:
     """Whole texts to little-endian unsigned 32-bit ids as a tokenizers file gives them, without added special tokens."""
 
@@ -69,9 +93,25 @@ class TextEncoder:
         self.drops_spaces = probe[0] == probe[1]
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Ab", "ab")]
         self.drops_case = probe[0] == probe[1]
-        self.parts = UnitCache(self.library)
+        self.model, self.alphabet = (self.tok.model, byte_alphabet()) if letters_are_whole(self.tok) else (None, None)
+        self.parts = UnitCache(self.by_letters)
         self.cache = UnitCache(self.by_parts)
 
+    def by_letters(self, parts: list[str]) -> list[bytes]:
+        """Parts of letters only go to the merges at once, all others to the library's whole chain."""
+        if self.model is None:
+            return self.library(parts)
+        out, rest, merges = [], [], self.model.tokenize
+        for part in parts:
+            letters = part if self.drops_spaces or part[:1] != " " else part[1:]
+            if letters.isalpha() and (not self.drops_case or (part.islower() and part.lower() == part and is_normalized("NFC", part))):
+                out.append(array("I", [t.id for t in merges(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes())
+            else:
+                out.append(None)
+                rest.append(part)
+        found = iter(self.library(rest) if rest else ())
+        return [next(found) if x is None else x for x in out]
+
     def by_parts(self, units: list[str]) -> list[bytes]:
         """Units as a core and the marks after its last letter, which the library splits too."""
         cores, tails = [], []
