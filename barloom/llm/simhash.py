@@ -35,13 +35,17 @@ LEAF = 32
 BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, ngram: int) -> int:
-    """Bit k is set if it is set in over half the hashes of the text's word shingles."""
+def shingle_hashes(text: bytes, ngram: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
     shingles = map(b" ".join, zip(*(words[k:] for k in range(ngram)), strict=False)) if len(words) >= ngram else [b" ".join(words)] if words else []
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), "<u8")
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), "<u8")
+
+
+def fingerprint(text: bytes, ngram: int) -> int:
+    """Bit k is set if it is set in over half the hashes of the text's word shingles."""
+    hashes = shingle_hashes(text, ngram)
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), BLOCK):
         ones += np.unpackbits(hashes[lo : lo + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -63,11 +67,17 @@ def fingerprints(keyed: DataFrame, ngram: int) -> DataFrame:
 
 
 class Groups:
-    """Labels of a shard's fingerprints: the least index of those they are linked to, by any number of links."""
+    """Labels of a shard's fingerprints: the least index of those they are linked to, by any number of links.
+
+    ``prints`` has a row per fingerprint, of one or more unsigned 64-bit words.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int):
         self.prints, self.radius, self.label = prints, radius, np.arange(len(prints))
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(axis=-1, dtype=np.int16)
+
     def unite(self, linked: np.ndarray) -> None:
         labels = self.label[linked]
         if (labels != labels[0]).any():
@@ -79,14 +89,14 @@ class Groups:
         while todo:
             members, queries = todo.pop()
             if len(members) <= LEAF:
-                near = np.bitwise_count(self.prints[members][:, None] ^ self.prints[queries][None, :]) <= self.radius
+                near = self.distance(members[:, None], queries[None, :]) <= self.radius
                 for k in np.flatnonzero(near.sum(axis=1) > 1):
                     self.unite(np.append(queries[near[k]], members[k]))
                 continue
             parent, rest = members[0], members[1:]
-            found = np.bitwise_count(self.prints[queries] ^ self.prints[parent]).astype(np.int16)
+            found = self.distance(queries, parent)
             self.unite(np.append(queries[found <= self.radius], parent))
-            edge = np.bitwise_count(self.prints[rest] ^ self.prints[parent]).astype(np.int16)
+            edge = self.distance(rest, parent)
             for d in np.unique(edge):
                 follow = queries[np.abs(found - d) <= self.radius]
                 if len(follow):
@@ -94,6 +104,8 @@ class Groups:
 
 
 def group(prints: np.ndarray, radius: int) -> np.ndarray:
+    if len(prints) == 2:
+        return np.array([0, int(int(np.bitwise_count(prints[0] ^ prints[1]).sum()) > radius)])
     g = Groups(prints, radius)
     every = np.arange(len(prints))
     g.tree(every, every)
@@ -143,7 +155,7 @@ def _stars(rows: DataFrame, radius: int) -> DataFrame:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 own = np.sort(flat[lo:hi])
-                label = group(own.view(np.uint64), radius)
+                label = group(own.view(np.uint64).reshape(-1, 1), radius)
                 moved = np.flatnonzero(label != np.arange(len(own)))
                 a.append(own[moved])
                 b.append(own[label[moved]])
@@ -164,9 +176,90 @@ def near_groups(docs: DataFrame, ngram: int = 3, radius: int = 3, id_col: str =
     return spread_join(prints, by_print, "fp", "n", total)
 
 
-def keep_one(docs: DataFrame, ngram: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+# Similar texts, not only those that are almost the same: wide fingerprints, whose words are mixed from each
+# shingle's hash, and bands of their bits as shards.
+WORDS, BAND_BITS = 8, 16
+# Multipliers of a 64-bit finaliser.
+MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprint(text: bytes, ngram: int, words: int = WORDS) -> bytes:
+    """64 * words bits, each set if it is set in over half the mixed hashes of the distinct shingles."""
+    hashes = np.unique(shingle_hashes(text, ngram))
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(hashes), 255):
+        h = hashes[lo : lo + 255, None] + STEP * np.arange(1, words + 1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * MIX1
+        h = (h ^ (h >> np.uint64(27))) * MIX2
+        h ^= h >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def widest(similarity: float, words: int = WORDS) -> int:
+    """Bits that differ, on average, between sets of equal size and this Jaccard similarity."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * words)
+
+
+def similar_groups(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """(_id, _hash, fid, component_id) for every row: groups of texts whose estimated Jaccard similarity of word shingles is enough.
+
+    Fingerprints of 512 bits estimate it to about 0.03. Texts at 0.8 share one of 32 bands of 16 bits with a chance
+    of 0.93, at 0.9 of 0.998; every pair within a band is found. Bands with over ``shard`` fingerprints
+    of one value are dealt out in pairs of blocks.
+    """
+    keyed = keyed_texts(docs, id_col, text_col)
+    kind = dict(keyed.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .units import blocks
+
+        for batch in blocks(batches, "_text"):
+            prints = [wide_fingerprint(t, ngram) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(prints, pa.binary())], ["_id", "_hash", "print"])
+
+    prints = materialize(map_arrow(keyed, run, f"_id {kind}, _hash bigint, print binary"), "wide-fingerprints")
+    distinct = prints.groupBy("print").agg(F.min("_id").alias("low"), F.count("*").alias("n"))
+    distinct = materialize(distinct.withColumn("fid", F.monotonically_increasing_id()), "distinct-fingerprints")
+    bands = 64 * WORDS // BAND_BITS
+    cut = [F.substring("print", k * BAND_BITS // 8 + 1, BAND_BITS // 8) for k in range(bands)]
+    rows = distinct.select(F.posexplode(F.array(*cut)).alias("band", "key"), F.struct("fid", "print").alias("m"))
+    large = materialize(rows.groupBy("band", "key").count().filter(F.col("count") > shard), "large-bands")
+    many = large.count()
+    groups = (rows.join(F.broadcast(large) if many <= 20_000 else large, ["band", "key"], "left_anti") if many else rows).groupBy("band", "key").agg(F.collect_list("m").alias("m"))
+    found = _similar(groups, widest(similarity))
+    if many:
+        own = rows.join(F.broadcast(large) if many <= 20_000 else large, ["band", "key"]).withColumn("blocks", F.ceil(F.col("count") / shard).cast("int"))
+        own = own.withColumn("at", F.pmod(F.xxhash64("m.fid"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = own.groupBy("band", "key", F.least("at", "to").alias("lo"), F.greatest("at", "to").alias("hi")).agg(F.collect_list("m").alias("m"))
+        found = found.unionByName(_similar(pairs, widest(similarity)))
+    comp = components(materialize(found, "similar-links"))
+    roots = distinct.join(comp, distinct["fid"] == comp["node"], "left").select("print", "fid", "low", "n", F.coalesce("root", "fid").alias("root"))
+    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_print = materialize(roots.join(least, "root").select("print", "fid", "n", "component_id"), "print-components")
+    return spread_join(prints, by_print, "print", "n", distinct.agg(F.sum("n")).first()[0] or 0).drop("print")
+
+
+def _similar(groups: DataFrame, radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(0).flatten(), np.array(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()
+            fid = flat.field("fid").to_numpy()
+            prints = np.frombuffer(b"".join(flat.field("print").to_pylist()), "<u8").reshape(len(fid), -1)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                label = group(prints[lo:hi], radius)
+                moved = np.flatnonzero(label != np.arange(hi - lo))
+                if len(moved):
+                    a.append(fid[lo:hi][moved])
+                    b.append(fid[lo:hi][label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return map_arrow(groups.filter(F.size("m") > 1).select("m"), run, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns: the smallest id's, of equal ids the smallest text hash's."""
-    groups = near_groups(docs, ngram, radius, id_col, text_col)
     chosen = groups.groupBy("component_id").agg(F.min(F.struct("_id", "_hash")).alias("k")).select(F.col("k._id").alias("_i"), F.col("k._hash").alias("_h"))
     h = free_name(docs, "_hash")
     once = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, h])
