@@ -127,23 +127,21 @@ class TextBpe:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        from .units import UnitCache
+        from .units import Spaced, UnitCache
 
         with open(path, "rb") as f:
             self.bpe = Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
         self.find = regex.compile(pattern).findall
         self.matches = UnitCache(lambda found: [np.array(self.bpe.encode(m.encode()), "<i4").tobytes() for m in found])
-        self.cache = UnitCache(lambda units: map(self.ids, units))
+        self.spaced = Spaced(lambda units: map(self.ids, units))
 
     def ids(self, text: str) -> bytes:
         return b"".join(self.matches.of(self.find(text)))
 
     def __call__(self, text: str) -> bytes:
-        from .units import ODD_SPACE, SPACED
+        from .units import odd
 
-        if ODD_SPACE.search(text):
-            return self.ids(text)
-        return b"".join(self.cache.of(SPACED.findall(text)))
+        return self.ids(text) if odd(text) else self.spaced(text)
 
 
 @lru_cache(maxsize=2)

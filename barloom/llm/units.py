@@ -23,7 +23,9 @@ CACHE_UNITS = 350_000
 BLOCK_BYTES = 4 << 20
 
 # White space beyond ASCII and separators on which libraries differ: such texts go to the library whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+# Runs of white space that reach over a space, where splitting at single spaces would part them.
+ACROSS = re.compile(r"[\t-\r] [\t-\r]")
 # With ASCII white space only: a word with the space before it; a run of white space but for its last character before a word; that character.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Marks that are split off the end of a word that ends in an ASCII letter.
@@ -77,6 +79,26 @@ def letters_are_whole(tok) -> bool:
     return said["model"]["type"] == "BPE" and before[-1].get("type") == "ByteLevel" and splits and {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"}
 
 
+def odd(text: str) -> bool:
+    return any(c in text for c in (ODD_SPACE[:4] if text.isascii() else ODD_SPACE))
+
+
+class Spaced:
+    """Byte-level texts as words with the space before them; equal words have equal ids wherever they stand."""
+
+    def __init__(self, encode_many: Callable[[list[str]], Iterable[bytes]]):
+        self.units = UnitCache(encode_many)
+        self.after = UnitCache(lambda words: encode_many([" " + w for w in words]))
+
+    def __call__(self, text: str) -> bytes:
+        """A text without odd white space."""
+        if "  " in text or text[-1:] == " " or ACROSS.search(text):
+            return b"".join(self.units.of(SPACED.findall(text)))
+        words = text.split(" ")
+        first = self.units.of(words[:1]) if words[0] else []
+        return b"".join(first + self.after.of(words[1:]))
+
+
 class TextEncoder:
     """Whole texts to little-endian unsigned 32-bit ids as a tokenizers file gives them, without added special tokens."""
 
@@ -94,8 +116,10 @@ class TextEncoder:
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("Ab", "ab")]
         self.drops_case = probe[0] == probe[1]
         self.model, self.alphabet = (self.tok.model, byte_alphabet()) if letters_are_whole(self.tok) else (None, None)
+        self.space = chr(byte_alphabet()[0x20])
         self.parts = UnitCache(self.by_letters)
         self.cache = UnitCache(self.by_parts)
+        self.spaced = Spaced(self.by_parts)
 
     def by_letters(self, parts: list[str]) -> list[bytes]:
         """Parts of letters only go to the merges at once, all others to the library's whole chain."""
@@ -105,7 +129,10 @@ class TextEncoder:
         for part in parts:
             letters = part if self.drops_spaces or part[:1] != " " else part[1:]
             if letters.isalpha() and (not self.drops_case or (part.islower() and part.lower() == part and is_normalized("NFC", part))):
-                out.append(array("I", [t.id for t in merges(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes())
+                shown = f"{self.space}{letters}" if len(letters) < len(part) else part
+                if not part.isascii():
+                    shown = part.encode().decode("latin-1").translate(self.alphabet)
+                out.append(array("I", [t.id for t in merges(shown)]).tobytes())
             else:
                 out.append(None)
                 rest.append(part)
@@ -113,26 +140,37 @@ class TextEncoder:
         return [next(found) if x is None else x for x in out]
 
     def by_parts(self, units: list[str]) -> list[bytes]:
-        """Units as a core and the marks after its last letter, which the library splits too."""
-        cores, tails = [], []
+        """Units as words, and words as a core and the marks after its last letter, which the library splits too."""
+        parts, sizes = [], []
         for unit in units:
-            core = unit.rstrip(MARKS)
-            if len(core) == len(unit) or core[-1:] not in LETTERS:
-                core = unit
-            tails.append(unit[len(core):])
-            cores.append(core.lower() if self.drops_case and core.isascii() and "<|" not in core else core)
-        n, both = len(units), self.parts.of(cores + tails)
-        return [a + b for a, b in zip(both[:n], both[n:], strict=True)]
+            words = SPACED.findall(unit) if "\n" in unit else (unit,)
+            before = len(parts)
+            for word in words:
+                core = word.rstrip(MARKS)
+                if len(core) < len(word) and core[-1:] in LETTERS:
+                    parts += self.cased(core), word[len(core):]
+                else:
+                    parts.append(self.cased(word))
+            sizes.append(len(parts) - before)
+        found, at, out = self.parts.of(parts), 0, []
+        for n in sizes:
+            out.append(found[at] if n == 1 else b"".join(found[at : at + n]))
+            at += n
+        return out
+
+    def cased(self, word: str) -> str:
+        return word.lower() if self.drops_case and word.isascii() and "<|" not in word else word
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
+        strange = odd(text)
         if self.drops_spaces:
-            return b"".join(self.cache.of(BARE.findall(text)))
-        if ODD_SPACE.search(text) or any(s in text for s in self.specials):
+            return b"".join(self.cache.of(BARE.findall(text) if strange else text.split()))
+        if strange or any(s in text for s in self.specials):
             return self.library([text])[0]
-        return b"".join(self.cache.of(SPACED.findall(text)))
+        return self.spaced(text)
 
 
 @lru_cache(maxsize=4)
