@@ -136,20 +136,24 @@ def next_bars(events: DataFrame, bars: DataFrame, horizon: int, start: str = "en
     return left.join(right, ["symbol", "bucket"]).filter(near).withColumn("pos", F.col("bar_idx") - F.col("entry_idx"))
 
 
+# Bars that one pass of open-ended events looks ahead at most.
+MOST_SPAN = 8192
+
+
 def label(events: DataFrame, bars: DataFrame, strategies: list[Strategy], horizon: int | None = None) -> DataFrame:
     """First-touch outcome per event.
 
-    With a time exit everywhere one pass covers the longest hold.  Otherwise
-    only the events still open go to the next, twice as long, pass, carrying
-    their trailed stop.
+    Strategies with a time exit need one pass over the longest of their holds;
+    those without go on in passes of up to ``MOST_SPAN`` bars, in which only the
+    events still open take part, carrying their trailed stop.
     """
-    bounded = all(s.max_hold > 0 for s in strategies)
-    span = horizon or (max(s.max_hold for s in strategies) + 1 if bounded else 256)
     trailing = any(s.trail for s in strategies)
     events = events.withColumn("seen", F.lit(0).cast("long")).withColumn("live", F.expr("dir * stop"))
-    if bounded:
-        return _close(_pass(events, bars, span, trailing))
-    done, todo = None, events
+    holds = [s.max_hold for s in strategies if s.max_hold > 0]
+    done = _close(_pass(events.filter("max_hold > 0"), bars, horizon or max(holds) + 1, trailing)) if holds else None
+    if len(holds) == len(strategies):
+        return done
+    todo, span = events.filter("max_hold <= 0"), horizon or 256
     while True:
         out = materialize(_pass(todo, bars, span, trailing), "outcomes")
         closed = _close(out.filter("exit_code IS NOT NULL OR last_idx >= end_idx - 1"))
@@ -158,7 +162,7 @@ def label(events: DataFrame, bars: DataFrame, strategies: list[Strategy], horizo
         if rest.isEmpty():
             return done
         todo = rest.withColumn("seen", F.col("last_idx") + 1 - F.col("entry_idx")).select(*events.columns)
-        span *= 2
+        span = min(2 * span, MOST_SPAN)
 
 
 def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> DataFrame:
@@ -204,7 +208,7 @@ def _close(out: DataFrame) -> DataFrame:
     names = "map(" + ", ".join(f"{k}, '{v}'" for k, v in REASONS.items()) + ")"
     out = out.selectExpr(
         "strategy", "sid", "grp", "symbol", "dir", "entry_idx - 1 AS signal_idx", "entry_idx", "entry_ms", "entry_price", "stop", "target",
-        "fee", "slip", "end_idx", "coalesce(exit_idx, last_idx) AS exit_idx", "coalesce(exit_ms, last_ms) AS exit_ms",
+        "fee", "slip", "trail_kind > 0 AS trails", "end_idx", "coalesce(exit_idx, last_idx) AS exit_idx", "coalesce(exit_ms, last_ms) AS exit_ms",
         f"coalesce(exit_price, last_close * (1 - dir * {slip_sql('last_volz')})) AS exit_price",
         f"element_at({names}, coalesce(exit_code, 8)) AS reason", "last_close",
     )

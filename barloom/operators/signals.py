@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import PART, tiled_features
 from ..functions.rules import features_of, rule_sql
-from .tiling import Tiles, drop_halo
+from .tiling import Tiles, drop_halo, running_offset
 
 _LAG = re.compile(r"lag\((\w+), (\d+)\) OVER \([^()]*\)")
 
@@ -62,22 +62,23 @@ def rule_counts(inputs: DataFrame, rules: dict[str, tuple], batch: int = 100) ->
     return out
 
 
-def agreement(df: DataFrame, left: str, right: str, sample: int = 5000, skip: int = 200, key: str = "symbol") -> DataFrame:
-    """Compare two boolean columns on evenly spaced bars after ``skip``.
+def agreement(df: DataFrame, left: str, right: str, skip: int = 200, step: int = 1, least: int = 100, key: str = "symbol", tiles: Tiles = Tiles()) -> DataFrame:
+    """Compare two boolean columns on every ``step``-th bar after ``skip``, in bounded tiles.
 
-    The sample size is a parameter of the measure, so the per-key window is
-    bounded by it.  Fewer than 100 usable bars give no row.
+    A series with fewer than ``least`` bars after ``skip`` agrees by definition.
     """
-    sizes = df.groupBy(key).agg(F.least(F.lit(sample), F.count(F.lit(1)) - skip).alias("_size")).filter("_size >= 100")
-    step = F.when(F.expr("_size div 10 < 100"), F.greatest(F.lit(1), F.expr("_size div 100"))).otherwise(10)
     at = F.col("bar_idx") - skip
-    picked = df.join(sizes, key).filter((at >= 0) & (at < F.col("_size")) & (at % step == 0))
-    marked = picked.select(key, "bar_idx", (F.col(left) == F.col(right)).alias("_same"))
-    w = Window.partitionBy(key).orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("_isl", F.sum(F.col("_same").cast("int")).over(w)).groupBy(key, "_isl").agg(
-        F.count_if(~F.col("_same")).alias("_gap"), F.count_if("_same").alias("_agree"), F.count(F.lit(1)).alias("_n"))
-    return runs.groupBy(key).agg(
-        (F.sum("_agree") / F.sum("_n")).alias("agreement"), F.max("_gap").alias("longest_gap"))
+    marked = df.filter((at >= 0) & (at % step == 0)).select(key, "bar_idx", (F.col(left) == F.col(right)).alias("_same"), F.expr(f"bar_idx div {tiles.size}").alias("_tile"))
+    agreed = marked.groupBy(key, "_tile").agg(F.count_if("_same").alias("_n"))
+    before = running_offset(agreed, [key], "_tile", "_n", "_off").select(key, "_tile", "_off")
+    w = Window.partitionBy(key, "_tile").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    islands = marked.withColumn("_own", F.sum(F.col("_same").cast("long")).over(w)).join(before, [key, "_tile"])
+    runs = islands.groupBy(key, (F.col("_own") + F.col("_off")).alias("_isl")).agg(F.count_if(~F.col("_same")).alias("_gap"), F.count_if("_same").alias("_agree"), F.count(F.lit(1)).alias("_n"))
+    totals = runs.groupBy(key).agg(F.sum("_agree").alias("_agree"), F.max("_gap").alias("_gap"), F.sum("_n").alias("_n"))
+    sizes = df.groupBy(key).agg((F.count(F.lit(1)) - skip).alias("_size"))
+    enough = F.col("_size") >= least
+    return sizes.join(totals, key, "left").select(
+        key, F.when(enough, F.col("_agree") / F.col("_n")).otherwise(1.0).alias("agreement"), F.when(enough, F.col("_gap")).otherwise(F.lit(0)).alias("longest_gap"))
 
 
 def entry_penalty(n_edges: Column, true_pct: Column, bars: Column, per_window: int = 2, base: int = 51840) -> list[Column]:

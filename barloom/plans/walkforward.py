@@ -117,10 +117,8 @@ def oos_summary(stitched: DataFrame, trades: DataFrame, folds: DataFrame, strate
 
 def walk_forward(bars: DataFrame, strategies: list[Strategy], folds: DataFrame):
     """(fold trades, fold equity, stitched equity), each written once."""
-    if any(s.max_hold <= 0 for s in strategies):
-        raise ValueError("walk-forward strategies need a time exit")
     prep = materialize(O.prepared(bars, strategies), "prepared")
     trades = materialize(fold_trades(prep, strategies, folds), "fold-trades")
-    horizon = max(s.max_hold for s in strategies) + 1
+    horizon = max([s.max_hold for s in strategies] + [trades.agg(F.max(F.expr("exit_idx - entry_idx"))).first()[0] or 0]) + 1
     eq = materialize(fold_equity(trades, folds, bars, strategies, horizon), "fold-equity")
     return trades, eq, stitch(eq, folds)

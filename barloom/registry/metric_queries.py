@@ -26,7 +26,7 @@ LEDGER_SQL = """ledger AS (SELECT CAST(o_custkey AS VARCHAR) AS strategy, epoch_
 BY = ["strategy"]
 # Days, split further by key range: order dates have no time of day, so one day of one
 # strategy may be large.
-LEDGER_PART = f"exit_ms div {DAY_MS} * 4096 + least(trade_no div 4000000, 4095)"
+LEDGER_PART = f"exit_ms div {DAY_MS} * (1L << 40) + trade_no div 4000000"
 
 
 def ledger(spark, d):

@@ -253,22 +253,20 @@ def vol_filter(spark, d):
 
 
 def agreement(spark, d):
-    """Share of sampled bars on which two rules agree, and the longest run of disagreement."""
+    """Share of bars on which two rules agree, and the longest run of disagreement."""
     from ..operators.signals import agreement as agree
     t = ruled(spark, d, {"a": RULES["tree_or"], "b": RULES["rising"]})
     return rounded(agree(plain(t), "r_a", "r_b"), ["agreement"])
 
 
 AGREE_SQL = f"""WITH RECURSIVE {rules_cte({"a": RULES["tree_or"], "b": RULES["rising"]})},
-n AS (SELECT symbol, count(*) AS t FROM c GROUP BY symbol),
-m AS (SELECT symbol, least(5000, t - 200) AS size FROM n),
-s AS (SELECT c.symbol, bar_idx, r_a = r_b AS same FROM c JOIN m USING (symbol)
-      WHERE bar_idx >= 200 AND bar_idx < 200 + size AND size >= 100
-      AND (bar_idx - 200) % (CASE WHEN size // 10 < 100 THEN greatest(1, size // 100) ELSE 10 END) = 0),
+n AS (SELECT symbol, count(*) - 200 AS size FROM c GROUP BY symbol),
+s AS (SELECT symbol, bar_idx, r_a = r_b AS same FROM c WHERE bar_idx >= 200),
 g AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar_idx) AS isl FROM s),
-r AS (SELECT symbol, isl, count(*) FILTER (WHERE NOT same) AS run FROM g GROUP BY symbol, isl)
-SELECT symbol, CAST(round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6) AS DOUBLE) + 0.0 AS agreement,
-  (SELECT max(run) FROM r WHERE r.symbol = g.symbol) AS longest_gap FROM g GROUP BY symbol"""
+r AS (SELECT symbol, isl, count(*) FILTER (WHERE NOT same) AS run FROM g GROUP BY symbol, isl),
+a AS (SELECT symbol, avg(CASE WHEN same THEN 1.0 ELSE 0.0 END) AS part FROM g GROUP BY symbol)
+SELECT symbol, CAST(round(CASE WHEN size >= 100 THEN part ELSE 1 END, 6) AS DOUBLE) + 0.0 AS agreement,
+  CASE WHEN size >= 100 THEN (SELECT max(run) FROM r WHERE r.symbol = n.symbol) ELSE 0 END AS longest_gap FROM n LEFT JOIN a USING (symbol)"""
 
 
 def register(reg: Registry) -> None:

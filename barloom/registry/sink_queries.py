@@ -22,6 +22,7 @@ from .trade_queries import BOOK, HOLD, with_trades
 from .trade_sql import trades_cte
 from ..sources.bars import HOUR_MS
 
+TRAILING = ", ".join(f"'{s.name}'" for s in BOOK if s.trail)
 WINNER = "seed long, strategy string, test_score double, test_return double, test_trades long, regime string"
 
 
@@ -35,8 +36,9 @@ def winner_file(spark, d) -> str:
         "o_orderkey AS seed", "concat('c', o_custkey) AS strategy", "o_totalprice / 1000 AS test_score", "o_totalprice % 100 AS test_return",
         "o_custkey AS test_trades", "CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS regime")
     path = _path(spark, "winners")
-    lines = o.select(F.when(F.col("seed") % 11 == 3, F.lit('{"seed": oops')).otherwise(F.to_json(F.struct("*"))).alias("value"))
-    lines.write.text(path)
+    lines = o.select(F.when(F.col("seed") % 11 == 3, F.lit('{"seed": oops')).otherwise(F.to_json(F.struct("*"))).alias("value"), F.col("seed").alias("line"))
+    # Lines from the largest seed down, so that the first line isn't the smallest seed.
+    lines.orderBy(F.desc("line")).select("value").write.text(path)
     return path
 
 
@@ -49,6 +51,10 @@ def winners(spark, d):
     return Z.read_winners(spark, winner_file(spark, d), WINNER)[0]
 
 
+def first_line(spark, d):
+    return Z.first_winner(Z.read_winners(spark, winner_file(spark, d), WINNER, "place")[0], "place")
+
+
 def bad_lines(spark, d):
     return Z.read_winners(spark, winner_file(spark, d), WINNER)[1].groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -58,7 +64,7 @@ def trade_sink(spark, t, b):
     path = _path(spark, "trades")
     Z.write_csv(out, path)
     back = Z.read_csv(spark, path, out.schema)
-    return rounded(back.drop("StopPrice", "TPPrice", "ProofSummary"), ["EntryPrice", "ExitPrice", "PnL"])
+    return rounded(back.drop("ProofSummary"), ["EntryPrice", "ExitPrice", "PnL", "StopPrice", "TPPrice"])
 
 
 def state_sink(spark, t, b):
@@ -140,16 +146,16 @@ def register(reg: Registry) -> None:
     reg.add("s04_winner_scan", lambda s, d: rounded(Z.newest(winners(s, d), "seed", 500), W_NUM),
             f"WITH {W_SQL} SELECT seed, strategy, {Q.rounded(W_NUM)}, test_trades, regime FROM w ORDER BY seed DESC LIMIT 500")
     reg.add("s04_bad_lines", bad_lines, """SELECT '{"seed": oops' AS value, count(*) AS n FROM orders WHERE o_orderkey % 11 = 3""")
-    reg.add("s05_find_winner", lambda s, d: rounded(Z.by_seed(winners(s, d), 4242).unionByName(Z.first_winner(winners(s, d))), W_NUM),
+    reg.add("s05_find_winner", lambda s, d: rounded(Z.by_seed(winners(s, d), 4242).unionByName(first_line(s, d)), W_NUM),
             f"""WITH {W_SQL} SELECT seed, strategy, {Q.rounded(W_NUM)}, test_trades, regime FROM w
-            WHERE seed = 4242 UNION ALL (SELECT seed, strategy, {Q.rounded(W_NUM)}, test_trades, regime FROM w ORDER BY seed LIMIT 1)""")
+            WHERE seed = 4242 UNION ALL (SELECT seed, strategy, {Q.rounded(W_NUM)}, test_trades, regime FROM w ORDER BY seed DESC LIMIT 1)""")
     reg.add("a26_completeness", lambda s, d: Z.completeness(winners(s, d), ["regime", "test_score"]),
             f"WITH {W_SQL} SELECT count(*) AS lines, count(regime) AS with_regime, count(test_score) AS with_test_score FROM w")
     ts = lambda ms: f"strftime(make_timestamp_ms({ms}), '%Y-%m-%dT%H:%M:%SZ')"
     reg.add("s06_trade_file", with_trades(trade_sink), f"""WITH RECURSIVE {trades_cte(BOOK)} SELECT concat_ws('-', strategy, t.symbol, signal_idx) AS TradeID,
         signal_idx AS SignalIndex, entry_idx AS EntryIndex, exit_idx AS ExitIndex, {ts('b.open_ms')} AS SignalTime, {ts('entry_ms')} AS EntryTime, {ts('exit_ms')} AS ExitTime,
-        dir AS Direction, {R('entry_price')} AS EntryPrice, {R('exit_price')} AS ExitPrice, {R('pnl')} AS PnL, hold AS HoldBars, reason AS ExitReason,
-        reason = 'trail_hit' AS TrailActive FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx = t.signal_idx""")
+        CASE WHEN dir = 1 THEN 'LONG' ELSE 'SHORT' END AS Direction, {R('entry_price')} AS EntryPrice, {R('exit_price')} AS ExitPrice, {R('pnl')} AS PnL, hold AS HoldBars, reason AS ExitReason,
+        {R('stop')} AS StopPrice, {R('target')} AS TPPrice, strategy IN ({TRAILING}) AS TrailActive FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx = t.signal_idx""")
     states = f"""{trades_cte(BOOK)}, l AS (SELECT t.symbol, strategy, b.bar_idx, b.open_ms, unnest(list_filter([
         CASE WHEN b.bar_idx = signal_idx THEN 'signal' END, CASE WHEN b.bar_idx = entry_idx THEN 'enter' END,
         CASE WHEN b.bar_idx > signal_idx AND b.bar_idx < exit_idx THEN 'holding' END, CASE WHEN b.bar_idx = exit_idx THEN 'exit_' || reason END],

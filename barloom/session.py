@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,9 +48,11 @@ def local_session(cpus: str = "8", app: str = "barloom", **extra: str) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, where the driver is the only machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _LOCAL.setdefault("dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         _LOCAL["dir"] = folder
     return folder

@@ -121,8 +121,15 @@ def read_klines(spark: SparkSession, path: str, symbol: str) -> tuple[DataFrame,
     raw = (
         spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
         .option("enforceSchema", True).csv(path)
-        .withColumn("src_row", F.monotonically_increasing_id())
+        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"))
     )
+    # Line order: files by path, blocks by place, lines within; ids of a scan only count within a block.
+    parts = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    files = parts.groupBy("_file").agg(F.sum("_n").alias("_lines"))
+    files = files.select("_file", F.coalesce(F.sum("_lines").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
+    base = parts.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_in")).join(files, "_file")
+    raw = raw.join(base, ["_file", "_block"]).withColumn("src_row", F.col("_from") + F.col("_in") + F.col("_seq") - F.col("_first"))
     number = lambda name: F.expr(f"try_cast({name} AS DOUBLE)")
     parsed = raw.select(
         "src_row",

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Columns of the trade file.
-TRADE_COLUMNS = [
-    "TradeID", "SignalIndex", "EntryIndex", "ExitIndex", "SignalTime", "EntryTime", "ExitTime", "Direction",
-    "EntryPrice", "ExitPrice", "PnL", "HoldBars", "ExitReason", "StopPrice", "TPPrice", "TrailActive", "ProofSummary",
-]
-
-
 def trade_file(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Trades in the 17-column file layout."""
     times = bars.select("symbol", F.col("bar_idx").alias("signal_idx"), F.col("open_ms").alias("signal_ms"))
@@ -20,8 +13,8 @@ def trade_file(trades: DataFrame, bars: DataFrame) -> DataFrame:
     return t.selectExpr(
         "concat_ws('-', strategy, symbol, CAST(signal_idx AS STRING)) AS TradeID", "signal_idx AS SignalIndex",
         "entry_idx AS EntryIndex", "exit_idx AS ExitIndex", f"{stamp('signal_ms')} AS SignalTime", f"{stamp('entry_ms')} AS EntryTime",
-        f"{stamp('exit_ms')} AS ExitTime", "dir AS Direction", "entry_price AS EntryPrice", "exit_price AS ExitPrice", "pnl AS PnL",
-        "hold AS HoldBars", "reason AS ExitReason", "stop AS StopPrice", "target AS TPPrice", "reason = 'trail_hit' AS TrailActive",
+        f"{stamp('exit_ms')} AS ExitTime", "IF(dir = 1, 'LONG', 'SHORT') AS Direction", "entry_price AS EntryPrice", "exit_price AS ExitPrice", "pnl AS PnL",
+        "hold AS HoldBars", "reason AS ExitReason", "stop AS StopPrice", "target AS TPPrice", "trails AS TrailActive",
         "'' AS ProofSummary")
 
 
@@ -56,12 +49,17 @@ def write_winners(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_winners(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that parse, broken lines): a bad line never fails the scan."""
+def read_winners(spark: SparkSession, path: str, schema: str, place: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that parse, broken lines): a bad line never fails the scan.
+
+    ``place`` names a column for the line's place: file, block, order in the block.
+    """
     raw = spark.read.text(path)
-    parsed = raw.select("value", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    where = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    raw = raw.select("value", where.alias(place)) if place else raw
+    parsed = raw.select("*", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
     ok = F.col("r._bad").isNull() & F.col("r").isNotNull()
-    return parsed.filter(ok).select("r.*").drop("_bad"), parsed.filter(~ok).select("value")
+    return parsed.filter(ok).select("r.*", *[place] * bool(place)).drop("_bad"), parsed.filter(~ok).select("value")
 
 
 def newest(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -72,8 +70,9 @@ def by_seed(df: DataFrame, seed) -> DataFrame:
     return df.filter(F.col("seed") == seed)
 
 
-def first_winner(df: DataFrame) -> DataFrame:
-    return df.orderBy("seed").limit(1)
+def first_winner(df: DataFrame, place: str) -> DataFrame:
+    """The row of the first line."""
+    return df.orderBy(place).limit(1).drop(place)
 
 
 def completeness(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -116,10 +115,13 @@ def parse_report(text) -> list:
 # --- snapshots ---------------------------------------------------------------------
 
 def save_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Leaderboards and fingerprints of one version; a version is written whole before it is named."""
+    """Leaderboards and fingerprints of one version; a version can be loaded once all its tables are written."""
+    spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
+        df.write.parquet(f"{path}/v{version}/{name}")
+    spark.createDataFrame([(n,) for n in tables], "name string").write.parquet(f"{path}/v{version}/_whole.parquet")
 
 
 def load_snapshot(spark: SparkSession, path: str, version: int, names: list[str]) -> dict[str, DataFrame]:
+    spark.read.schema("name string").parquet(f"{path}/v{version}/_whole.parquet").first()
     return {n: spark.read.parquet(f"{path}/v{version}/{n}") for n in names}

@@ -72,8 +72,9 @@ def online_step(fast: int = 10, slow: int = 20, atr_n: int = 14):
     """State function: exponential averages, true range and crossings per symbol, one bar at a time."""
     def step(key, batches, state):
         n, close, ef, es, sf, ss, atr, st, above = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        for pdf in batches:
-            pdf = pdf.sort_values("open_ms")
+        # A key's rows come in several Arrow batches, in no order: all of a micro-batch are put in order first.
+        whole = list(batches)
+        for pdf in [pd.concat(whole).sort_values("open_ms")] if whole else []:
             out = []
             for ms, h, l, c in zip(pdf["open_ms"], pdf["high"], pdf["low"], pdf["close"]):
                 tr = max(h - l, abs(h - close), abs(l - close)) if n else 0.0
