@@ -2,7 +2,7 @@
 
 Every line is hashed. A rolling hash over the hashes of the last WINDOW lines ends a chunk after a
 line if it is divisible by EVERY, so borders depend on nearby lines only and come back after an
-insertion. Chunks have at least two lines, and MOST at most. Chunks whose digests repeat
+insertion. Chunks have at least two lines, and MOST at most; a single line left at the end joins the chunk before it. Chunks whose digests repeat
 anywhere are candidates; their bytes are compared (grouped by content, after map-side
 combining), and all but the first occurrence are removed.
 
@@ -32,6 +32,7 @@ def chunks_of(text: bytes) -> Iterator[tuple[int, int, int]]:
     from xxhash import xxh64_intdigest
 
     begin = at = lines = 0
+    held = None
     recent: list[int] = []
     for line in _lines(text):
         at += len(line)
@@ -41,8 +42,14 @@ def chunks_of(text: bytes) -> Iterator[tuple[int, int, int]]:
         for h in recent:
             rolled = (rolled * BASE + h) & RANGE
         if lines >= MOST or (lines >= LEAST and (rolled >> 32) % EVERY == 0):
-            yield begin, at, lines
+            if held:
+                yield held
+            held = begin, at, lines
             begin, lines = at, 0
+    if held and 0 < lines < LEAST:
+        held, lines = (held[0], at, held[2] + lines), 0
+    if held:
+        yield held
     if lines:
         yield begin, at, lines
 
