@@ -6,24 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Buckets whose heads one window holds.
+FAN = 4096
+
+
 def lower_bound(points: DataFrame, bars: DataFrame, width_ms: int, out: str = "idx") -> DataFrame:
     """First bar at or after ``t`` per (symbol, t); the series length if none.
 
     Points meet only the bars of their own time bucket; where that bucket has
     no later bar, the first bar of the next bucket that has one is used, found
-    on the far smaller bucket table.
+    on the bucket table in two levels: among ``FAN`` neighbouring buckets, then
+    among such groups. No point enters a window.
     """
     b = bars.select("symbol", "bar_idx", "close_ms", F.expr(f"close_ms div {width_ms}").alias("_b"))
     heads = b.groupBy("symbol", "_b").agg(F.min("bar_idx").alias("_head"), F.max("bar_idx").alias("_tail"))
     p = points.select("symbol", "t", F.expr(f"t div {width_ms}").alias("_b")).distinct()
     same = p.join(b, ["symbol", "_b"]).filter("close_ms >= t").groupBy("symbol", "t").agg(F.min("bar_idx").alias("_same"))
-    both = heads.selectExpr("symbol", "_b", "CAST(NULL AS BIGINT) AS t", "_head", "_tail").unionByName(
-        p.selectExpr("symbol", "_b", "t", "CAST(NULL AS BIGINT) AS _head", "CAST(NULL AS BIGINT) AS _tail"))
-    after = "OVER (PARTITION BY symbol ORDER BY _b RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-    later = both.selectExpr(
-        "symbol", "t", f"min(_head) {after} AS _next", "max(_tail) OVER (PARTITION BY symbol) + 1 AS _n"
-    ).filter("t IS NOT NULL")
-    found = later.join(same, ["symbol", "t"], "left").select(
+    slots = heads.select("symbol", "_b", "_head").unionByName(p.select("symbol", "_b").distinct().withColumn("_head", F.lit(None).cast("bigint")))
+    slots = slots.groupBy("symbol", "_b").agg(F.min("_head").alias("_head")).withColumn("_g", F.expr(f"_b div {FAN}"))
+    after = "RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    groups = slots.groupBy("symbol", "_g").agg(F.min("_head").alias("_first")).selectExpr(
+        "symbol", "_g", f"min(_first) OVER (PARTITION BY symbol ORDER BY _g {after} AS _far")
+    near = slots.selectExpr("symbol", "_b", "_g", f"min(_head) OVER (PARTITION BY symbol, _g ORDER BY _b {after} AS _near")
+    later = near.join(groups, ["symbol", "_g"]).select("symbol", "_b", F.coalesce("_near", "_far").alias("_next"))
+    sizes = heads.groupBy("symbol").agg((F.max("_tail") + 1).alias("_n"))
+    found = p.join(later, ["symbol", "_b"]).join(sizes, "symbol", "left").join(same, ["symbol", "t"], "left").select(
         "symbol", "t", F.coalesce("_same", "_next", "_n").alias(out))
     return points.join(found, ["symbol", "t"])
 

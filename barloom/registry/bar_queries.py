@@ -154,7 +154,7 @@ def register(reg: Registry) -> None:
         FROM raw QUALIFY row_number() OVER (PARTITION BY symbol, close_ms ORDER BY src_row DESC) = 1""")
     reg.add(
         "b05_order_faults",
-        lambda spark, d: B.order_faults(_raw_rows(spark, d)),
+        lambda spark, d: B.order_faults(_raw_rows(spark, d), part_rows=2**40),  # keys that are far apart
         f"""WITH {RAW}, p AS (SELECT symbol, close_ms, row_number() OVER (PARTITION BY symbol ORDER BY src_row) - 1 AS pos,
             lag(close_ms) OVER (PARTITION BY symbol ORDER BY src_row) AS prev FROM raw)
             SELECT symbol, count(*) FILTER (WHERE close_ms < prev) AS faults,

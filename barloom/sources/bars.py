@@ -203,7 +203,7 @@ def load_klines(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     return index_bars(keep_last(close_times(sane(good))))
 
 
-def order_faults(rows: DataFrame, seq: str = "src_row", part_rows: int = 2**40, tiles: Tiles = Tiles()) -> DataFrame:
+def order_faults(rows: DataFrame, seq: str = "src_row", part_rows: int = 2**20, tiles: Tiles = Tiles()) -> DataFrame:
     """First place per symbol where file order and time order disagree, plus a unit check."""
     numbered = number_rows(rows, ["symbol"], [F.col(seq)], F.expr(f"{seq} div {part_rows}"), "pos")
     tiled = with_halo(numbered, tiles.size, 1, idx="pos")

@@ -121,3 +121,19 @@ def test_stitched_bars_belong_to_one_fold(spark, walk):
     assert eq.count() > stitched.count() > 0
     assert stitched.groupBy("strategy", "symbol", "bar_idx").count().filter("count > 1").count() == 0
     assert trades.join(WF.test_windows(folds).select("symbol", "grp", "lo_idx"), ["symbol", "grp"]).filter("entry_idx < lo_idx OR exit_idx >= end_idx").count() == 0
+
+
+def test_a_mixed_book_gives_what_its_parts_give(walk):
+    """Bounded and open-ended strategies side by side, each labelled its own way."""
+    cols = ["strategy", "symbol", "entry_idx", "exit_idx", "exit_price", "reason"]
+    both = O.outcomes(walk, [LONG, NO_CLOCK]).select(*cols)
+    apart = O.outcomes(walk, [LONG]).select(*cols).unionByName(O.outcomes(walk, [NO_CLOCK]).select(*cols))
+    assert both.count() > 0 and both.exceptAll(apart).count() == 0 and apart.exceptAll(both).count() == 0
+
+
+def test_walk_forward_takes_strategies_without_a_time_exit(walk):
+    folds = WF.block_folds(walk)
+    trades, equity, stitched = WF.walk_forward(walk, [NO_CLOCK, SHORT], folds)
+    assert {r.strategy for r in trades.select("strategy").distinct().collect()} == {"n", "s"}
+    assert trades.agg(F.max(F.expr("exit_idx - entry_idx"))).first()[0] > SHORT.max_hold and stitched.count() > 0
+    assert equity.filter("equity IS NULL OR isnan(equity)").count() == 0

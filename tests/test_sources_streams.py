@@ -66,3 +66,24 @@ def test_late_rows_are_dropped_only_beyond_the_watermark(spark, tmp_path):
     want = B.event_bars(base)
     both = out.join(want.select("symbol", "open_ms", F.col("volume").alias("v")), ["symbol", "open_ms"])
     assert both.filter("volume != v").count() == 0 and both.count() > 100
+
+
+def test_online_indicators_do_not_depend_on_arrow_batches(spark, tmp_path):
+    bars = B.event_bars(spark.read.parquet(f"{SF}/events.parquet")).select("symbol", "open_ms", "high", "low", "close")
+    bars.orderBy(F.rand(3)).coalesce(1).write.parquet(str(tmp_path / "bars"))
+    run = lambda: L.run_to_table(L.online_indicators(spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars"))))
+    want = run()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run()
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count() == bars.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 2), ("c", 1)):
+        rows = [f"2020-01-01 0{i}:00:00+00:00,1,2,0.5,1.5,{ord(name)}" for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["t,o,h,l,c,v", *rows]) + "\n")
+    good, _ = B.read_klines(spark, str(tmp_path), "x")
+    assert [(r.src_row, r.volume) for r in good.orderBy("src_row").collect()] == [(0, 97), (1, 97), (2, 97), (3, 98), (4, 98), (5, 99)]
