@@ -36,6 +36,14 @@ class Strategy:
         return features_of(self.entry, self.exit, self.regime)
 
 
+# Presets of the simple engine, with their exit rules.
+SIMPLE_PRESETS = [
+    Strategy("ema_cross", ("CrossUp", "EMA20", "EMA50"), exit=("CrossDown", "EMA20", "EMA50"), stop=("fixed", 2.0), target=("fixed", 4.0), max_hold=150),
+    Strategy("rsi_dip", ("AND", ("LT", "RSI14", 30.0), ("Rising", "EMA20", 5)), exit=("GT", "RSI14", 70.0),
+             stop=("fixed", 1.5), target=("fixed", 3.0), max_hold=100),
+    Strategy("macd_cross", ("CrossUp", "MACD", "MACD_Signal"), exit=("CrossDown", "MACD", "MACD_Signal"), stop=("fixed", 2.5), target=("fixed", 5.0), max_hold=120),
+]
+
 # Preset strategies.
 PRESETS = [
     Strategy("ema_cross", ("CrossUp", "EMA20", "EMA50"), stop=("fixed", 2.0), target=("fixed", 4.0), max_hold=150),

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import outcomes as X
 from ..operators.selection import select_trades
-from ..plans.strategy import PRESETS, Strategy
+from ..operators import simple as simple_engine
+from ..plans.strategy import PRESETS, SIMPLE_PRESETS, Strategy
 from ..session import materialize
 from . import sqlkit as Q
 from .common import Registry, bars_of, rounded
 from .rule_queries import RULES
-from .trade_sql import labels_cte, trades_cte
+from .trade_sql import labels_cte, simple_cte, trades_cte
 
 # Strategies used across the queries.
 LONG = Strategy(
@@ -77,6 +78,10 @@ def register(reg: Registry) -> None:
     reg.add("o08_open_ended", lambda s, d: shown(labels(s, d, [OPEN_END])), show_sql(labels_cte([OPEN_END]), "lab"))
     reg.add("o10_trades", lambda s, d: shown(book_trades(s, d)), show_sql(trades_cte(BOOK), "trades"))
     reg.add("o15_presets", lambda s, d: shown(book_trades(s, d, PRESETS)), show_sql(trades_cte(PRESETS), "trades"))
+    simple = ["symbol", "strategy", "signal_idx", "entry_idx", "exit_idx", "entry_price", "stop", "target", "exit_price", "reason", "pnl"]
+    for name, source in (("o15_simple", "orders"), ("o15_simple_hourly", "events")):
+        reg.add(name, lambda s, d, source=source: shown(simple_engine.trades(bars_of(s, d, source), SIMPLE_PRESETS), simple),
+                show_sql(simple_cte(SIMPLE_PRESETS, source), "trades WHERE reason IS NOT NULL", simple))
     reg.add("o10_supplier_trades", lambda s, d: shown(book_trades(s, d, [WIDE], "lineitem"), digits=9),
             show_sql(trades_cte([WIDE], "lineitem"), "trades", digits=9))
     reg.add("o11_excursions",

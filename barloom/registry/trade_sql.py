@@ -96,5 +96,29 @@ chain AS (
 trades AS MATERIALIZED (SELECT l.* FROM lab l JOIN chain c USING (sid, grp, symbol, signal_idx))"""
 
 
+def simple_cte(strategies: list[Strategy], source: str = "events") -> str:
+    """CTEs up to ``trades`` of the simple engine."""
+    names = list(dict.fromkeys(f for s in strategies for f in s.features()))
+    cols = ", ".join(f"{twin(s.entry)} AS ent_{i}, {twin(s.exit) if s.exit else 'FALSE'} AS out_{i}" for i, s in enumerate(strategies))
+    evs = " UNION ALL ".join(
+        f"SELECT b.symbol, '{s.name}' AS strategy, {i} AS sid, 0 AS grp, {s.direction} AS dir, g.bar_idx AS signal_idx, b.bar_idx AS entry_idx, b.open AS entry_price, n, "
+        f"b.open * (1 - {s.direction} * {_num(s.stop[1] if s.stop else None)} / 100) AS stop, b.open * (1 + {s.direction} * {_num(s.target[1] if s.target else None)} / 100) AS target, "
+        f"{_num(s.fee_bps + s.slip_bps)} AS cost, {s.max_hold} AS max_hold, 0 AS cd, 0 AS max_losses FROM sg g JOIN sg b ON b.symbol = g.symbol AND b.bar_idx = g.bar_idx + 1 "
+        f"JOIN sizes z ON z.symbol = g.symbol WHERE g.ent_{i} AND g.bar_idx >= 200" for i, s in enumerate(strategies))
+    left = "CASE sid " + " ".join(f"WHEN {i} THEN out_{i}" for i in range(len(strategies))) + " END"
+    return f"""{Q.features_cte(names, source)},
+sg AS MATERIALIZED (SELECT *, {cols} FROM f),
+sizes AS (SELECT symbol, count(*) AS n FROM f GROUP BY symbol HAVING count(*) >= 300),
+ev AS MATERIALIZED ({evs}),
+x AS (SELECT e.*, b.bar_idx, CASE WHEN (dir = 1 AND low <= stop) OR (dir = -1 AND high >= stop) THEN 'H-SL' WHEN (dir = 1 AND high >= target) OR (dir = -1 AND low <= target) THEN 'H-TP'
+    WHEN {left} THEN 'EXIT RULE' WHEN max_hold > 0 AND b.bar_idx - entry_idx >= max_hold THEN 'H-MAX' END AS reason, close
+  FROM ev e LEFT JOIN sg b ON b.symbol = e.symbol AND b.bar_idx > entry_idx),
+y AS (SELECT * FROM x WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, sid, signal_idx ORDER BY bar_idx) = 1),
+lab0 AS (SELECT e.*, coalesce(y.bar_idx, e.n) AS exit_idx, y.reason, CASE y.reason WHEN 'H-SL' THEN e.stop WHEN 'H-TP' THEN e.target ELSE y.close END AS exit_price
+  FROM ev e LEFT JOIN y ON y.symbol = e.symbol AND y.sid = e.sid AND y.signal_idx = e.signal_idx),
+lab AS MATERIALIZED (SELECT *, CASE WHEN reason IS NOT NULL THEN dir * (exit_price / entry_price - 1) * 100 - 2 * cost / 1e4 END AS pnl FROM lab0),
+{SELECT_CTE}"""
+
+
 def trades_cte(strategies: list[Strategy], source: str = "events", folds: str | None = None) -> str:
     return f"{labels_cte(strategies, source, folds)},\n{SELECT_CTE}"
