@@ -136,24 +136,35 @@ def next_bars(events: DataFrame, bars: DataFrame, horizon: int, start: str = "en
     return left.join(right, ["symbol", "bucket"]).filter(near).withColumn("pos", F.col("bar_idx") - F.col("entry_idx"))
 
 
-# Bars that one pass of open-ended events looks ahead at most.
-MOST_SPAN = 8192
+# Bars that the first pass looks ahead, how much further the next one does, and the most of any.
+FIRST_SPAN, WIDER, MOST_SPAN = 32, 4, 8192
 
 
 def label(events: DataFrame, bars: DataFrame, strategies: list[Strategy], horizon: int | None = None) -> DataFrame:
     """First-touch outcome per event.
 
-    Strategies with a time exit need one pass over the longest of their holds;
-    those without go on in passes of up to ``MOST_SPAN`` bars, in which only the
-    events still open take part, carrying their trailed stop.
+    Most events end within a few bars, so a first pass looks ``FIRST_SPAN`` bars
+    ahead; only those still open go to the next, wider pass, carrying their
+    trailed stop. Strategies with a time exit never need more than the longest of
+    their holds; those without go on in passes of up to ``MOST_SPAN`` bars. With ``horizon``, bounded
+    strategies take one pass of that many bars.
     """
     trailing = any(s.trail for s in strategies)
     events = events.withColumn("seen", F.lit(0).cast("long")).withColumn("live", F.expr("dir * stop"))
     holds = [s.max_hold for s in strategies if s.max_hold > 0]
-    done = _close(_pass(events.filter("max_hold > 0"), bars, horizon or max(holds) + 1, trailing)) if holds else None
-    if len(holds) == len(strategies):
-        return done
-    todo, span = events.filter("max_hold <= 0"), horizon or 256
+    done = None
+    if holds:
+        bounded, most = events.filter("max_hold > 0"), horizon or max(holds) + 1
+        one = horizon or most <= 2 * FIRST_SPAN
+        done = _close(_pass(bounded, bars, most, trailing)) if one else _passes(bounded, bars, trailing, FIRST_SPAN, most)
+    if len(holds) < len(strategies):
+        rest = _passes(events.filter("max_hold <= 0"), bars, trailing, horizon or 256, MOST_SPAN)
+        done = rest if done is None else done.unionByName(rest)
+    return done
+
+
+def _passes(events: DataFrame, bars: DataFrame, trailing: bool, span: int, most: int) -> DataFrame:
+    done, todo = None, events
     while True:
         out = materialize(_pass(todo, bars, span, trailing), "outcomes")
         closed = _close(out.filter("exit_code IS NOT NULL OR last_idx >= end_idx - 1"))
@@ -162,11 +173,11 @@ def label(events: DataFrame, bars: DataFrame, strategies: list[Strategy], horizo
         if rest.isEmpty():
             return done
         todo = rest.withColumn("seen", F.col("last_idx") + 1 - F.col("entry_idx")).select(*events.columns)
-        span = min(2 * span, MOST_SPAN)
+        span = min(WIDER * span, most)
 
 
 def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> DataFrame:
-    j = next_bars(events, bars, span, "entry_idx + seen").filter("bar_idx < end_idx")
+    j = next_bars(events, bars, span, "entry_idx + seen").filter("bar_idx < end_idx AND (max_hold <= 0 OR bar_idx <= entry_idx + max_hold)")
     j = j.withColumn("cut", F.expr(
         "CASE trail_kind WHEN 1 THEN CASE WHEN atr > 0 THEN dir * close - trail_k * atr END "
         "WHEN 2 THEN CASE WHEN bar_idx > 50 THEN CASE WHEN dir = 1 THEN low51 ELSE -high51 END END END"))

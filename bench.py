@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each figure is the median of BENCH_RUNS (default 1) after one warm-up run.
+Each figure is the median of BENCH_RUNS (default 3), the first of which is cold.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from barloom.session import local_session, materialize
 from barloom.sources.bars import event_bars, lineitem_bars, order_bars
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-RUNS = int(os.environ.get("BENCH_RUNS", "1"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def rule_grid(n: int) -> dict[str, tuple]:
@@ -42,7 +42,6 @@ def main() -> None:
     hourly = materialize(event_bars(load("events")), "bench-hourly")
     daily = materialize(order_bars(load("orders")), "bench-daily")
     rules = rule_grid(1000)
-    inputs = materialize(signals.rule_inputs(bars, rules), "bench-inputs")
     book = [Strategy(f"book{i}", ("CrossUp", "EMA10", "EMA20"), stop=("fixed", 5.0 + i), target=("fixed", 8.0 + 2 * i), max_hold=40 + i)
             for i in range(25)]
 
@@ -64,7 +63,7 @@ def main() -> None:
         "bars_from_lineitem": lambda: run(lineitem_bars(load("lineitem"))),
         "ema_rsi_features": lambda: run(features(bars, ["EMA10", "EMA20", "EMA50", "RSI14"])),
         "base_features_73": lambda: run(features(bars, BASE_FEATURES)),
-        "rules_1000_counts": lambda: run(signals.rule_counts(inputs, rules)),
+        "rules_1000_counts": lambda: run(signals.rule_counts(materialize(signals.rule_inputs(bars, rules), "bench-inputs"), rules)),
         "labels_presets": lambda: run(labels(bars, PRESETS)),
         "trades_presets": lambda: run(ledger(hourly, PRESETS)),
         "walk_forward_25": lambda: run(forward()),
@@ -75,11 +74,11 @@ def main() -> None:
         if only and name not in only.split(","):
             continue
         times = []
-        for i in range(RUNS + 1):
+        for _ in range(RUNS):
             start = time.time()
             job()
             times.append(time.time() - start)
-        seconds[name] = round(statistics.median(times[1:] or times), 3)
+        seconds[name] = round(statistics.median(times), 3)
     n = bars.count()
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
