@@ -76,7 +76,7 @@ def test_simhash(docs):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("radius", "shard"), [(0, 8), (3, 8), (6, 120)])
+@pytest.mark.parametrize(("radius", "shard"), [(0, 8), (3, 30), (6, 120)])
 def test_shards_lose_no_link(spark, radius, shard):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
