@@ -107,6 +107,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = tuple(state)
 
 
+def least_of(rooted: DataFrame, low: str, out: str) -> DataFrame:
+    """The frame with a column for the least ``low`` of its root, without ``root`` and ``low``; a root may hold many rows."""
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min(low).alias(out), F.count("*").alias("_members")), "roots")
+    return spread_join(rooted, least, "root", "_members", rooted.count()).drop("root", low)
+
+
 def _down(links: DataFrame) -> DataFrame:
     """Each link once, from the larger to the smaller end."""
     return links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, map_arrow, spread_join
+from .common import components, least_of, map_arrow, spread_join
 
 BLOCK = 2048
 SEED = 20
@@ -167,8 +167,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, projections: int = 8,
     sums = links.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")
     known = classes.select("digest", "cid", "n", "low").join(sums, "cid", "left").join(comp, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(least, "root").select("digest", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")
+    known = least_of(known, "low", "component_id").select("digest", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")
     total = classes.agg(F.sum("n")).first()[0] or 0
     out = spread_join(good.select("_id", "digest"), materialize(known, "class-components"), "digest", "n", total).select("_id", "n_links", "component_id")
     alone = base.filter("digest is null").select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"))

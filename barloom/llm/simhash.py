@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import components, free_name, keyed_texts, map_arrow, spread_join
+from .common import components, free_name, keyed_texts, least_of, map_arrow, spread_join
 
 # Fingerprints of a shard; flat leaves of a tree; shingles counted at once.
 SHARD = 4096
@@ -170,8 +170,7 @@ def near_groups(docs: DataFrame, ngram: int = 3, radius: int = 3, id_col: str =
     distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     comp = components(materialize(links(distinct.select("fp"), radius), "near-links"))
     roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = materialize(roots.join(least, "root").select("fp", "n", "component_id"), "print-components")
+    by_print = materialize(least_of(roots, "low", "component_id"), "print-components")
     total = distinct.agg(F.sum("n")).first()[0] or 0
     return spread_join(prints, by_print, "fp", "n", total)
 
@@ -235,8 +234,7 @@ def similar_groups(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, id_
         found = found.unionByName(_similar(pairs, widest(similarity)))
     comp = components(materialize(found, "similar-links"))
     roots = distinct.join(comp, distinct["fid"] == comp["node"], "left").select("print", "fid", "low", "n", F.coalesce("root", "fid").alias("root"))
-    least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_print = materialize(roots.join(least, "root").select("print", "fid", "n", "component_id"), "print-components")
+    by_print = materialize(least_of(roots, "low", "component_id"), "print-components")
     return spread_join(prints, by_print, "print", "n", distinct.agg(F.sum("n")).first()[0] or 0).drop("print")
 
 
