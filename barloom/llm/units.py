@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Distinct units in a generation of a worker's cache, of which two are held (about 100 MB), and bytes of text worked on at once.
-CACHE_UNITS = 350_000
+# Distinct units in a generation of a worker's cache, of which two are held (about 150 MB), and bytes of text worked on at once.
+CACHE_UNITS = 500_000
 BLOCK_BYTES = 4 << 20
 
 # White space beyond ASCII and separators on which libraries differ: such texts go to the library whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 # Runs of white space that reach over a space, where splitting at single spaces would part them.
 ACROSS = re.compile(r"[\t-\r] [\t-\r]")
+BEFORE = ("\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 # With ASCII white space only: a word with the space before it; a run of white space but for its last character before a word; that character.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Marks that are split off the end of a word that ends in an ASCII letter.
@@ -92,7 +93,7 @@ class Spaced:
 
     def __call__(self, text: str) -> bytes:
         """A text without odd white space."""
-        if "  " in text or text[-1:] == " " or ACROSS.search(text):
+        if "  " in text or text[-1:] == " " or (any(b in text for b in BEFORE) and ACROSS.search(text)):
             return b"".join(self.units.of(SPACED.findall(text)))
         words = text.split(" ")
         first = self.units.of(words[:1]) if words[0] else []
