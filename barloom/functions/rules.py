@@ -136,11 +136,6 @@ def leaf_rows(rule_id: str, rule, side: str = "entry") -> list[tuple]:
     return rows
 
 
-RULE_SCHEMA = (
-    "rule_id string, side string, pos int, depth int, kind string, a string, b string, x double, y double, lb int"
-)
-
-
 def degenerate(kind="kind", a="a", b="b", x="x", y="y"):
     """Leaf that can never carry information, as a Column over a rule table."""
     return F.expr(f"""CASE

@@ -16,7 +16,6 @@ from .common import Registry, bars_of, rounded, table
 BARS = Q.bars_cte()
 OHLCV = ["open", "high", "low", "close", "volume", "quote_volume", "taker_base", "taker_quote"]
 # Calendar boundaries (UTC milliseconds) of the default split.
-SPLIT_MS = [1502928000000, 1640995200000, 1704067200000]
 SPLIT_NAMES = ["train", "validation", "test"]
 DAY = 86_400_000
 MID_JAN = 1705276800000  # 2024-01-15

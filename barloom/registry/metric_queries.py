@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import metrics as X
-from ..operators import outcomes as O
 from ..plans import walkforward as WF
 from ..plans.strategy import Strategy
 from ..session import materialize

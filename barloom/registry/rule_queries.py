@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions import rules as R
-from ..functions.indicators import ALL_FEATURES, BASE_FEATURES, STATEFUL, features, tiled_features
+from ..functions.indicators import ALL_FEATURES, features, tiled_features
 from ..operators.tiling import Tiles, drop_halo
 from ..session import materialize
 from . import sqlkit as Q
@@ -26,8 +26,6 @@ RULES = {
     "tree_not": ("NOT", ("BreakUp", "SwingHigh", "HH_20_prev")),
     "empty": None,
 }
-RULE_FEATURES = R.features_of(*RULES.values())
-META_COLS = [n for n in BASE_FEATURES]
 STAT_FEATURES = ["RSI14", "RSI7", "ADX", "PlusDI", "EMA10", "EMA20", "ATR14", "MACD", "VolZ20", "VolSMA20", "Imbalance",
                  "BodyPct", "ClosePos", "Body", "BOS", "SweepUp_20"]
 
