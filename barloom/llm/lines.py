@@ -1,6 +1,13 @@
-"""Global removal of repeated multi-line chunks with content-defined borders.
+"""Global removal of repeated passages of two lines or more.
 
-Every line is hashed. A rolling hash over the hashes of the last WINDOW lines ends a chunk after a
+``passages`` and ``without_passages`` take every two neighbouring lines with words as a unit, so a passage
+is found wherever it stands: a pair that has an earlier occurrence goes, and overlapping pairs unite to the
+whole equal passage. Digests find candidates, and the bytes of all candidates are compared. A pair that
+overlaps its own first occurrence stays (three equal lines in a row). Lines without words belong to the pair
+around them. Each line that goes stands in an earlier place; a single repeated line stays.
+
+``repeats`` and ``deduplicate`` are the coarser form by chunks with content-defined borders; it finds only
+repeats that hold a whole chunk. Every line is hashed. A rolling hash over the hashes of the last WINDOW lines ends a chunk after a
 line if it is divisible by EVERY, so borders depend on nearby lines only and come back after an
 insertion. Chunks have at least two lines, and MOST at most; a single line left at the end joins the chunk before it. Chunks whose digests repeat
 anywhere are candidates; their bytes are compared (grouped by content, after map-side
@@ -17,10 +24,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import keyed_texts, map_arrow
-from .spans import cut, later, runs
+from .common import keyed_texts, let, map_arrow
+from .spans import candidates, cut, first_kept, later, runs
 
 WINDOW, EVERY, LEAST, MOST = 2, 3, 2, 64
 # Multiplier of the rolling hash, and the 64-bit range.
@@ -100,3 +108,69 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents with all columns, without the lines of repeated chunks."""
     return cut(docs, removals(docs, id_col, text_col), id_col, text_col)
+
+
+def pairs_of(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, stop) of every two neighbouring lines with words, without the last line break."""
+    at, held = 0, None
+    for line in text.split(b"\n"):
+        stop = at + len(line)
+        if line.strip():
+            if held is not None:
+                yield held, stop
+            held = at
+        at = stop + 1
+
+
+def pairs(keyed: DataFrame) -> DataFrame:
+    """(_id, _hash, start, stop, size, digest) of the line pairs of keyed texts; stop is after the line break, size before it."""
+    kind = dict(keyed.dtypes)["_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        from .units import blocks
+
+        for batch in blocks(batches, "_text"):
+            rows, starts, stops, sizes, digests = [], [], [], [], []
+            for i, text in enumerate(batch.column("_text").cast(pa.binary()).to_pylist()):
+                for start, stop in pairs_of(text) if b"\n" in text else ():
+                    rows.append(i)
+                    starts.append(start)
+                    stops.append(min(stop + 1, len(text)))
+                    sizes.append(stop - start)
+                    digests.append(xxh3_64_intdigest(text[start:stop]) - (1 << 63))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_hash").take(at), *(pa.array(x, pa.int32()) for x in (starts, stops, sizes)),
+                                              pa.array(digests, pa.int64())], ["_id", "_hash", "start", "stop", "size", "digest"])
+
+    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, start int, stop int, size int, digest bigint")
+
+
+def _with_bodies(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The candidates with their bytes, which are read again from the texts."""
+    places = rows.groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.collect_set(F.struct("start", "stop", "size", "digest")).alias("at"))
+    both = keyed.join(places, keyed["_id"].eqNullSafe(places["_i"]) & (keyed["_hash"] == places["_h"]))
+
+    def bodies(b):
+        return F.transform("at", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["digest"].alias("digest"), F.substring(b, x["start"] + 1, x["size"]).alias("body")))
+    found = both.select("_id", "_hash", let(F.col("_text").cast("binary"), bodies).alias("x"))
+    return found.select("_id", "_hash", F.inline("x"))
+
+
+def passage_removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    keyed = keyed_texts(docs, id_col, text_col)
+    found = materialize(pairs(keyed), "line-pairs")
+    total = found.count()
+    rows = materialize(_with_bodies(candidates(found, total), keyed), "candidates")
+    return runs(first_kept(rows, total, same=True))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, spans, first_ids) of the documents that lose lines: what stays, what goes, and who has it first."""
+    return cut(docs, passage_removals(docs, id_col, text_col), id_col, text_col, changed_only=True)
+
+
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents with all columns, without the lines of repeated passages."""
+    return cut(docs, passage_removals(docs, id_col, text_col), id_col, text_col)

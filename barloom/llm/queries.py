@@ -35,8 +35,8 @@ def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold multi-line chunks which an earlier document, or place, has: what stays of them, what goes, whose it was."""
-    return lines.repeats(table(spark, sf_dir, "documents"))
+    """The documents that hold passages of two lines or more which an earlier document, or place, has: what stays of them, what goes, whose it was."""
+    return lines.passages(table(spark, sf_dir, "documents"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,29 +9,48 @@ from ..session import materialize
 from .common import free_name, let, spread_join
 
 
+def candidates(occurrences: DataFrame, total: int) -> DataFrame:
+    """Occurrences (digest, ...) whose digest occurs more than once. ``occurrences`` is a written table."""
+    counts = materialize(occurrences.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
+    return spread_join(occurrences, counts, "digest", "n", total)
+
+
+def first_kept(rows: DataFrame, total: int, same: bool = False) -> DataFrame:
+    """The rows (_id, _hash, start, stop, digest, ...) of a written table that have an earlier one and don't overlap it.
+
+    With ``same``, rows are equal only if they hold the same bytes, in a column ``body``: different bodies
+    under one digest have a first occurrence each.
+    """
+    place = F.struct("_id", "_hash", "start")
+    found = None
+    if same:
+        odd = materialize(rows.select("digest", "body").distinct().groupBy("digest").count().filter("count > 1").select("digest"), "shared-digests")
+        if odd.count():
+            of_odd = materialize(rows.join(odd, "digest"), "shared-digest-rows")
+            firsts = of_odd.groupBy("digest", "body").agg(F.min(place).alias("first"))
+            found = of_odd.join(firsts, ["digest", "body"]).drop("body")
+            rows = rows.join(odd, "digest", "left_anti")
+    first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    plain = spread_join(rows.drop("body"), materialize(first, "firsts"), "digest", "n", total)
+    found = plain if found is None else plain.unionByName(found)
+    own = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_hash") == F.col("first._hash")) & (F.col("start") < F.col("first.start") + F.col("stop") - F.col("start"))
+    return found.filter((place > F.col("first")) & ~own)
+
+
 def later(occurrences: DataFrame, total: int, same: bool = False) -> DataFrame:
     """Occurrences (_id, _hash, start, stop, digest, ...) whose digest has an earlier one.
 
     Earlier is by (_id, _hash, start), nulls first; rows that are equal in all three are one occurrence and
-    share its fate. With ``same``, a digest counts only if all its occurrences hold the same bytes, in a
-    column ``body``. ``occurrences`` is a written table.
+    share its fate. ``same`` as in first_kept. ``occurrences`` is a written table.
     """
-    counts = materialize(occurrences.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
-    rows = materialize(spread_join(occurrences, counts, "digest", "n", total), "candidates")
-    first = rows.groupBy("digest").agg(F.min(F.struct("_id", "_hash", "start")).alias("first"), F.count("*").alias("n"))
-    if same:
-        bodies = rows.select("digest", "body").distinct().groupBy("digest").count().filter("count = 1").select("digest")
-        first = first.join(bodies, "digest")
-    rows = rows.drop("body")
-    found = spread_join(rows, materialize(first, "firsts"), "digest", "n", total)
-    return found.filter(F.struct("_id", "_hash", "start") > F.col("first"))
+    return first_kept(materialize(candidates(occurrences, total), "candidates"), total, same)
 
 
 def runs(spans: DataFrame, least: int = 0) -> DataFrame:
-    """(_id, _hash, spans): neighbouring spans united, those of at least so many bytes, in order; and where the bytes first occur."""
+    """(_id, _hash, spans): neighbouring and overlapping spans united, those of at least so many bytes, in order; and where the bytes first occur."""
     once = spans.groupBy("_id", "_hash", "start", "stop").agg(F.min("first._id").alias("source"))
     order = Window.partitionBy("_id", "_hash").orderBy("start")
-    begins = once.withColumn("new", F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1))
+    begins = once.withColumn("new", F.when(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("start"), 0).otherwise(1))
     numbered = begins.withColumn("run", F.sum("new").over(order))
     united = numbered.groupBy("_id", "_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("source").alias("source"))
     long_enough = united.filter(F.col("stop") - F.col("start") >= least)

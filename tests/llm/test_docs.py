@@ -202,6 +202,39 @@ def test_repeats(docs, texts, op):
     assert {38, 39} <= by_id.keys() if op is chunking else {40, 41} <= by_id.keys()
 
 
+def test_line_passages(spark):
+    """Shared blocks of 2 to 10 lines go whole; against a plain pass over line pairs."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(60):
+        block = [prose(rng, 9) for _ in range(2 + k % 9)]
+        for _ in range(2):
+            before, after = ([prose(rng, 9) for _ in range(int(rng.integers(0, 5)))] for _ in range(2))
+            rows.append((len(rows), "\n".join([*before, *block, *after])))
+    copies = list(rows)
+    more = [None, "", "\n\n", "a\na\na\na\na", "one\ntwo\n" * 5, "own\n\n\nline\nx", "own\n\n\nline\ny", "z\nown\n\n\nline", "single\nq", "single\nr"]
+    rows += [(1000 + k, t) for k, t in enumerate(more)] + [(None, rows[1][1]), (1003, more[3])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want, left = {}, {}, {}
+    for i, t in sorted(dict.fromkeys(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        parts, gone = re.split("(?<=\n)", t or ""), set()
+        full = [j for j, x in enumerate(parts) if x.strip()]
+        for at, (a, b) in enumerate(zip(full, full[1:], strict=False)):
+            body = "".join(parts[a:b + 1]).removesuffix("\n")
+            first = seen.setdefault(body, (i, at))
+            if first != (i, at) and first != (i, at - 1):
+                gone |= set(range(a, b + 1))
+        left[i] = t if t is None else "".join(x for j, x in enumerate(parts) if j not in gone)
+        if gone:
+            want[i] = left[i]
+    got = lines.passages(frame).collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert all(k in want for k, _ in copies[1::2]) and left[1003] == "a\na\n" and left[1007] == "z\n" and left[1009] == "single\nr"
+    whole = lines.without_passages(frame)
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in whole.collect()))) == sorted(repr((i, left[i])) for i, _ in rows)
+    assert lines.passages(frame.limit(0)).count() == 0
+
+
 def pieces_of(text):
     data = np.frombuffer(text.encode(), np.uint8)
     ends = chunking.cuts(data, 0, len(data), chunking.borders(data).tolist())
