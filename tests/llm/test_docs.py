@@ -9,6 +9,7 @@ from xxhash import xxh64_intdigest
 
 from barloom.llm import chunking, embeddings, lines, ppm, quality, simhash
 from barloom.llm.common import components, spread_join
+from barloom.llm.spans import later
 from barloom.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -235,6 +236,13 @@ def test_line_passages(spark):
     assert lines.passages(frame.limit(0)).count() == 0
 
 
+def test_bodies_under_one_digest(spark):
+    """Different bodies under one digest have a first occurrence each."""
+    rows = [(1, 0, 0, 4, 7, b"a"), (2, 0, 0, 4, 7, b"b"), (3, 0, 0, 4, 7, b"a"), (4, 0, 8, 12, 7, b"b"), (5, 0, 0, 4, 8, b"c"), (6, 0, 0, 4, 8, b"c"), (7, 0, 0, 4, 9, b"d")]
+    frame = materialize(spark.createDataFrame(rows, "_id long, _hash long, start int, stop int, digest long, body binary"), "rows")
+    assert sorted((r._id, r.first._id) for r in later(frame, len(rows), same=True).collect()) == [(3, 1), (4, 2), (6, 5)]
+
+
 def pieces_of(text):
     data = np.frombuffer(text.encode(), np.uint8)
     ends = chunking.cuts(data, 0, len(data), chunking.borders(data).tolist())
