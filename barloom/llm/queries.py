@@ -24,7 +24,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold substrings which an earlier document, or place, has: what stays of them, what goes, whose it was."""
-    return chunking.repeats(table(spark, sf_dir, "documents"))
+    return chunking.passages(table(spark, sf_dir, "documents"))
 
 
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

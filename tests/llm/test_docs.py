@@ -259,6 +259,40 @@ def test_shared_passages_are_found_after_insertions():
     assert missed <= 4
 
 
+def test_passages_go_whole(spark, monkeypatch):
+    """Passages of 51 words of English length with one shared chunk go to their last byte; each byte that goes is somewhere before."""
+    rng = np.random.default_rng(17)
+
+    def words(n, end):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8))) for _ in range(n)) + end
+    rows, shared = [], {}
+    for k in range(60):
+        passage = "é" + words(51, "") + "ü"
+        texts = [words(40, "#$"[j > 1] * j) + passage + "%&"[j > 1] + words(40, "") for j in (1, 8)]
+        anchored = bool(pieces_of(texts[0]) & pieces_of(texts[1]))
+        shared[2 * k + 1] = passage if anchored else None
+        rows += [(2 * k + j, t) for j, t in enumerate(texts)]
+    long, wide = words(900, ""), "".join(chr(0x4E00 + c) for c in rng.integers(0, 9000, 1500))
+    rows += [(510, "A" + wide), (511, "BCD" + wide[:1300] + "x"), (512, words(40, "") + wide[100:] + "y")]
+    rows += [(500, "A" + long), (501, "BC" + long), (502, None), (503, ""), (504, "ab" * 3000), (None, rows[1][1]), (501, "BC" + long)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in chunking.passages(frame).collect()}
+    assert sum(p is not None for p in shared.values()) >= 55
+    texts = dict(rows)
+    for i, p in shared.items():
+        if p and i != 1:
+            assert i in got and p not in got[i].text and len(texts[i].encode()) - len(got[i].text.encode()) >= len(p.encode()), i
+            at = texts[i].encode().index(p.encode())
+            assert [(s.start, s.stop) for s in got[i].spans] == [(at, at + len(p.encode()))]
+    assert got[501].text == "BC" and got[1].text == "" and shared[1] not in got[0].text
+    assert got[511].text == "BCDx" and got[512].text == texts[512].replace(wide[100:], "")
+    monkeypatch.setattr(chunking, "REACH", 7)
+    assert {r.doc_id: r.text for r in chunking.passages(frame).collect()} == {i: r.text for i, r in got.items()}
+    whole = chunking.without_passages(frame)
+    assert whole.count() == len(rows) and {r.doc_id: r.text for r in whole.collect()} == {i: got[i].text if i in got else t for i, t in texts.items()}
+    assert chunking.passages(frame.limit(0)).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     rows, k = [], 0
