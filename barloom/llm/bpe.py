@@ -8,8 +8,9 @@ recursively and joined; the join is associative, with the empty sequence as its
 Decoding concatenates.
 
 Each match of the pattern is encoded separately. A match that is itself a token is that token.
-Null texts are empty: no ids. Repeated rows are encoded each. Bytes that decode to no valid
-text are kept as they are.
+Null texts are empty: no ids. Repeated rows are encoded each; an empty table gives an empty one. A very long
+match costs its own bytes and a list of its tokens; what a worker remembers is bounded in bytes. Extra columns
+don't pass through encode. Bytes that decode to no valid text are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import free_name, map_arrow
 
 # Bytes that are merged directly, pair stabilities that a worker remembers.
 LEAF = 24
-PAIRS = 500_000
+PAIRS = 200_000
 
 
 class Ranks:
@@ -39,7 +40,7 @@ class Ranks:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the neighbours whose union has the lowest rank, the leftmost first, until none has one."""
@@ -83,7 +84,7 @@ class Ranks:
 
     def holds(self, a: int, b: int) -> bool:
         """Two tokens that stay as they are side by side."""
-        key = (a, b)
+        key = a * len(self.tokens) + b
         known = self.stable.get(key)
         if known is None:
             if len(self.stable) >= PAIRS:
@@ -149,43 +150,55 @@ def _text_bpe(path: str, pattern: str) -> TextBpe:
     return TextBpe(path, pattern)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> list[bytes]:
+    """A rank file's tokens by rank: all that decoding needs."""
+    with open(path, "rb") as f:
+        by_rank = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
+    return [by_rank.get(r, b"") for r in range(max(by_rank) + 1)]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of every text; ``ranks`` is a rank file that every worker can read.
 
+    With ``decoded``, the ids are decoded again in the same pass, into a column ``decoded``.
     ``pattern`` must treat ASCII white space as the usual patterns do: one space goes with
     the word after it, longer runs are matches of their own.
     """
+    from .units import binary_column, blocks
+
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .units import blocks
-
         bpe = _text_bpe(ranks, pattern)
         for batch in blocks(batches, "_text"):
             parts = [bpe(t) for t in batch.column("_text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(parts), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(pa.array(ends), ids)], ["_id", "ids"])
+            out = {"_id": batch.column("_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))}
+            if decoded:
+                out["decoded"] = binary_column([bpe.bpe.decode(np.frombuffer(p, "<i4").tolist()) for p in parts])
+            yield pa.RecordBatch.from_pydict(out)
 
-    return map_arrow(rows, run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    schema = f"_id {kind}, ids array<int>" + (", decoded binary" if decoded else "")
+    return map_arrow(rows, run, schema).withColumnRenamed("_id", id_col)
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """The input's columns and ``decoded`` binary: the tokens' bytes, concatenated."""
-    columns = encoded.columns
+def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
+    """The input's columns and ``decoded`` binary: the tokens' bytes, concatenated. A column of that name gives way to ``decoded_``."""
+    from .units import binary_column
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .units import binary_column
+    columns, name = encoded.columns, free_name(encoded, "decoded")
 
-        take = _text_bpe(ranks, pattern).bpe.decode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = _tokens(ranks).__getitem__
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 some = batch.slice(lo, 256)
                 ids = some.column(ids_col)
                 flat, ends = ids.flatten().to_numpy(), (np.array(ids.offsets) - ids.offsets[0].as_py()).tolist()
-                data = [take(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*some.columns, binary_column(data)], [*columns, "decoded"])
+                data = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*some.columns, binary_column(data)], [*columns, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
-    return map_arrow(encoded, run, f"{schema}, decoded binary")
+    return map_arrow(encoded, run, f"{schema}, {name} binary")

@@ -64,8 +64,9 @@ def cut(docs: DataFrame, removed: DataFrame, id_col: str, text_col: str, changed
     """
     h, s = free_name(docs, "_hash"), free_name(docs, "_spans")
     keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    spans = removed.select(F.col("_id").alias("_cut_id"), F.col("_hash").alias("_cut_hash"), F.col("spans").alias(s))
-    both = keyed.join(spans, keyed[id_col].eqNullSafe(spans["_cut_id"]) & (keyed[h] == spans["_cut_hash"]), "inner" if changed_only else "left")
+    i, c = free_name(docs, "_cut_id"), free_name(docs, "_cut_hash")
+    spans = removed.select(F.col("_id").alias(i), F.col("_hash").alias(c), F.col("spans").alias(s))
+    both = keyed.join(spans, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(c)), "inner" if changed_only else "left")
 
     def rest(b):
         def parts(x):

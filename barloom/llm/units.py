@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import json
 import re
+import weakref
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from string import ascii_letters
+from sys import getsizeof
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Distinct units in a generation of a worker's cache, of which two are held (about 150 MB), and bytes of text worked on at once.
-CACHE_UNITS = 500_000
+# Bytes that all unit caches of a worker hold together, and bytes of text worked on at once.
+CACHE_BYTES = 192 << 20
 BLOCK_BYTES = 4 << 20
+# What an entry of a dictionary takes beside its key and value.
+SLOT_BYTES = 96
 
 # White space beyond ASCII and separators on which libraries differ: such texts go to the library whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u200e\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
@@ -36,32 +40,58 @@ BARE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class UnitCache:
-    """unit -> value, filled by encode_many(units). When it is full, the generation before goes; what is used again stays."""
+    """unit -> value, filled by encode_many(units), in two generations of a share of the worker's budget.
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable], limit: int = CACHE_UNITS):
+    All caches of a worker draw on one budget in bytes. When newer generations take over half of it, the largest ages:
+    it becomes the older one, what is used again stays; older generations go when all take more than the budget. A unit
+    that alone takes more than a 64th of the budget is encoded each time.
+    """
+
+    every: weakref.WeakSet[UnitCache] = weakref.WeakSet()
+    budget = CACHE_BYTES
+
+    def __init__(self, encode_many: Callable[[list[str]], Iterable]):
         self.held: dict = {}
         self.old: dict = {}
-        self.encode_many, self.limit = encode_many, limit
+        self.held_bytes = self.old_bytes = 0
+        self.encode_many = encode_many
+        UnitCache.every.add(self)
 
     def of(self, units: list[str]) -> list:
         values = list(map(self.held.get, units))
         if None in values:
             gaps = [i for i, v in enumerate(values) if v is None]
             new = dict.fromkeys(units[i] for i in gaps)
-            if len(self.held) + len(new) > self.limit:
-                self.old, self.held = self.held, {}
             unknown = []
             for u in new:
                 if (v := self.old.get(u)) is None:
                     unknown.append(u)
                 else:
-                    self.held[u] = v
+                    new[u] = v
             if unknown:
-                self.held.update(zip(unknown, self.encode_many(unknown), strict=True))
+                new.update(zip(unknown, self.encode_many(unknown), strict=True))
             for i in gaps:
-                values[i] = self.held[units[i]]
+                values[i] = new[units[i]]
+            self.keep(new)
         return values
 
+    def keep(self, new: dict) -> None:
+        most = self.budget // 64
+        size = 0
+        for u, v in new.items():
+            entry = getsizeof(u) + getsizeof(v) + SLOT_BYTES
+            if entry <= most:
+                self.held[u] = v
+                size += entry
+        self.held_bytes += size
+        while sum(c.held_bytes for c in UnitCache.every) > self.budget // 2:
+            aged = max(UnitCache.every, key=lambda c: c.held_bytes)
+            aged.old, aged.held = aged.held, {}
+            aged.old_bytes, aged.held_bytes = aged.held_bytes, 0
+        while sum(c.held_bytes + c.old_bytes for c in UnitCache.every) > self.budget:
+            oldest = max(UnitCache.every, key=lambda c: c.old_bytes)
+            oldest.old, oldest.old_bytes = {}, 0
+
 
 def byte_alphabet() -> dict[int, int]:
     """How byte-level vocabularies write bytes: printable ones as themselves, the others as characters from 256 on, in order."""

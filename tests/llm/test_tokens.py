@@ -2,15 +2,17 @@
 import base64
 import random
 from collections import defaultdict
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barloom.llm import bpe, packing, tokencount, tokenfile
-from barloom.llm.units import text_encoder
+from barloom.llm.units import UnitCache, text_encoder
 
 TEXTS = [
     "", " ", "  ", "\n", "a", " a", "a ", "Hello  world\n\n\tfoo's  'll bar", "don't 's\n's", "x" * 5000, "ab" * 3000 + " " + "\t" * 700, "é à ü ñ ŝ İ ſ",
@@ -67,10 +69,29 @@ def test_join_is_associative_over_any_cut():
 
 def test_encode_and_decode(docs):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
-    for r in bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks, P.PATTERN).join(docs.select("doc_id", "text"), "doc_id").collect():
-        text = r.text or ""
-        if r.doc_id != 7:
-            assert r.ids == ENC.encode_ordinary(text) and bytes(r.decoded) == text.encode()
+    want = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect())
+    for got in (bpe.encode(docs, ranks, P.PATTERN, decoded=True), bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks)):
+        rows = got.collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.decoded).decode()) for r in rows) == want
+        assert all(r.ids == ENC.encode_ordinary(bytes(r.decoded).decode()) for r in rows)
+    clash = bpe.decode(bpe.encode(docs, ranks, P.PATTERN).withColumn("decoded", F.lit(1)), ranks)
+    assert clash.columns == ["doc_id", "ids", "decoded", "decoded_"] and clash.filter("decoded <> 1").count() == 0
+    empty = bpe.encode(docs.limit(0), ranks, P.PATTERN, decoded=True)
+    assert empty.count() == 0 and bpe.decode(bpe.encode(docs.limit(0), ranks, P.PATTERN), ranks).count() == 0
+
+
+def test_caches_share_one_budget(monkeypatch):
+    """Long units, short units and two caches never hold more than the budget, and answers stay right."""
+    monkeypatch.setattr(UnitCache, "every", type(UnitCache.every)())
+    monkeypatch.setattr(UnitCache, "budget", 1 << 20)
+    a, b = UnitCache(lambda units: [u.encode() for u in units]), UnitCache(lambda units: [len(u) for u in units])
+    rng = random.Random(4)
+    for k in range(300):
+        units = ["w%d" % rng.randint(0, 20000) for _ in range(200)] + ["l%d" % k * rng.randint(1, 9000)]
+        assert a.of(units) == [u.encode() for u in units] and (k % 3 or b.of(units) == [len(u) for u in units])
+        held = [x for c in (a, b) for d in (c.held, c.old) for x in d.items()]
+        assert sum(getsizeof(u) + getsizeof(v) for u, v in held) <= sum(c.held_bytes + c.old_bytes for c in (a, b)) <= 1 << 20
+    assert a.held and (a.old or b.old)
 
 
 def test_counts(spark, docs):
