@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunking, embeddings, lines, packing, ppm, quality, simhash, tokencount, tokenfile
+from . import alignment, bpe, chunking, embeddings, langid, lines, packing, ppm, prefixtrie, quality, simhash, tokencount, tokenfile
 from .common import table
 
 
@@ -79,5 +79,33 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a third of the ids is held out from learning."""
+    training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 != 1
+    found = langid.identify(table(spark, sf_dir, "documents"), training)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "lang_pred", "score")
+
+
+def own_after() -> Column:
+    """How many first turns a conversation takes from its group's first one."""
+    return (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+
+
+def shared_base() -> Column:
+    """The first conversation of a group of twenty."""
+    return F.col("conv_id") - F.pmod(F.col("conv_id"), F.lit(20))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of rebuilt conversations."""
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"), own_after(), shared_base())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers cut every document, and how common its links are."""
+    return alignment.cross_align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_ppm_scores, op4_line_dedup, op5_token_files, op6_simhash,
-                                   op7_near_embeddings, op8_token_counts, op9_quality_rules, op10_byte_bpe)}
+                                   op7_near_embeddings, op8_token_counts, op9_quality_rules, op10_byte_bpe, op11_language_id, op12_prefix_trie,
+                                   op13_token_alignment)}

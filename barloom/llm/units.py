@@ -131,16 +131,20 @@ class Spaced:
 
 
 class TextEncoder:
-    """Whole texts to little-endian unsigned 32-bit ids as a tokenizers file gives them, without added special tokens."""
+    """Whole texts to little-endian unsigned 32-bit ids as a tokenizers file gives them, without added special tokens.
 
-    def __init__(self, path: str):
+    With ``plain``, special strings inside texts are text like any other.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok.encode_special_tokens = plain
+        self.specials = [] if plain else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab_size = self.tok.get_vocab_size()
         probe = [self.tok.encode(x, add_special_tokens=False).ids for x in ("a  b\n c", "a b c")]
         self.drops_spaces = probe[0] == probe[1]
@@ -210,15 +214,15 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about BLOCK_BYTES of a string column at most (one row at least)."""
+def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of a string column at most (one row at least)."""
     for batch in batches:
         col = batch.column(column)
         sizes = np.cumsum(pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < len(sizes):
             done = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, done + BLOCK_BYTES, "right")))
+            hi = max(lo + 1, int(np.searchsorted(sizes, done + most, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
