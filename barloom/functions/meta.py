@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,12 @@ def lookback(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, r"(\d+)\D*$", 1).try_cast("int"), F.lit(0))
 
 
+def name_look_back(name: str) -> int:
+    """The same for one name."""
+    found = re.search(r"(\d+)\D*$", name)
+    return int(found.group(1)) if found else 0
+
+
 def clamp_threshold(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(lo.isNull(), x).otherwise(F.least(F.greatest(x, lo), hi))
 

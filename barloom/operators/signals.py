@@ -14,7 +14,7 @@ from .tiling import Tiles, drop_halo, running_offset
 _LAG = re.compile(r"lag\((\w+), (\d+)\) OVER \([^()]*\)")
 
 
-def _shifted(rule, names: list[str], back: int) -> str:
+def shifted_sql(rule, names: list[str], back: int) -> str:
     """Rule text over plain columns: ``x__k`` is feature x, k bars ago."""
     sql = _LAG.sub(lambda m: f"{m.group(1)}__{int(m.group(2)) + back}", rule_sql(rule))
     if back:
@@ -53,8 +53,8 @@ def rule_counts(inputs: DataFrame, rules: dict[str, tuple], batch: int = 100) ->
         aggs = []
         for i, (_, rule) in enumerate(part):
             names = features_of(rule)
-            now, before = _shifted(rule, names, 0), _shifted(rule, names, 1)
-            aggs += [F.expr(f"count_if({now}) AS h{i}"), F.expr(f"count_if({now} AND NOT {before}) AS e{i}")]
+            now, before = shifted_sql(rule, names, 0), shifted_sql(rule, names, 1)
+            aggs += [F.expr(f"count_if({now}) AS h{i}"), F.expr(f"count_if({now} AND NOT (bar_idx > 0 AND {before})) AS e{i}")]
         wide = inputs.groupBy("symbol").agg(*aggs)
         rows = ", ".join(f"struct('{name}' AS rule, h{i} AS hits, e{i} AS edges)" for i, (name, _) in enumerate(part))
         long = wide.selectExpr("symbol", f"inline(array({rows}))")
@@ -96,12 +96,12 @@ def entry_penalty(n_edges: Column, true_pct: Column, bars: Column, per_window: i
     return [low.alias("too_low"), high.alias("too_high"), often.alias("too_often"), factor.alias("penalty")]
 
 
-def overlap_verdict(bars: Column, entry: Column, regime: Column, overlap: Column, has_regime: bool) -> Column:
-    """First failed band: entry rate, regime rate, entry/regime overlap."""
+def overlap_verdict(bars: Column, entry: Column, regime: Column, overlap: Column, has_regime: bool | Column) -> Column:
+    """First failed band: entry rate, regime rate where there is a regime, entry/regime overlap."""
     pct = lambda n: n * 100.0 / bars
     verdict = F.when(bars <= 0, "empty_window").when((pct(entry) < 0.1) | (pct(entry) > 31.0), "entry_rate_out_of_band")
-    if has_regime:
-        verdict = verdict.when((pct(regime) < 1.0) | (pct(regime) > 99.7), "regime_rate_out_of_band")
+    has_regime = F.lit(has_regime) if isinstance(has_regime, bool) else has_regime
+    verdict = verdict.when(has_regime & ((pct(regime) < 1.0) | (pct(regime) > 99.7)), "regime_rate_out_of_band")
     return verdict.when((overlap < 10) & (pct(overlap) < 0.03), "entry_regime_no_overlap")
 
 

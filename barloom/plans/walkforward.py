@@ -54,13 +54,17 @@ def test_windows(folds: DataFrame) -> DataFrame:
     return folds.selectExpr("symbol", "fold AS grp", "test_start AS lo_idx", "test_end AS end_idx", f"greatest(test_start, {prev}) AS own_lo")
 
 
-def fold_trades(prep: DataFrame, strategies: list[Strategy], folds: DataFrame) -> DataFrame:
+def fold_trades(prep: DataFrame, strategies: list[Strategy], folds: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Trades per (strategy, fold, symbol): signals only inside the test window, history from before it.
 
+    ``pairs`` (strategy, symbol): nothing is labelled for others.
+
     A position still open at the window's end is marked at the last close less costs.
     """
     windows = test_windows(folds).drop("own_lo")
-    lab = O.label(O.entries(prep, strategies, windows), O.path_bars(prep, strategies), strategies)
+    events = O.entries(prep, strategies, windows)
+    events = events if pairs is None else events.join(pairs, ["strategy", "symbol"], "left_semi")
+    lab = O.label(events, O.path_bars(prep, strategies), strategies)
     t = select_trades(lab, {i: s.cooldown for i, s in enumerate(strategies)}, {i: s.max_losses for i, s in enumerate(strategies)})
     marked = "dir * (last_close / entry_price - 1) - (2 * fee + slip) / 1e4D"
     return t.withColumn("pnl", F.expr(f"CASE WHEN reason = 'end_of_data' THEN {marked} ELSE pnl END"))
@@ -72,11 +76,11 @@ def fold_metrics(trades: DataFrame, keys: list[str] = X.SERIES) -> DataFrame:
     return m.join(dd, keys).withColumn("fold_score", F.expr("trades * mean_pnl - 0.5D * max_dd + expectancy"))
 
 
-def fold_equity(trades: DataFrame, folds: DataFrame, bars: DataFrame, strategies: list[Strategy], horizon: int) -> DataFrame:
+def fold_equity(trades: DataFrame, folds: DataFrame, bars: DataFrame, strategies: list[Strategy], horizon: int, pairs: DataFrame | None = None) -> DataFrame:
     """Marked equity of every fold, 1 at its first bar."""
     names = F.explode(F.array(*[F.lit(s.name) for s in strategies]))
     spans = test_windows(folds).drop("own_lo").withColumn("strategy", names)
-    return X.equity(trades, spans, bars, horizon)
+    return X.equity(trades, spans if pairs is None else spans.join(pairs, ["strategy", "symbol"], "left_semi"), bars, horizon)
 
 
 def stitch(fold_eq: DataFrame, folds: DataFrame) -> DataFrame:
@@ -115,10 +119,10 @@ def oos_summary(stitched: DataFrame, trades: DataFrame, folds: DataFrame, strate
     )
 
 
-def walk_forward(bars: DataFrame, strategies: list[Strategy], folds: DataFrame):
-    """(fold trades, fold equity, stitched equity), each written once."""
+def walk_forward(bars: DataFrame, strategies: list[Strategy], folds: DataFrame, pairs: DataFrame | None = None):
+    """(fold trades, fold equity, stitched equity), each written once; with ``pairs``, only of these (strategy, symbol)."""
     prep = materialize(O.prepared(bars, strategies), "prepared")
-    trades = materialize(fold_trades(prep, strategies, folds), "fold-trades")
+    trades = materialize(fold_trades(prep, strategies, folds, pairs), "fold-trades")
     horizon = max([s.max_hold for s in strategies] + [trades.agg(F.max(F.expr("exit_idx - entry_idx"))).first()[0] or 0]) + 1
-    eq = materialize(fold_equity(trades, folds, bars, strategies, horizon), "fold-equity")
+    eq = materialize(fold_equity(trades, folds, bars, strategies, horizon, pairs), "fold-equity")
     return trades, eq, stitch(eq, folds)

@@ -110,20 +110,30 @@ WF_BOOK = [
     Strategy("wf_dip", ("AND", ("LT", "RSI14", 50.0), ("Rising", "EMA10", 1)), regime=("GT", "ADX", 8.0), stop=("atr", 1.5),
              target=("atr", 1.5), trail=("atr", 1.2), max_hold=12, cooldown=2),
 ]
-FOLDS_SQL = f"""span AS (SELECT symbol, min(close_ms) AS t0, max(close_ms) AS t1 FROM bars GROUP BY symbol),
-fk AS (SELECT symbol, t0, unnest(range(0, (t1 - t0 - {450 * DAY_MS}) // {60 * DAY_MS} + 1)) AS fold FROM span WHERE t1 - t0 >= {450 * DAY_MS}),
-ft AS (SELECT symbol, fold, t0 + fold * {60 * DAY_MS} AS a, t0 + fold * {60 * DAY_MS} + {360 * DAY_MS} AS b, t0 + fold * {60 * DAY_MS} + {450 * DAY_MS} AS c FROM fk),
+def folds_sql(train: int, test: int, step: int) -> str:
+    """CTEs ``folds`` and ``win``: rolling folds of so many days."""
+    whole, step_ms = (train + test) * DAY_MS, step * DAY_MS
+    return f"""span AS (SELECT symbol, min(close_ms) AS t0, max(close_ms) AS t1 FROM bars GROUP BY symbol),
+fk AS (SELECT symbol, t0, unnest(range(0, (t1 - t0 - {whole}) // {step_ms} + 1)) AS fold FROM span WHERE t1 - t0 >= {whole}),
+ft AS (SELECT symbol, fold, t0 + fold * {step_ms} AS a, t0 + fold * {step_ms} + {train * DAY_MS} AS b, t0 + fold * {step_ms} + {whole} AS c FROM fk),
 folds AS MATERIALIZED (SELECT f.symbol, f.fold, count(*) FILTER (WHERE close_ms < a) AS train_start, count(*) FILTER (WHERE close_ms < b) AS train_end,
   count(*) FILTER (WHERE close_ms < b) AS test_start, count(*) FILTER (WHERE close_ms < c) AS test_end
   FROM ft f JOIN bars USING (symbol) GROUP BY f.symbol, f.fold),
 win AS (SELECT symbol, fold AS grp, test_start, test_end, greatest(test_start, coalesce(max(test_end) OVER (PARTITION BY symbol ORDER BY fold
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own_lo FROM folds)"""
+
+
+FOLDS_SQL = folds_sql(360, 90, 60)
 _names = ", ".join(f"('{s.name}')" for s in WF_BOOK)
-WF_SQL = f"""{trades_cte(WF_BOOK, 'orders', FOLDS_SQL).replace("trades AS MATERIALIZED", "closed AS MATERIALIZED")},
+
+
+def wf_sql(book: list[Strategy], folds: str, names: str) -> str:
+    """CTEs up to fold trades, stitched equity and months; ``names``: the strategies that get equity."""
+    return f"""{trades_cte(book, 'orders', folds).replace("trades AS MATERIALIZED", "closed AS MATERIALIZED")},
 trades AS MATERIALIZED (SELECT c.* REPLACE (CASE WHEN reason = 'end_of_data' THEN c.dir * (b.close / entry_price - 1) - (2 * fee + slip) / 1e4
   ELSE pnl END AS pnl) FROM closed c JOIN bars b ON b.symbol = c.symbol AND b.bar_idx = c.end_idx - 1),
 eq0 AS (SELECT s.strategy, w.grp, b.symbol, b.bar_idx, b.close_ms, b.close, w.own_lo FROM win w JOIN bars b ON b.symbol = w.symbol
-  AND b.bar_idx >= w.test_start AND b.bar_idx < w.test_end, (VALUES {_names}) s(strategy)),
+  AND b.bar_idx >= w.test_start AND b.bar_idx < w.test_end, (VALUES {names}) s(strategy)),
 eq AS MATERIALIZED (SELECT e.strategy, e.grp, e.symbol, e.bar_idx, e.close_ms, e.own_lo,
     coalesce(product(1 + x.pnl) OVER (PARTITION BY e.strategy, e.grp, e.symbol ORDER BY e.bar_idx), 1.0)
     * coalesce(1 + m.dir * (e.close / m.entry_price - 1), 1.0) AS equity
@@ -141,10 +151,13 @@ mo2 AS (SELECT strategy, symbol, month, arg_min(equity, bar_idx) AS start_eq, ar
   FROM mo1 GROUP BY ALL),
 mt AS (SELECT strategy, symbol, strftime(make_timestamp_ms(entry_ms), '%Y-%m') AS month, count(*) AS n FROM ownt GROUP BY ALL),
 mo AS MATERIALIZED (SELECT m.*, coalesce(n, 0) AS trades, CASE WHEN start_eq > 1e-9 THEN end_eq / start_eq - 1 ELSE 0 END AS ret FROM mo2 m LEFT JOIN mt USING (strategy, symbol, month)),
-fd AS (SELECT s.strategy, w.symbol, w.grp, count(t.symbol) AS n FROM win w CROSS JOIN (VALUES {_names}) s(strategy)
+fd AS (SELECT s.strategy, w.symbol, w.grp, count(t.symbol) AS n FROM win w CROSS JOIN (VALUES {names}) s(strategy)
   LEFT JOIN trades t ON t.strategy = s.strategy AND t.symbol = w.symbol AND t.grp = w.grp GROUP BY ALL),
 fds AS (SELECT strategy, symbol, count(*) AS folds, min(n) AS min_trades_fold, count(*) FILTER (WHERE n = 0) AS zero_folds,
   count(*) FILTER (WHERE n = 0) / count(*) AS zero_fold_ratio FROM fd GROUP BY ALL)"""
+
+
+WF_SQL = wf_sql(WF_BOOK, FOLDS_SQL, _names)
 MONTHS_SQL = """ms AS (SELECT strategy, symbol, count(*) AS months, sum(trades) AS month_trades, CASE WHEN bool_or(ret <= -1) THEN -1 ELSE exp(avg(ln(1 + ret)) FILTER (WHERE ret > -1)) - 1 END AS geo_monthly,
   CASE WHEN bool_or(ret <= -1) THEN -1 ELSE coalesce(exp(avg(ln(1 + ret)) FILTER (WHERE ret > -1 AND (trades > 0 OR abs(ret) > 0.001))) - 1, 0) END AS active_geo_monthly, median(ret) AS median_month,
   coalesce(median(ret) FILTER (WHERE trades > 0 OR abs(ret) > 0.001), 0) AS median_active, coalesce(stddev_samp(ret), 0) AS std_month,

@@ -9,7 +9,6 @@ from ..operators import metrics as X
 from ..operators import ranking as K
 from ..operators import signals as S
 from ..operators.joins import unseen
-from ..operators.outcomes import windowed
 from ..session import materialize
 from . import sqlkit as Q
 from .common import Registry, bars_of, rounded, table
@@ -188,7 +187,6 @@ def window_gate(spark, d):
 # --- rule rates -------------------------------------------------------------------
 
 RATE_RULES = {"entry": RULES["tree_or"], "regime": ("GT", "ADX", 15.0)}
-RATE_FOLDS = [(0, 200, 330), (1, 300, 460), (2, 420, 600)]
 
 
 def rate_frame(spark, d):
@@ -226,33 +224,6 @@ SELECT symbol, bars, entry_true, edges, entry_active, regime_true, overlap, too_
     WHEN overlap < 10 AND 100.0 * overlap / bars < 0.03 THEN 'entry_regime_no_overlap' END AS band FROM p"""
 
 
-def fold_rates(spark, d):
-    """Edges and overlap inside test windows, then per-symbol verdicts."""
-    f = rate_frame(spark, d)
-    folds = f.select("symbol").distinct().withColumn(
-        "w", F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(a).alias("lo_idx"), F.lit(b).alias("end_idx")) for i, a, b in RATE_FOLDS])))
-    per = windowed(f, folds.select("symbol", "w.*"), "bar_idx").groupBy("symbol", "fold").agg(
-        F.count(F.lit(1)).alias("bars"), F.count_if("on_edge").alias("edges"), F.count_if("on").alias("overlap"))
-    out = per.groupBy("symbol").agg(
-        F.sum("edges").alias("edges"), F.sum("overlap").alias("overlap"), F.count_if(F.expr("overlap < 2")).alias("thin_folds"),
-        F.count_if(F.expr("edges = 0")).alias("dead_folds"), F.count(F.lit(1)).alias("folds"), F.sum("bars").alias("bars"),
-        F.min(F.expr("edges / bars * 8766D")).alias("worst_rate"))
-    out = out.withColumn("edges_per_year", F.expr("edges / bars * 8766D"))
-    out = out.withColumn("verdict", F.expr(G.ladder([
-        ("thin_folds >= (folds + 1) div 2", "dead_folds"), ("overlap < folds * 2 div 2", "overlap_too_low"),
-        ("edges = 0 OR dead_folds >= (folds + 1) div 2 OR edges_per_year < 10", "edge_rate_too_low"), ("worst_rate < 3", "fold_edge_rate_too_low")])))
-    return rounded(out, ["edges_per_year", "worst_rate"])
-
-
-FOLD_RATES = f"""WITH RECURSIVE {RATES}, fr AS (SELECT symbol, w.fold, count(*) AS bars, count(*) FILTER (WHERE ok_edge) AS edges, count(*) FILTER (WHERE ok) AS overlap
-  FROM e JOIN (VALUES {', '.join(map(str, RATE_FOLDS))}) w(fold, lo, hi) ON bar_idx >= lo AND bar_idx < hi GROUP BY ALL),
-a AS (SELECT symbol, CAST(sum(edges) AS BIGINT) AS edges, CAST(sum(overlap) AS BIGINT) AS overlap, count(*) FILTER (WHERE overlap < 2) AS thin_folds,
-  count(*) FILTER (WHERE edges = 0) AS dead_folds, count(*) AS folds, CAST(sum(bars) AS BIGINT) AS bars, min(edges / bars * 8766) AS worst FROM fr GROUP BY symbol)
-SELECT symbol, edges, overlap, thin_folds, dead_folds, folds, bars, {R('worst')} AS worst_rate, {R('edges / bars * 8766')} AS edges_per_year,
-  CASE WHEN thin_folds >= (folds + 1) // 2 THEN 'dead_folds' WHEN overlap < folds THEN 'overlap_too_low'
-    WHEN edges = 0 OR dead_folds >= (folds + 1) // 2 OR edges / bars * 8766 < 10 THEN 'edge_rate_too_low' WHEN worst < 3 THEN 'fold_edge_rate_too_low' END AS verdict FROM a"""
-
-
 def prefilter(spark, d):
     """Dead-rule verdict per rule and symbol on the last 3000 bars: all rules in one pass over the bars."""
     names = [n for n in RULES if n != "empty"]
@@ -277,15 +248,6 @@ SELECT *, CASE WHEN entry = 0 THEN 'dead_entry' WHEN entry < 3 OR entry < bars *
   WHEN overlap < 2 THEN 'overlap_too_sparse' END AS verdict FROM u"""
 
 
-def gate_order(spark, d):
-    """Gates in order over (rule, symbol): prefilter, regime, overlap, edges; first failure is kept."""
-    pre = prefilter(spark, d)
-    out = pre.withColumn("stage", F.expr("""CASE WHEN verdict IS NOT NULL THEN 'prescreen'
-        WHEN regime * 100.0 / bars NOT BETWEEN 1 AND 99 THEN 'regime' WHEN overlap < 10 THEN 'overlap'
-        WHEN entry / bars * 8766 < 900 THEN 'edge_rate' ELSE 'passed' END"""))
-    return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-
-
 # A grid of rules evaluated together.
 GRID = {f"{k}_{f}_{x}": (k, f, float(x)) for k in ("GT", "LT") for f, xs in
         {"RSI14": (30, 40, 50, 60), "ROC10": (-40, 0, 40), "ADX": (10, 15, 20)}.items() for x in xs}
@@ -385,12 +347,8 @@ def register(reg: Registry) -> None:
         count(*) FILTER (WHERE stage_failed LIKE 'train%') AS trained, count(*) FILTER (WHERE stage_failed IS NULL) AS passed FROM stg)
         SELECT *, {R('100.0 * screened / generated')} AS screened_pct, {R('100.0 * trained / generated')} AS trained_pct, {R('100.0 * passed / generated')} AS passed_pct FROM c""")
     reg.add("a16_a17_a18_rates", rates, RATES_SQL)
-    reg.add("a19_a20_j04_fold_rates", fold_rates, FOLD_RATES)
     reg.add("w09_j06_prefilter", prefilter, PREFILTER)
     reg.add("j06_a16_rule_grid", rule_grid, GRID_SQL)
-    reg.add("w10_gate_order", gate_order, f"""WITH p AS ({PREFILTER.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)})
-        SELECT CASE WHEN verdict IS NOT NULL THEN 'prescreen' WHEN regime * 100.0 / bars NOT BETWEEN 1 AND 99 THEN 'regime' WHEN overlap < 10 THEN 'overlap'
-        WHEN entry / bars * 8766 < 900 THEN 'edge_rate' ELSE 'passed' END AS stage, count(*) AS n FROM p GROUP BY 1""")
     pick = ["strategy", "score", "max_dd", "ret", "trades"]
     nums = ["score", "max_dd", "ret"]
     cols = f"strategy, trades, {Q.rounded(nums)}"
