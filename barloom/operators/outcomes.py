@@ -260,20 +260,6 @@ def violations(trades: DataFrame) -> DataFrame:
     )
 
 
-def bar_states(trades: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """State labels of every bar a trade touches, per strategy: signal, enter, holding, exit_<reason>."""
-    j = next_bars(
-        trades.select("symbol", "strategy", "entry_idx", "exit_idx", "signal_idx", "reason"),
-        bars.select("symbol", "bar_idx", "open_ms"), horizon + 1, "signal_idx",
-    ).filter("bar_idx <= exit_idx")
-    j = j.withColumn("label", F.explode(F.expr("""filter(array(
-        CASE WHEN bar_idx = signal_idx THEN 'signal' END,
-        CASE WHEN bar_idx = entry_idx THEN 'enter' END,
-        CASE WHEN bar_idx > signal_idx AND bar_idx < exit_idx THEN 'holding' END,
-        CASE WHEN bar_idx = exit_idx THEN concat('exit_', reason) END), x -> x IS NOT NULL)""")))
-    return j.groupBy("symbol", "strategy", "bar_idx", "open_ms").agg(F.sort_array(F.collect_list("label")).alias("states"))
-
-
 def context(trades: DataFrame, bars: DataFrame, cols: list[str], horizon: int) -> DataFrame:
     """Bars from just before entry to just after exit, with features."""
     t = trades.select("symbol", "strategy", "entry_idx", "exit_idx").withColumn("from_idx", F.col("entry_idx") - 1)

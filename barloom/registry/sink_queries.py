@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import features
 from ..operators import joins as J
-from ..operators import outcomes as O
 from ..operators import ranking as K
 from ..session import materialize, prepare, shared_folder
 from ..sources import sinks as Z
@@ -18,8 +17,8 @@ from . import sqlkit as Q
 from .common import Registry, bars_of, rounded, table
 from .metric_queries import POINTS_SQL, R, points_of
 from .score_queries import SC, scored
-from .trade_queries import BOOK, HOLD, with_trades
-from .trade_sql import trades_cte
+from .trade_queries import BOOK, STATES_SQL, states_sql, with_states, with_trades
+from .trade_sql import names_of, trades_cte
 from ..sources.bars import HOUR_MS
 
 TRAILING = ", ".join(f"'{s.name}'" for s in BOOK if s.trail)
@@ -67,19 +66,19 @@ def trade_sink(spark, t, b):
     return rounded(back.drop("ProofSummary"), ["EntryPrice", "ExitPrice", "PnL", "StopPrice", "TPPrice"])
 
 
-def state_sink(spark, t, b):
-    out = Z.state_file(O.bar_states(t, b, HOLD))
+def state_sink(spark, t, b, states):
+    out = Z.state_file(states, b)
     path = _path(spark, "states")
     out.write.parquet(path)
-    return spark.read.parquet(path).groupBy("strategy", "Statuses").agg(F.count(F.lit(1)).alias("n"), F.min("Time").alias("first"))
+    return spark.read.parquet(path).groupBy("strategy", "Statuses").agg(F.count(F.lit(1)).alias("n"), F.min("Time").alias("first"), F.max("BarIndex").alias("last"))
 
 
-def trace_sink(spark, t, b):
+def trace_sink(spark, t, b, states):
     f = features(b, ["RSI14", "EMA20"]).withColumn("hot", F.col("RSI14") > 60)
-    out = Z.trace(O.bar_states(t.filter("strategy = 'wide_long'"), b, HOLD), f, ["RSI14", "EMA20", "hot"])
+    out = Z.trace(states, f, ["RSI14", "EMA20", "hot"])
     path = _path(spark, "trace")
     out.write.parquet(path)
-    return rounded(spark.read.parquet(path).groupBy("symbol", "state", "hot").agg(F.count(F.lit(1)).alias("n"), F.avg("EMA20").alias("mean")), ["mean"])
+    return rounded(spark.read.parquet(path).groupBy("symbol", "strategy", "state", "hot").agg(F.count(F.lit(1)).alias("n"), F.avg("EMA20").alias("mean")), ["mean"])
 
 
 def points(spark, d):
@@ -156,16 +155,10 @@ def register(reg: Registry) -> None:
         signal_idx AS SignalIndex, entry_idx AS EntryIndex, exit_idx AS ExitIndex, {ts('b.open_ms')} AS SignalTime, {ts('entry_ms')} AS EntryTime, {ts('exit_ms')} AS ExitTime,
         CASE WHEN dir = 1 THEN 'LONG' ELSE 'SHORT' END AS Direction, {R('entry_price')} AS EntryPrice, {R('exit_price')} AS ExitPrice, {R('pnl')} AS PnL, hold AS HoldBars, reason AS ExitReason,
         {R('stop')} AS StopPrice, {R('target')} AS TPPrice, strategy IN ({TRAILING}) AS TrailActive FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx = t.signal_idx""")
-    states = f"""{trades_cte(BOOK)}, l AS (SELECT t.symbol, strategy, b.bar_idx, b.open_ms, unnest(list_filter([
-        CASE WHEN b.bar_idx = signal_idx THEN 'signal' END, CASE WHEN b.bar_idx = entry_idx THEN 'enter' END,
-        CASE WHEN b.bar_idx > signal_idx AND b.bar_idx < exit_idx THEN 'holding' END, CASE WHEN b.bar_idx = exit_idx THEN 'exit_' || reason END],
-        lambda x: x IS NOT NULL)) AS lab FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx BETWEEN signal_idx AND exit_idx),
-        s AS (SELECT symbol, strategy, bar_idx, open_ms, string_agg(lab, ',' ORDER BY lab) AS st FROM l GROUP BY ALL)"""
-    reg.add("s07_state_file", with_trades(state_sink),
-            f"""WITH RECURSIVE {states} SELECT strategy, st AS "Statuses", count(*) AS n, min(open_ms) AS first FROM s GROUP BY ALL""")
-    reg.add("s08_trace", with_trades(trace_sink), f"""WITH RECURSIVE {states}, x AS (SELECT f.symbol, coalesce(st, 'flat') AS state, RSI14 > 60 AS hot, EMA20
-        FROM f LEFT JOIN s ON s.symbol = f.symbol AND s.bar_idx = f.bar_idx AND s.strategy = 'wide_long')
-        SELECT symbol, state, hot, count(*) AS n, {R('avg(EMA20)')} AS mean FROM x GROUP BY ALL""")
+    reg.add("s07_state_file", with_states(state_sink), f"""WITH RECURSIVE {STATES_SQL} SELECT strategy, CASE WHEN st = 'filtered' THEN '' ELSE st END AS "Statuses", count(*) AS n,
+        min(open_ms) AS first, max(bar_idx) AS last FROM states GROUP BY ALL""")
+    reg.add("s08_trace", with_states(trace_sink), f"""WITH RECURSIVE {states_sql(BOOK).replace(Q.features_cte(names_of(BOOK)), Q.features_cte([*names_of(BOOK), *[n for n in ("RSI14", "EMA20") if n not in names_of(BOOK)]]))}
+        SELECT s.symbol, strategy, st AS state, RSI14 > 60 AS hot, count(*) AS n, {R('avg(EMA20)')} AS mean FROM states s JOIN f ON f.symbol = s.symbol AND f.bar_idx = s.bar_idx GROUP BY ALL""")
     reg.add("s09_diagnostic_points", points, f"""WITH RECURSIVE {Q.features_cte(["RSI14", "BB_Upper20", "BB_Lower20"])},
         {POINTS_SQL[POINTS_SQL.index('pts AS'):]}, n AS (SELECT p.symbol, t, bar_idx, abs(close_ms - t) AS gap FROM pts p JOIN bars b USING (symbol)
         QUALIFY row_number() OVER (PARTITION BY p.symbol, t ORDER BY abs(close_ms - t), bar_idx) = 1)

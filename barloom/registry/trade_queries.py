@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import outcomes as X
 from ..operators.selection import select_trades
 from ..operators import simple as simple_engine
+from ..operators import timeline as TL
 from ..plans.strategy import PRESETS, SIMPLE_PRESETS, Strategy
 from ..session import materialize
 from . import sqlkit as Q
 from .common import Registry, bars_of, rounded
-from .rule_queries import RULES
+from .rule_queries import RULES, twin
 from .trade_sql import labels_cte, simple_cte, trades_cte
 
 # Strategies used across the queries.
@@ -68,6 +69,40 @@ def with_trades(fn, strategies=BOOK):
     return run
 
 
+def with_states(fn, strategies=BOOK):
+    """Run ``fn(spark, trades, bars, states)`` with the state of every bar of every series."""
+    def run(spark, d):
+        bars = materialize(bars_of(spark, d), "bars")
+        prep = materialize(X.prepared(bars, strategies), "prepared")
+        ids = range(len(strategies))
+        lab = X.label(X.entries(prep, strategies), X.path_bars(prep, strategies), strategies)
+        t = materialize(select_trades(lab, {i: strategies[i].cooldown for i in ids}, {i: strategies[i].max_losses for i in ids}), "trades")
+        return fn(spark, t, bars, TL.bar_states(TL.timeline(prep, t, strategies)))
+    return run
+
+
+def states_sql(strategies) -> str:
+    """CTEs up to ``states``: one row per bar and strategy."""
+    vol = lambda s: "TRUE" if s.vol_threshold is None else f"(ATR14_SMA50 <= 0 OR ATR14 >= {s.vol_threshold} * ATR14_SMA50)"
+    each = " UNION ALL ".join(
+        f"SELECT symbol, bar_idx, open_ms, '{s.name}' AS strategy, {i} AS sid, {s.cooldown} AS cool, {s.max_losses} AS cap, {s.warmup} AS warm, Active > 0 AND g_{i} AND w_{i} AS gate, sig_{i} AS sig FROM gx"
+        for i, s in enumerate(strategies))
+    cols = ", ".join(f"{twin(s.regime)} AS g_{i}, {vol(s)} AS w_{i}" for i, s in enumerate(strategies))
+    return f"""{trades_cte(strategies)}, gx AS MATERIALIZED (SELECT sg.*, {cols} FROM sg), gl AS ({each}),
+tn AS (SELECT *, sum(CASE WHEN pnl >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sid, symbol ORDER BY signal_idx) AS wins FROM trades),
+tail AS (SELECT sid, symbol, max(exit_idx) AS last_exit, count(*) FILTER (WHERE wins = top) - CASE WHEN max(wins) > 0 THEN 1 ELSE 0 END AS lost
+  FROM (SELECT *, max(wins) OVER (PARTITION BY sid, symbol) AS top FROM tn) GROUP BY sid, symbol),
+sizes AS (SELECT symbol, count(*) AS n FROM f GROUP BY symbol),
+states AS MATERIALIZED (SELECT g.symbol, g.strategy, g.bar_idx, g.open_ms, CASE WHEN t.sid IS NOT NULL THEN
+    CASE WHEN g.bar_idx = signal_idx THEN 'signal,pending,flat' WHEN g.bar_idx > exit_idx THEN 'cooldown' WHEN entry_idx = exit_idx THEN 'enter,exit_' || reason
+      WHEN g.bar_idx = entry_idx THEN 'enter' WHEN g.bar_idx = exit_idx THEN 'exit_' || reason ELSE 'holding' END
+  WHEN NOT gate THEN 'filtered' WHEN NOT sig THEN 'flat' WHEN cap > 0 AND lost >= cap AND g.bar_idx > last_exit THEN 'busted,flat' WHEN g.bar_idx < warm THEN 'signal_warmup,flat'
+  WHEN g.bar_idx + 1 >= n THEN 'signal_skipped_end_of_data,flat' ELSE 'flat' END AS st
+  FROM gl g JOIN sizes USING (symbol) LEFT JOIN tail l ON l.sid = g.sid AND l.symbol = g.symbol
+  LEFT JOIN trades t ON t.sid = g.sid AND t.symbol = g.symbol AND g.bar_idx BETWEEN t.signal_idx AND t.exit_idx + g.cool)"""
+
+
+STATES_SQL = states_sql(BOOK)
 HOLD = max(s.max_hold for s in BOOK) + 1
 
 
@@ -96,15 +131,8 @@ def register(reg: Registry) -> None:
         count(*) FILTER (WHERE reason = '') AS no_reason, count(*) FILTER (WHERE dir * (entry_price - stop) <= 0) AS stop_side,
         count(*) FILTER (WHERE dir * (target - entry_price) <= 0) AS target_side, count(*) FILTER (WHERE pnl <= -100 OR pnl >= 1000) AS pnl_bounds,
         count(*) FILTER (WHERE hold <= 0) AS bad_hold, count(*) FILTER (WHERE end_idx <= exit_idx) AS past_end FROM trades GROUP BY strategy""")
-    reg.add("o13_bar_states",
-            with_trades(lambda s, t, b: X.bar_states(t, b, HOLD).select(
-                "symbol", "strategy", "bar_idx", F.array_join("states", ",").alias("states"))),
-            f"""WITH RECURSIVE {trades_cte(BOOK)}, l AS (SELECT t.symbol, strategy, b.bar_idx, unnest(list_filter([
-            CASE WHEN b.bar_idx = signal_idx THEN 'signal' END, CASE WHEN b.bar_idx = entry_idx THEN 'enter' END,
-            CASE WHEN b.bar_idx > signal_idx AND b.bar_idx < exit_idx THEN 'holding' END,
-            CASE WHEN b.bar_idx = exit_idx THEN 'exit_' || reason END], lambda x: x IS NOT NULL)) AS lab
-            FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx BETWEEN signal_idx AND exit_idx)
-            SELECT symbol, strategy, bar_idx, string_agg(lab, ',' ORDER BY lab) AS states FROM l GROUP BY ALL""")
+    reg.add("o13_bar_states", with_states(lambda s, t, b, states: states.select("symbol", "strategy", "bar_idx", F.array_join("states", ",").alias("states"))),
+            f"""WITH RECURSIVE {STATES_SQL} SELECT symbol, strategy, bar_idx, st AS states FROM states""")
     reg.add("o14_context",
             with_trades(lambda s, t, b: rounded(X.context(t, b, ["close", "volume"], HOLD), ["close", "volume"])),
             f"""WITH RECURSIVE {trades_cte(BOOK)} SELECT t.symbol, t.strategy, t.entry_idx, b.bar_idx, b.bar_idx - t.entry_idx AS pos,

@@ -17,9 +17,13 @@ def _slip(volz):
     return f"(slip / 1e4 * CASE WHEN {volz} < -2 - 1e-9 THEN 4 WHEN {volz} < -1 - 1e-9 THEN 2 ELSE 1 END)"
 
 
+def names_of(strategies: list[Strategy]) -> list[str]:
+    return list(dict.fromkeys([*NEEDED, *[f for s in strategies for f in s.features()]]))
+
+
 def labels_cte(strategies: list[Strategy], source: str = "events", folds: str | None = None) -> str:
     """CTEs up to ``lab``.  ``folds``: optional CTE text giving folds(symbol, fold, test_start, test_end)."""
-    names = list(dict.fromkeys([*NEEDED, *[f for s in strategies for f in s.features()]]))
+    names = names_of(strategies)
     sig = ", ".join(
         f"(Active > 0 AND {twin(s.entry)} AND {twin(s.regime)} AND "
         + ("TRUE" if s.vol_threshold is None else f"(ATR14_SMA50 <= 0 OR ATR14 >= {s.vol_threshold} * ATR14_SMA50)")

@@ -26,15 +26,16 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def state_file(states: DataFrame) -> DataFrame:
-    """Bar states in the plain file layout."""
-    return states.selectExpr("symbol", "strategy", "bar_idx AS BarIndex", "open_ms AS Time", "array_join(states, ',') AS Statuses")
+def state_file(states: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bar states in the plain file layout; a bar on which no signal could pass has none."""
+    timed = states.join(bars.select("symbol", "bar_idx", "open_ms"), ["symbol", "bar_idx"])
+    return timed.selectExpr("symbol", "strategy", "bar_idx AS BarIndex", "open_ms AS Time", "array_join(array_remove(states, 'filtered'), ',') AS Statuses")
 
 
 def trace(states: DataFrame, featured: DataFrame, cols: list[str]) -> DataFrame:
-    """Every bar with its state, features and rule columns; bars without a trade are flat."""
+    """Every bar of every strategy with its state, features and rule columns."""
     s = states.select("symbol", "strategy", "bar_idx", F.array_join("states", ",").alias("state"))
-    return featured.select("symbol", "bar_idx", *cols).join(s, ["symbol", "bar_idx"], "left").na.fill("flat", ["state"])
+    return s.join(featured.select("symbol", "bar_idx", *cols), ["symbol", "bar_idx"])
 
 
 def diagnostic_points(nearest: DataFrame, featured: DataFrame, cols: list[str]) -> DataFrame:
