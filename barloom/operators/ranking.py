@@ -88,14 +88,47 @@ LEAF_COARSE = (
 )
 
 
-def families(leaves: DataFrame, keys: list[str], pos: str | None = None) -> DataFrame:
-    """Exact, skeleton and coarse fingerprints of leaf sets, in leaf order."""
-    order = pos or "0"
-    parts = leaves.select(*keys, F.struct(
-        F.expr(f"{order} AS pos"), F.expr(f"{LEAF_EXACT} AS e"), F.expr(f"{LEAF_SKELETON} AS s"), F.expr(f"{LEAF_COARSE} AS c")).alias("leaf"))
-    packed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("leaf")).alias("l"))
-    join = lambda f: F.array_join(F.transform("l", lambda v: v[f]), "|")
-    return packed.select(*keys, join("e").alias("exact"), join("s").alias("skeleton"), join("c").alias("coarse"))
+def rule_texts(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, exact, skeleton, coarse): a rule's tree as nested text, from its rows (pos, depth, kind, a, b, x, y, lb) in prefix order.
+
+    A row opens its bracket; the last row of a subtree closes all that end with it, which its depth and the next row's tell.
+    """
+    op = F.col("kind").isin("AND", "OR", "NOT")
+    said = {"exact": LEAF_EXACT, "skeleton": LEAF_SKELETON, "coarse": LEAF_COARSE}
+    row = F.struct("pos", "depth", op.alias("op"), *[F.when(op, F.col("kind")).otherwise(F.expr(text)).alias(name) for name, text in said.items()])
+    packed = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # no more rows than a rule has nodes
+
+    def text(name):
+        def one(r, i):
+            after = F.coalesce(F.get("rows", i + 1)["depth"], F.lit(0))
+            end = F.concat(F.lit(")"), F.repeat(F.lit(")"), r["depth"] - after), F.when(i + 1 < F.size("rows"), F.lit(" ")).otherwise(""))
+            return F.concat(F.lit("("), r[name], F.when(r["op"], F.lit(" ")).otherwise(end))
+        return F.array_join(F.transform("rows", one), "").alias(name)
+
+    return packed.select(*keys, *[text(name) for name in said])
+
+
+def fingerprints(leaves: DataFrame, params: DataFrame) -> DataFrame:
+    """(strategy, exact, skeleton, coarse) of whole strategies: rules by side, exits, limits, costs and the features they were made for.
+
+    ``leaves``: (strategy, side, pos, depth, kind, a, b, x, y, lb); ``params``: a row per strategy with stop, target and trail (kind and number),
+    max_hold, max_losses, cooldown, direction, fee, slip, vol_threshold and feature_hash.
+    """
+    forms = ["exact", "skeleton", "coarse"]
+    texts = rule_texts(leaves, ["strategy", "side"]).groupBy("strategy").agg(
+        *[F.max(F.when(F.col("side") == side, F.col(f))).alias(f"{side}_{f}") for side in ("entry", "exit", "regime") for f in forms])
+    both = params.join(texts, "strategy", "left")
+    part = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    model = {
+        "exact": lambda m: F.concat_ws("_", f"{m}_kind", F.round(f"{m}_x", 6).cast("string")),
+        "skeleton": lambda m: F.col(f"{m}_kind"),
+        "coarse": lambda m: F.concat_ws("_", f"{m}_kind", F.expr(f"CASE {m}_kind WHEN 'fixed' THEN bigint({m}_x / 0.01D) WHEN 'atr' THEN bigint({m}_x / 0.5D) END").cast("string"))}
+    limits = {"exact": ["max_hold", "max_losses", "cooldown", "direction", "fee", "slip", "vol_threshold", "feature_hash"], "skeleton": ["direction"],
+              "coarse": [F.expr("max_hold div 50 * 50"), F.expr("max_losses div 2 * 2"), F.expr("cooldown div 10 * 10"), "direction", F.floor("fee"), F.floor("slip"), "feature_hash"]}
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    whole = lambda f: F.concat_ws("|", *[part(F.col(f"{side}_{f}")) for side in ("entry", "exit", "regime")], *[part(model[f](m)) for m in ("stop", "target", "trail")],
+                                  *[part(column(c)) for c in limits[f]])
+    return both.select("strategy", *[whole(f).alias(f) for f in forms])
 
 
 def coarse_params() -> list[Column]:
@@ -104,10 +137,5 @@ def coarse_params() -> list[Column]:
             F.expr("cooldown div 10 * 10 AS cool_bucket")]
 
 
-def novelty(df: DataFrame, family: str, order: list[Column], keep: int = 6) -> DataFrame:
-    """At most ``keep`` rows per coarse family, earliest first."""
-    return per_family(df, [family], order, keep)
-
-
 def family_report(df: DataFrame, family: str, n: int = 10) -> DataFrame:
     return df.groupBy(family).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(family)).limit(n)

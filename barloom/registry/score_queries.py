@@ -8,6 +8,7 @@ from ..functions import scores as G
 from ..operators import metrics as X
 from ..operators import ranking as K
 from ..operators import signals as S
+from ..operators.acceptance import novelty
 from ..operators.joins import unseen
 from ..session import materialize
 from . import sqlkit as Q
@@ -282,10 +283,55 @@ COARSE = """concat_ws(' ', kind, a, b, CASE WHEN kind IN ('SlopeGT', 'SlopeLT')
 FAM = f"{FULL}, fam AS (SELECT kind, a, b, k, concat_ws(' ', kind, a, b) AS skeleton, {COARSE} AS coarse FROM sweep)"
 
 
+# A strategy per order, of 120 kinds: three shapes of entry rule, an exit rule for some, numbers from the customer.
+MADE = """o_orderkey AS strategy, o_orderkey % 3 AS shape, (o_custkey % 40) * CAST(1.5 AS DOUBLE) AS x, o_custkey % 40 % 7 + 1 AS lb, o_custkey % 40 AS c"""
+LEAVES = [  # shape, side, pos, depth, kind, a, b, x, y, lb
+    (0, "entry", 0, 0, "GT", "RSI14", None, "x", None, "0"), (1, "entry", 0, 0, "AND", None, None, None, None, "0"), (1, "entry", 1, 1, "GT", "RSI14", None, "x", None, "0"),
+    (1, "entry", 2, 1, "Rising", "EMA20", None, None, None, "lb"), (2, "entry", 0, 0, "OR", None, None, None, None, "0"), (2, "entry", 1, 1, "Between", "RSI14", None, "x", "x + 10", "0"),
+    (2, "entry", 2, 1, "NOT", None, None, None, None, "0"), (2, "entry", 3, 2, "CrossUp", "EMA10", "EMA20", None, None, "0"), (1, "exit", 0, 0, "SlopeLT", "EMA20", None, "x / 100", None, "lb"),
+]
+PARAMS = """CASE WHEN c % 2 = 0 THEN 'fixed' ELSE 'atr' END AS stop_kind, c * CAST(0.25 AS DOUBLE) AS stop_x, CASE WHEN c % 5 > 0 THEN 'fixed' END AS target_kind,
+  CASE WHEN c % 5 > 0 THEN c * CAST(0.5 AS DOUBLE) END AS target_x, CASE WHEN c % 3 = 0 THEN 'swing' ELSE 'none' END AS trail_kind, CAST(NULL AS DOUBLE) AS trail_x, c * 4 AS max_hold, c % 5 AS max_losses,
+  c % 12 AS cooldown, CASE WHEN c % 7 = 0 THEN -1 ELSE 1 END AS direction, 30 AS fee, 8 AS slip, CASE WHEN c % 4 = 0 THEN CAST(0.5 AS DOUBLE) END AS vol_threshold, 'f1' AS feature_hash"""
+
+
+def strategies_of(spark, d):
+    """(rule rows, parameters) of the strategies."""
+    made = table(spark, d, "orders").selectExpr(*MADE.split(", "))
+    lit = lambda v: "NULL" if v is None else f"'{v}'"
+    rows = ", ".join(f"struct({s} AS shape, '{side}' AS side, {p} AS pos, {h} AS depth, '{k}' AS kind, CAST({lit(a)} AS STRING) AS a, CAST({lit(b)} AS STRING) AS b, "
+                     f"CAST({x or 'NULL'} AS DOUBLE) AS x, CAST({y or 'NULL'} AS DOUBLE) AS y, CAST({lb} AS INT) AS lb)" for s, side, p, h, k, a, b, x, y, lb in LEAVES)
+    leaves = made.selectExpr("strategy", "shape AS own", f"inline(array({rows}))").filter("shape = own").drop("own", "shape")
+    return leaves, made.selectExpr("strategy", *[p.strip() for p in PARAMS.replace("\n", " ").split(", ")])
+
+
+def prints(spark, d):
+    return K.fingerprints(*strategies_of(spark, d))
+
+
 def exact_dedup(spark, d):
-    """Orders repeated under the same customer, status and priority: one row per exact fingerprint."""
-    o = table(spark, d, "orders").selectExpr("concat_ws('|', o_custkey, o_orderstatus, o_orderpriority) AS fp")
-    return o.dropDuplicates(["fp"]).selectExpr("fp", "substring(sha2(fp, 256), 1, 8) AS short")
+    """Each distinct strategy once: its first order, how many there are, and its text."""
+    return prints(spark, d).groupBy("exact").agg(F.min("strategy").alias("first"), F.count(F.lit(1)).alias("n")).select("first", "n", "exact", F.substring(F.sha2("exact", 256), 1, 8).alias("short"))
+
+
+def _made_sql() -> str:
+    bucket = lambda v: f"CASE WHEN abs({v}) < 10 THEN floor(abs({v}) * 10) / 10 ELSE floor(abs({v}) / 5) * 5 END"
+    num = lambda v: f"CAST(round({v}, 6) AS VARCHAR)"
+    entry = {"exact": ["concat('(GT RSI14 ', " + num("x") + ", ' 0)')", "concat('(AND (GT RSI14 ', " + num("x") + ", ' 0) (Rising EMA20 ', lb, '))')",
+                       "concat('(OR (Between RSI14 ', " + num("x") + ", ' ', " + num("x + 10") + ", ' 0) (NOT (CrossUp EMA10 EMA20 0)))')"],
+             "skeleton": ["'(GT RSI14)'", "'(AND (GT RSI14) (Rising EMA20))'", "'(OR (Between RSI14) (NOT (CrossUp EMA10 EMA20)))'"],
+             "coarse": [f"concat('(GT RSI14 ', {bucket('x')}, ' 0)')", f"concat('(AND (GT RSI14 ', {bucket('x')}, ' 0) (Rising EMA20 ', lb // 5 * 5, '))')",
+                        f"concat('(OR (Between RSI14 ', {bucket('x')}, ' ', {bucket('x + 10')}, ' 0) (NOT (CrossUp EMA10 EMA20 0)))')"]}
+    leave = {"exact": "concat('(SlopeLT EMA20 ', " + num("x / 100") + ", ' ', lb, ')')", "skeleton": "'(SlopeLT EMA20)'",
+             "coarse": "concat('(SlopeLT EMA20 ', CAST(trunc(x / 100 / 0.01) AS BIGINT), ' ', lb // 5 * 5, ')')"}
+    model = {"exact": lambda m: f"concat_ws('_', {m}_kind, CAST(round({m}_x, 6) AS VARCHAR))", "skeleton": lambda m: f"coalesce({m}_kind, '')",
+             "coarse": lambda m: f"concat_ws('_', {m}_kind, CASE {m}_kind WHEN 'fixed' THEN CAST(trunc({m}_x / 0.01) AS BIGINT) WHEN 'atr' THEN CAST(trunc({m}_x / 0.5) AS BIGINT) END)"}
+    tail = {"exact": "max_hold, max_losses, cooldown, direction, fee, slip, coalesce(CAST(vol_threshold AS VARCHAR), ''), feature_hash", "skeleton": "direction",
+            "coarse": "max_hold // 50 * 50, max_losses // 2 * 2, cooldown // 10 * 10, direction, fee, slip, feature_hash"}
+    text = lambda f: (f"concat_ws('|', CASE shape WHEN 0 THEN {entry[f][0]} WHEN 1 THEN {entry[f][1]} ELSE {entry[f][2]} END, CASE WHEN shape = 1 THEN {leave[f]} ELSE '' END, '', "
+                      f"{model[f]('stop')}, {model[f]('target')}, {model[f]('trail')}, {tail[f]}) AS {f}")
+    return f"""made AS (SELECT {MADE} FROM orders), pr AS (SELECT *, {PARAMS} FROM made),
+fps AS (SELECT strategy, {text('exact')}, {text('skeleton')}, {text('coarse')} FROM pr)"""
 
 
 def seen(spark, d):
@@ -294,9 +340,22 @@ def seen(spark, d):
     return unseen(o.filter("o_orderdate >= timestamp_ntz'1999-01-01'"), old, "fp").select("fp", "o_orderkey")
 
 
-def novelty(spark, d):
-    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey", "concat_ws('|', o_custkey div 10, o_orderstatus) AS family")
-    return K.novelty(o, "family", [F.asc("o_orderkey")]).select("o_orderkey", "family")
+NOVEL_WINDOW = 200
+
+
+def novel(spark, d):
+    """Orders accepted under the cap of six per family, counts halving as rows are accepted."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE concat_ws('|', o_custkey div 10, o_orderstatus) END AS family")
+    return novelty(o, "family", "o_orderkey", window=NOVEL_WINDOW)
+
+
+NOVEL_SQL = f"""WITH RECURSIVE o0 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE concat_ws('|', o_custkey // 10, o_orderstatus) END AS family FROM orders),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i, dense_rank() OVER (ORDER BY family) AS f FROM o0),
+r AS (SELECT CAST(0 AS BIGINT) AS i, list_transform(range((SELECT max(f) FROM o)), lambda z: CAST(0 AS BIGINT)) AS n, CAST(0 AS BIGINT) AS total, FALSE AS ok UNION ALL
+  SELECT i, CASE WHEN t > {2 * NOVEL_WINDOW} THEN list_transform(m, lambda z: z // 2) ELSE m END, CASE WHEN t > {2 * NOVEL_WINDOW} THEN t // 2 ELSE t END, ok FROM (
+    SELECT o.i, r.n[o.f] <= 5 AS ok, r.total + CASE WHEN r.n[o.f] <= 5 THEN 1 ELSE 0 END AS t,
+      CASE WHEN r.n[o.f] <= 5 THEN list_concat(list_append(r.n[:o.f - 1], r.n[o.f] + 1), r.n[o.f + 1:]) ELSE r.n END AS m FROM r JOIN o ON o.i = r.i + 1))
+SELECT o_orderkey, family FROM r JOIN o USING (i) WHERE ok"""
 
 
 def coarse_params(spark, d):
@@ -379,8 +438,8 @@ def register(reg: Registry) -> None:
                                                                            [F.desc("exit_ms"), F.desc("trade_no")]), ["threshold"]),
             f"""WITH {LED}, l AS (SELECT pnl FROM led ORDER BY exit_ms DESC, trade_no DESC LIMIT 500)
             SELECT {R('list_reverse_sort(list(pnl))[CAST(floor(count(*) * (1 - 0.7)) AS BIGINT) + 1]')} AS threshold FROM l""")
-    reg.add("d01_exact_dedup", exact_dedup, """SELECT DISTINCT concat_ws('|', o_custkey, o_orderstatus, o_orderpriority) AS fp,
-        substr(sha256(concat_ws('|', o_custkey, o_orderstatus, o_orderpriority)), 1, 8) AS short FROM orders""")
+    reg.add("d01_exact_dedup", exact_dedup, f"""WITH {_made_sql()} SELECT min(strategy) AS first, count(*) AS n, exact, substr(sha256(exact), 1, 8) AS short FROM fps GROUP BY exact""")
+    reg.add("d01_d02_d03_strategies", prints, f"WITH {_made_sql()} SELECT * FROM fps")
     reg.add("d02_skeletons", lambda s, d: fingerprints(s, d).groupBy("skeleton").agg(F.count(F.lit(1)).alias("n")),
             f"{FAM} SELECT skeleton, count(*) AS n FROM fam GROUP BY skeleton")
     reg.add("d03_coarse", lambda s, d: fingerprints(s, d).groupBy("coarse").agg(F.count(F.lit(1)).alias("n")),
@@ -389,7 +448,6 @@ def register(reg: Registry) -> None:
         SELECT strategy, h // 50 * 50 AS hold_bucket, l // 2 * 2 AS loss_bucket, c // 10 * 10 AS cool_bucket FROM p""")
     reg.add("d04_j07_unseen", seen, """WITH o AS (SELECT o_orderkey, concat_ws('|', o_custkey, o_orderstatus) AS fp, o_orderdate FROM orders)
         SELECT fp, o_orderkey FROM o WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND fp NOT IN (SELECT fp FROM o WHERE o_orderdate < TIMESTAMP '1999-01-01')""")
-    reg.add("d05_novelty", novelty, """SELECT o_orderkey, concat_ws('|', o_custkey // 10, o_orderstatus) AS family FROM orders
-        QUALIFY row_number() OVER (PARTITION BY o_custkey // 10, o_orderstatus ORDER BY o_orderkey) <= 6""")
+    reg.add("d05_novelty", novel, NOVEL_SQL)
     reg.add("d06_family_report", lambda s, d: K.family_report(famd(s, d), "family"),
             f"WITH {famq.replace(' WHERE score IS NOT NULL)', ')')} SELECT family, count(*) AS n FROM fs GROUP BY family ORDER BY n DESC, family LIMIT 10")

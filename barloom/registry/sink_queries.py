@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.indicators import features
 from ..operators import joins as J
 from ..operators import ranking as K
+from ..operators.acceptance import recent_distinct
 from ..session import materialize, prepare, shared_folder
 from ..sources import sinks as Z
 from ..streaming import streams as L
@@ -90,7 +91,7 @@ def points(spark, d):
 
 def accepted(spark, d):
     o = table(spark, d, "orders").selectExpr("o_orderkey", "concat_ws('|', o_custkey, o_orderstatus) AS fp")
-    out, path = Z.recent_distinct(o, "fp", "o_orderkey"), _path(spark, "accepted")
+    out, path = recent_distinct(o, "fp", "o_orderkey"), _path(spark, "accepted")
     Z.write_winners(out, path)
     return spark.read.schema("o_orderkey long, fp string").json(path)
 
@@ -163,9 +164,11 @@ def register(reg: Registry) -> None:
         {POINTS_SQL[POINTS_SQL.index('pts AS'):]}, n AS (SELECT p.symbol, t, bar_idx, abs(close_ms - t) AS gap FROM pts p JOIN bars b USING (symbol)
         QUALIFY row_number() OVER (PARTITION BY p.symbol, t ORDER BY abs(close_ms - t), bar_idx) = 1)
         SELECT n.*, {R('RSI14')} AS RSI14, {R('(BB_Upper20 + BB_Lower20) / 2')} AS SMA20 FROM n JOIN f USING (symbol, bar_idx)""")
-    reg.add("s10_accepted_file", accepted, """WITH o AS (SELECT o_orderkey, concat_ws('|', o_custkey, o_orderstatus) AS fp FROM orders),
-        p AS (SELECT *, lag(o_orderkey) OVER (PARTITION BY fp ORDER BY o_orderkey) AS prev FROM o)
-        SELECT o_orderkey, fp FROM p WHERE prev IS NULL OR o_orderkey - prev > 1000""")
+    reg.add("s10_accepted_file", accepted, """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey, concat_ws('|', o_custkey, o_orderstatus) AS fp, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders),
+        r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS recent, FALSE AS ok UNION ALL
+          SELECT o.i, CASE WHEN list_contains(r.recent, o.fp) THEN r.recent ELSE list_append(r.recent[greatest(1, len(r.recent) - 998):], o.fp) END, NOT list_contains(r.recent, o.fp)
+          FROM r JOIN o ON o.i = r.i + 1)
+        SELECT o_orderkey, fp FROM r JOIN o USING (i) WHERE ok""")
     reg.add("s11_reports", report_sink, f"""WITH {SC}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, max_dd, ret DESC, strategy) AS rank FROM sc WHERE score IS NOT NULL)
         SELECT CAST(rank AS INTEGER) AS rank, CAST(round(score, 4) AS DOUBLE) AS score, CAST(round(ret * 100, 2) AS DOUBLE) AS ret_pct,
         CAST(round(max_dd * 100, 2) AS DOUBLE) AS dd_pct, CAST(trades AS DOUBLE) AS trades FROM r WHERE rank <= 20""")
