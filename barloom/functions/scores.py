@@ -216,8 +216,15 @@ def block_summary(folds: DataFrame, keys: list[str], min_mean: float, min_stabil
         f"AND worst_score >= {0.7 * min_mean}D AND full_folds >= n div 2"))
 
 
+def quarters(trades: DataFrame, keys: list[str], ms: str) -> DataFrame:
+    """``part``: the quarter (0 to 3) of the span between a key's first and last time that a row lies in."""
+    span = trades.groupBy(*keys).agg(F.min(ms).alias("_lo"), F.max(ms).alias("_hi"))
+    at = F.floor(4 * (F.col(ms) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1)))
+    return trades.join(span, keys).withColumn("part", F.least(at, F.lit(3)).cast("int")).drop("_lo", "_hi")
+
+
 def window_check(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Three windows (0 oldest to 2 newest) weighted .4/.3/.3; weighted pass, or newest and majority."""
+    """The first three quarters of the test span (0 oldest to 2 newest) weighted .4/.3/.3; weighted pass, or newest and majority."""
     weight = F.when(F.col("part") == 0, 0.4).otherwise(0.3)
     good = (F.col("ret") >= 0) & (F.col("profit_factor") >= 1) & (F.col("trades") >= 8)
     w = windows.groupBy(*keys).agg(

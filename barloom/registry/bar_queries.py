@@ -50,22 +50,12 @@ def _kline_files(spark, d) -> str:
 
 
 def kline_scan(spark, d):
-    path = _kline_files(spark, d)
-    parts = None
-    for sym in ["click", "error", "purchase", "signup", "view"]:
-        good, _ = B.read_klines(spark, f"{path}/symbol={sym}", sym)
-        part = B.sane(good)
-        parts = part if parts is None else parts.unionByName(part)
-    return rounded(parts.select("symbol", "open_ms", "open", "high", "low", "close", "volume", "trades"), OHLCV)
+    good, _ = B.read_klines(spark, _kline_files(spark, d))
+    return rounded(B.sane(good).select("symbol", "open_ms", "open", "high", "low", "close", "volume", "trades"), OHLCV)
 
 
 def rejected_rows(spark, d):
-    path = _kline_files(spark, d)
-    bad = None
-    for sym in ["click", "error", "purchase", "signup", "view"]:
-        _, part = B.read_klines(spark, f"{path}/symbol={sym}", sym)
-        bad = part if bad is None else bad.unionByName(part)
-    return bad.groupBy("symbol").agg(F.count(F.lit(1)).alias("rejected"))
+    return B.read_klines(spark, _kline_files(spark, d))[1].groupBy("symbol").agg(F.count(F.lit(1)).alias("rejected"))
 
 
 def _raw_rows(spark, d):

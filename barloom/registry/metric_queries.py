@@ -210,10 +210,8 @@ SELECT strategy, grp, symbol, trades, {R('win_rate')} AS win_rate, {R('raw_retur
 
 
 def points_of(spark, d):
-    """Per symbol: times of all purchases, to be looked up on the bars."""
-    ev = table(spark, d, "events").filter("event_type = 'purchase'")
-    t = ev.selectExpr("unix_millis(CAST(ts AS TIMESTAMP)) AS t")
-    return t.withColumn("symbol", F.explode(F.array(F.lit("click"), F.lit("view"))))
+    """For every event a time up to six hours later, to be looked up on the bars of its series; some lie past the last bar."""
+    return table(spark, d, "events").selectExpr(f"unix_millis(CAST(ts AS TIMESTAMP)) + event_id % 7 * {HOUR_MS} AS t", "event_type AS symbol")
 
 
 def bounds_query(spark, d):
@@ -224,7 +222,7 @@ def nearest_query(spark, d):
     return J.nearest(points_of(spark, d), materialize(bars_of(spark, d), "bars"), 64 * HOUR_MS)
 
 
-POINTS_SQL = f"""{Q.bars_cte()}, pts AS (SELECT epoch_us(ts) // 1000 AS t, s.symbol FROM events, (VALUES ('click'), ('view')) s(symbol) WHERE event_type = 'purchase')"""
+POINTS_SQL = f"""{Q.bars_cte()}, pts AS (SELECT epoch_us(ts) // 1000 + event_id % 7 * {HOUR_MS} AS t, event_type AS symbol FROM events)"""
 
 
 def register(reg: Registry) -> None:
@@ -253,8 +251,8 @@ def register(reg: Registry) -> None:
     reg.add("a24_state_months",
             lambda s, d: rounded(X.state_months(materialize(bars_of(s, d), "bars").selectExpr(
                 "symbol", "bar_idx", "close", "close_ms", "close > open AS in_position"), ["symbol"]), ["ret"], 3), STATE_SQL)
-    reg.add("j02_lower_bound", bounds_query, f"""WITH {POINTS_SQL} SELECT p.symbol, t, count(*) FILTER (WHERE close_ms < t) AS idx
-        FROM pts p JOIN bars b USING (symbol) GROUP BY p.symbol, t""")
+    reg.add("j02_lower_bound", bounds_query, f"""WITH {POINTS_SQL} SELECT p.symbol, p.t, idx FROM pts p JOIN
+        (SELECT q.symbol, t, count(*) FILTER (WHERE close_ms < t) AS idx FROM (SELECT DISTINCT * FROM pts) q JOIN bars USING (symbol) GROUP BY q.symbol, t) l ON l.symbol = p.symbol AND l.t = p.t""")
     reg.add("j03_nearest", nearest_query, f"""WITH {POINTS_SQL} SELECT p.symbol, t, bar_idx, abs(close_ms - t) AS gap FROM pts p JOIN bars b USING (symbol)
         QUALIFY row_number() OVER (PARTITION BY p.symbol, t ORDER BY abs(close_ms - t), bar_idx) = 1""")
     reg.add("w01_rolling_folds", lambda s, d: WF.rolling_folds(materialize(bars_of(s, d, "orders"), "bars")),

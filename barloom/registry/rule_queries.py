@@ -98,8 +98,8 @@ META_CTE = (f"meta(pos, name, type, family, category, lo, hi) AS (SELECT pos, na
 STATS_CTE = "stats AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS name, CAST(min({n}) AS DOUBLE) AS min, CAST(max({n}) AS DOUBLE) AS max, "
     f"CAST(avg({n}) AS DOUBLE) AS mean, CAST(stddev_pop({n}) AS DOUBLE) AS std FROM train" for n in STAT_FEATURES) + ")"
-TRAIN_END = 450
-TRAIN = f"{Q.features_cte(STAT_FEATURES)},\ntrain AS MATERIALIZED (SELECT * FROM f WHERE bar_idx < {TRAIN_END})"
+TRAIN_UNTIL = 1705708800000  # 2024-01-20, the end of the training split
+TRAIN = f"{Q.features_cte(STAT_FEATURES)},\ntrain AS MATERIALIZED (SELECT * FROM f WHERE open_ms < {TRAIN_UNTIL})"
 STEPS = [-1.5, -0.5, 0.5, 1.5]
 PAIR_SQL = """pairs AS (SELECT l.name AS a, r.name AS b FROM meta l JOIN meta r ON l.family = r.family AND l.name <> r.name)"""
 SWEEP_CTE = f"""{META_CTE}, {PAIR_SQL},
@@ -118,7 +118,7 @@ sweep AS (
 
 def train_stats(spark, d):
     f = features(bars_of(spark, d), STAT_FEATURES)
-    stats = M.feature_stats(f.filter(F.col("bar_idx") < TRAIN_END), STAT_FEATURES)
+    stats = M.feature_stats(f.filter(F.col("open_ms") < TRAIN_UNTIL), STAT_FEATURES)
     return materialize(stats, "stats")  # one row per feature, read by several branches
 
 

@@ -181,7 +181,8 @@ BLOCK_FLOATS = ["mean_score", "median_score", "worst_score", "median_ret", "stab
 
 
 def window_gate(spark, d):
-    w = metrics_by(led(spark, d).filter("part < 3"), ["strategy", "part"])
+    t = G.quarters(led(spark, d).drop("part"), BY, "exit_ms")
+    w = metrics_by(t.filter("part < 3"), ["strategy", "part"])
     return rounded(G.window_check(w, BY), ["w_ret", "w_pf", "worst_dd"])
 
 
@@ -394,7 +395,8 @@ def register(reg: Registry) -> None:
           ELSE max_dd < 0.45 AND trades >= 30 AND ret >= 0.01 AND expectancy > 0 AND profit_factor >= 1.01 AND score >= 0
             AND (train_score > -5 OR train_ret > 0) END, FALSE) AS accepted FROM x""")
     reg.add("a21_block_summary", blocks, f"""WITH {BLOCKS} SELECT strategy, full_folds, profitable, weak, passed, {Q.rounded(BLOCK_FLOATS)} FROM bp""")
-    reg.add("a22_window_check", window_gate, f"""WITH {LED}, l3 AS (SELECT * FROM led WHERE part < 3), {met_cte('strategy, part', 'm').replace('FROM led', 'FROM l3')},
+    reg.add("a22_window_check", window_gate, f"""WITH {LED}, l3 AS (SELECT * EXCLUDE (part, q), q AS part FROM (SELECT *, least(3, floor(4 * (exit_ms - min(exit_ms) OVER (PARTITION BY strategy))
+          / greatest(max(exit_ms) OVER (PARTITION BY strategy) - min(exit_ms) OVER (PARTITION BY strategy), 1))) AS q FROM led) WHERE q < 3), {met_cte('strategy, part', 'm').replace('FROM led', 'FROM l3')},
         w AS (SELECT strategy, sum(ret * CASE WHEN part = 0 THEN 0.4 ELSE 0.3 END) AS w_ret, sum(profit_factor * CASE WHEN part = 0 THEN 0.4 ELSE 0.3 END) AS w_pf,
         min(trades) AS min_trades, max(max_dd) AS worst_dd, count(*) FILTER (WHERE ret >= 0 AND profit_factor >= 1 AND trades >= 8) AS good_windows,
         bool_or(part = 2 AND ret >= 0 AND profit_factor >= 1 AND trades >= 8) AS newest_good FROM m GROUP BY strategy)

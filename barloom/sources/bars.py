@@ -111,11 +111,11 @@ def order_bars(orders: DataFrame, width_ms: int = DAY_MS) -> DataFrame:
 
 # --- bar files -----------------------------------------------------------
 
-def read_klines(spark: SparkSession, path: str, symbol: str) -> tuple[DataFrame, DataFrame]:
+def read_klines(spark: SparkSession, path: str, symbol: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Read a 6- or 11-column bar file.  Returns (good rows, rejected rows).
 
     ``src_row`` is the position in the file system's line order; rows that do
-    not parse go to the second frame instead of failing the job.
+    not parse go to the second frame instead of failing the job. Without a symbol, files lie in folders ``symbol=...``.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in KLINE_FIELDS])
     raw = (
@@ -137,7 +137,7 @@ def read_klines(spark: SparkSession, path: str, symbol: str) -> tuple[DataFrame,
         *[number(c).alias(c) for c in [*PRICE, "volume"]],
         *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in ["quote_volume", "taker_base", "taker_quote"]],
         F.coalesce(F.expr("try_cast(trades AS BIGINT)"), F.lit(0)).alias("trades"),
-        F.lit(symbol).alias("symbol"),
+        (F.col("symbol").cast("string") if symbol is None else F.lit(symbol)).alias("symbol"),
     )
     bad = F.col("open_ms").isNull()
     for name in [*PRICE, "volume"]:

@@ -19,10 +19,10 @@ def keys_of(seed, n):
     return [("hot" if rng.random() < 0.33 else f"chain{i % 7}" if rng.random() < 0.3 else f"k{rng.randint(0, 40)}") for i in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "window", "part"), [(1, 5, 65536), (2, 12, 64), (3, 1, 100), (4, 1000, 65536)])
+@pytest.mark.parametrize(("seed", "window", "part"), [(2, 12, 64), (4, 1000, 65536)])
 def test_recent_distinct(spark, monkeypatch, seed, window, part):
     monkeypatch.setattr(acceptance, "PART_ROWS", part)
-    keys, recent, want = keys_of(seed, 400), deque(maxlen=window), []
+    keys, recent, want = keys_of(seed, 250), deque(maxlen=window), []
     for i, k in enumerate(keys):
         if k not in recent:
             recent.append(k)
@@ -33,10 +33,10 @@ def test_recent_distinct(spark, monkeypatch, seed, window, part):
     assert acceptance.recent_distinct(df.limit(0), "fp", "line", window).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "window", "keep", "part"), [(1, 10, 3, 65536), (2, 25, 6, 50), (5, 3, 2, 100)])
+@pytest.mark.parametrize(("seed", "window", "keep", "part"), [(2, 25, 6, 50), (5, 3, 2, 100)])
 def test_novelty(spark, monkeypatch, seed, window, keep, part):
     monkeypatch.setattr(acceptance, "PART_ROWS", part)
-    keys, counts, total, want = [k if random.Random(i).random() < 0.7 else f"new{i}" for i, k in enumerate(keys_of(seed, 500))], Counter(), 0, []
+    keys, counts, total, want = [k if random.Random(i).random() < 0.7 else f"new{i}" for i, k in enumerate(keys_of(seed, 250))], Counter(), 0, []
     for i, k in enumerate(keys):
         if counts[k] >= keep:
             continue
@@ -47,7 +47,7 @@ def test_novelty(spark, monkeypatch, seed, window, keep, part):
             counts, total = Counter({f: c // 2 for f, c in counts.items()}), total // 2
     df = spark.createDataFrame(list(enumerate(keys)), "i long, f string")
     assert sorted(r.i for r in acceptance.novelty(df, "f", "i", keep, window).collect()) == want
-    assert 0 < len(want) < 500
+    assert 0 < len(want) < 250
 
 
 def test_rule_texts(spark):
