@@ -29,7 +29,7 @@ from .common import free_name, map_arrow
 
 # Bytes that are merged directly, pair stabilities that a worker remembers.
 LEAF = 24
-PAIRS = 200_000
+PAIRS = 400_000
 
 
 class Ranks:
@@ -134,7 +134,15 @@ class TextBpe:
             self.bpe = Ranks({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
         self.find = regex.compile(pattern).findall
         self.matches = UnitCache(lambda found: [np.array(self.bpe.encode(m.encode()), "<i4").tobytes() for m in found])
-        self.spaced = Spaced(lambda units: map(self.ids, units))
+        self.spaced = Spaced(self.by_matches)
+
+    def by_matches(self, units: list[str]) -> list[bytes]:
+        found = [self.find(u) for u in units]
+        ids, at, out = self.matches.of([m for f in found for m in f]), 0, []
+        for f in found:
+            out.append(ids[at] if len(f) == 1 else b"".join(ids[at : at + len(f)]))
+            at += len(f)
+        return out
 
     def ids(self, text: str) -> bytes:
         return b"".join(self.matches.of(self.find(text)))

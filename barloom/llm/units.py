@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes that all unit caches of a worker hold together, and bytes of text worked on at once.
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 448 << 20
 BLOCK_BYTES = 4 << 20
 # What an entry of a dictionary takes beside its key and value.
 SLOT_BYTES = 96
@@ -48,7 +48,7 @@ class UnitCache:
     """
 
     every: weakref.WeakSet[UnitCache] = weakref.WeakSet()
-    budget = CACHE_BYTES
+    budget, grown = CACHE_BYTES, 0
 
     def __init__(self, encode_many: Callable[[list[str]], Iterable]):
         self.held: dict = {}
@@ -84,12 +84,20 @@ class UnitCache:
                 self.held[u] = v
                 size += entry
         self.held_bytes += size
-        while sum(c.held_bytes for c in UnitCache.every) > self.budget // 2:
-            aged = max(UnitCache.every, key=lambda c: c.held_bytes)
+        UnitCache.grown += size
+        if UnitCache.grown > most:
+            UnitCache.settle()
+
+    @classmethod
+    def settle(cls) -> None:
+        """Bring all caches under the budget again; called each time that they have grown by a 64th of it."""
+        cls.grown = 0
+        while sum(c.held_bytes for c in cls.every) > cls.budget // 2:
+            aged = max(cls.every, key=lambda c: c.held_bytes)
             aged.old, aged.held = aged.held, {}
             aged.old_bytes, aged.held_bytes = aged.held_bytes, 0
-        while sum(c.held_bytes + c.old_bytes for c in UnitCache.every) > self.budget:
-            oldest = max(UnitCache.every, key=lambda c: c.old_bytes)
+        while sum(c.held_bytes + c.old_bytes for c in cls.every) > cls.budget:
+            oldest = max(cls.every, key=lambda c: c.old_bytes)
             oldest.old, oldest.old_bytes = {}, 0
 
 
