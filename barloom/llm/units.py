@@ -39,6 +39,10 @@ MARKS, LETTERS = ".,;:!?", frozenset(ascii_letters)
 BARE = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def bytes_of(entries: dict) -> int:
+    return sum(map(getsizeof, entries)) + sum(map(getsizeof, entries.values())) + SLOT_BYTES * len(entries)
+
+
 class UnitCache:
     """unit -> value, filled by encode_many(units), in two generations of a share of the worker's budget.
 
@@ -77,12 +81,10 @@ class UnitCache:
 
     def keep(self, new: dict) -> None:
         most = self.budget // 64
-        size = 0
-        for u, v in new.items():
-            entry = getsizeof(u) + getsizeof(v) + SLOT_BYTES
-            if entry <= most:
-                self.held[u] = v
-                size += entry
+        if (size := bytes_of(new)) > most:
+            new = {u: v for u, v in new.items() if getsizeof(u) + getsizeof(v) + SLOT_BYTES <= most}
+            size = bytes_of(new)
+        self.held.update(new)
         self.held_bytes += size
         UnitCache.grown += size
         if UnitCache.grown > most:
