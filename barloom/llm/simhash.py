@@ -176,15 +176,16 @@ def near_groups(docs: DataFrame, ngram: int = 3, radius: int = 3, id_col: str =
 
 
 # Similar texts, not only those that are almost the same: wide fingerprints, whose words are mixed from each
-# shingle's hash, and bands of their bits as shards.
-WORDS, BAND_BITS = 8, 16
+# shingle's hash, and bands of their bits as shards. A shard's tree compares the first SKETCH words only.
+WORDS, SKETCH = 8, 2
+# Members and bytes of shingle hashes that are verified at once.
+BLOCK_MEMBERS, BLOCK_BYTES = 2048, 8 << 20
 # Multipliers of a 64-bit finaliser.
 MIX1, MIX2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_fingerprint(text: bytes, ngram: int, words: int = WORDS) -> bytes:
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> bytes:
     """64 * words bits, each set if it is set in over half the mixed hashes of the distinct shingles."""
-    hashes = np.unique(shingle_hashes(text, ngram))
     ones = np.zeros(64 * words, np.int64)
     for lo in range(0, len(hashes), 255):
         h = hashes[lo : lo + 255, None] + STEP * np.arange(1, words + 1, dtype=np.uint64)
@@ -195,64 +196,159 @@ def wide_fingerprint(text: bytes, ngram: int, words: int = WORDS) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
-def widest(similarity: float, words: int = WORDS) -> int:
-    """Bits that differ, on average, between sets of equal size and this Jaccard similarity."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * words)
+def widest(similarity: float, words: int) -> int:
+    """Bits that may differ between sets of this Jaccard similarity: the mean, highest for sets of equal size, and four deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * words * p + 4 * np.sqrt(64 * words * p * (1 - p)))
 
 
-def similar_groups(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """(_id, _hash, fid, component_id) for every row: groups of texts whose estimated Jaccard similarity of word shingles is enough.
+def similar_groups(docs: DataFrame, ngram: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD,
+                   members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(_id, _hash, fid, component_id) for every row: groups of texts linked by a Jaccard similarity of their sets of word shingles.
 
-    Fingerprints of 512 bits estimate it to about 0.03. Texts at 0.8 share one of 32 bands of 16 bits with a chance
-    of 0.93, at 0.9 of 0.998; every pair within a band is found. Bands with over ``shard`` fingerprints
-    of one value are dealt out in pairs of blocks.
+    Fingerprints only find candidates; a link counts if the sets themselves, as 64-bit hashes of shingles, are similar
+    enough. Candidates share one of 64 bands of 16 bits and differ in no more bits than the mean at ``similarity`` and four
+    deviations. Bands with over ``shard`` fingerprints of one value are dealt out in pairs of blocks. Groups of candidates are verified in blocks of
+    at most about ``members`` sets, each with the group's first set; blocks of a group meet in pairs only if
+    it has not become one component by then.
+
+    Texts without words are equal to each other. A text with fewer words than ``ngram`` has one shingle, all its words.
+    Null texts are empty, null ids allowed, repeated rows have the same result, an empty table gives an empty one.
     """
     keyed = keyed_texts(docs, id_col, text_col)
     kind = dict(keyed.dtypes)["_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         from .units import blocks
 
         for batch in blocks(batches, "_text"):
-            prints = [wide_fingerprint(t, ngram) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(prints, pa.binary())], ["_id", "_hash", "print"])
-
-    prints = materialize(map_arrow(keyed, run, f"_id {kind}, _hash bigint, print binary"), "wide-fingerprints")
-    distinct = prints.groupBy("print").agg(F.min("_id").alias("low"), F.count("*").alias("n"))
-    distinct = materialize(distinct.withColumn("fid", F.monotonically_increasing_id()), "distinct-fingerprints")
-    bands = 64 * WORDS // BAND_BITS
-    cut = [F.substring("print", k * BAND_BITS // 8 + 1, BAND_BITS // 8) for k in range(bands)]
-    rows = distinct.select(F.posexplode(F.array(*cut)).alias("band", "key"), F.struct("fid", "print").alias("m"))
-    large = materialize(rows.groupBy("band", "key").count().filter(F.col("count") > shard), "large-bands")
-    many = large.count()
-    groups = (rows.join(F.broadcast(large) if many <= 20_000 else large, ["band", "key"], "left_anti") if many else rows).groupBy("band", "key").agg(F.collect_list("m").alias("m"))
-    found = _similar(groups, widest(similarity))
-    if many:
-        own = rows.join(F.broadcast(large) if many <= 20_000 else large, ["band", "key"]).withColumn("blocks", F.ceil(F.col("count") / shard).cast("int"))
-        own = own.withColumn("at", F.pmod(F.xxhash64("m.fid"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = own.groupBy("band", "key", F.least("at", "to").alias("lo"), F.greatest("at", "to").alias("hi")).agg(F.collect_list("m").alias("m"))
-        found = found.unionByName(_similar(pairs, widest(similarity)))
+            sets = [np.unique(shingle_hashes(t, ngram)) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            cols = [pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([wide_fingerprint(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), *cols], ["_id", "_hash", "set", "print"])
+
+    prints = materialize(map_arrow(keyed, fingerprinted, f"_id {kind}, _hash bigint, set binary, print binary"), "wide-fingerprints")
+    distinct = prints.groupBy("set").agg(F.min(F.struct("_id", "_hash")).alias("first"), F.min("_id").alias("low"), F.count("*").alias("n"), F.min("print").alias("print"))
+    distinct = materialize(distinct.withColumn("fid", F.monotonically_increasing_id()), "distinct-sets")
+    near = components(materialize(_candidates(distinct.select("fid", "print"), widest(similarity, SKETCH), shard), "candidates"))
+    found = _verified_links(keyed, distinct, near, ngram, similarity, members)
     comp = components(materialize(found, "similar-links"))
-    roots = distinct.join(comp, distinct["fid"] == comp["node"], "left").select("print", "fid", "low", "n", F.coalesce("root", "fid").alias("root"))
-    by_print = materialize(least_of(roots, "low", "component_id"), "print-components")
-    return spread_join(prints, by_print, "print", "n", distinct.agg(F.sum("n")).first()[0] or 0).drop("print")
+    roots = distinct.join(comp, distinct["fid"] == comp["node"], "left").select("set", "fid", "low", "n", F.coalesce("root", "fid").alias("root"))
+    by_set = materialize(least_of(roots, "low", "component_id"), "set-components")
+    return spread_join(prints.drop("print"), by_set, "set", "n", distinct.agg(F.sum("n")).first()[0] or 0).drop("set")
+
 
+def _candidates(distinct: DataFrame, radius: int, shard: int) -> DataFrame:
+    """(a, b): stars over the fingerprints of each band's value that chains within the radius join."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            key = np.arange(8 * WORDS) << 16 | prints.astype(np.int64) << 8 | np.roll(prints, -1, axis=1)
+            words = prints.view("<i8")
+            each = lambda x: pa.array(np.repeat(x, 8 * WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), each(batch.column("fid").to_numpy()), each(words[:, 0]), each(words[:, 1])], ["key", "fid", "p0", "p1"])
+
+    rows = materialize(map_arrow(distinct, banded, "key bigint, fid bigint, p0 bigint, p1 bigint"), "bands")
+    large = materialize(rows.groupBy("key").count().filter(F.col("count") > shard), "large-bands")
+    few = rows.join(F.broadcast(large), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("fid", "p0", "p1")).alias("m"))
+    own = rows.join(F.broadcast(large), "key").withColumn("blocks", F.ceil(F.col("count") / shard).cast("int"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = own.groupBy("key", F.least("at", "to"), F.greatest("at", "to")).agg(F.collect_list(F.struct("fid", "p0", "p1")).alias("m"))
 
-def _similar(groups: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = batch.column(0).flatten(), np.array(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()
+            flat, ends = _flat(batch)
             fid = flat.field("fid").to_numpy()
+            prints = np.stack([flat.field(f"p{k}").to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
+            yield _starred((fid[lo:hi], group(prints[lo:hi], radius)) for lo, hi in ends)
+
+    return map_arrow(few.select("m").unionByName(pairs.select("m")).filter(F.size("m") > 1), run, "a bigint, b bigint")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[pa.StructArray, list[tuple[int, int]]]:
+    """All members of a batch's groups, and where each group lies."""
+    ends = (np.array(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()).tolist()
+    return batch.column(0).flatten(), list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def _starred(groups) -> pa.RecordBatch:
+    """(a, b): each member that is not its label's, with the label's member."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for fid, label in groups:
+        moved = np.flatnonzero(label != np.arange(len(fid)))
+        if len(moved):
+            a.append(fid[moved])
+            b.append(fid[label[moved]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def verified(prints: np.ndarray, sets: list[np.ndarray], known: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels, the least index of each component: sets are linked if similar enough; those of equal ``known`` are linked already."""
+    order = np.arange(len(sets))
+    _, first, which = np.unique(known, return_index=True, return_inverse=True)
+    label, size, radius = first[which], np.array([len(s) for s in sets]), widest(similarity, prints.shape[1])
+    for i in order[:-1]:
+        rest = slice(i + 1, None)
+        small, big = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        # Both quotients are rounded alike, so no pair at the very bound is lost.
+        maybe = (label[rest] != label[i]) & (small / np.maximum(big, 1) >= similarity)
+        at = order[rest][maybe]
+        at = at[np.bitwise_count(prints[at] ^ prints[i]).sum(axis=1) <= radius]
+        for j in at:
+            if label[j] == label[i]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common / (size[i] + size[j] - common) >= similarity:
+                label[(label == label[i]) | (label == label[j])] = min(label[i], label[j])
+    return label
+
+
+def _verified_links(keyed: DataFrame, distinct: DataFrame, near: DataFrame, ngram: int, similarity: float, members: int) -> DataFrame:
+    """(a, b): stars over the verified components of each group of candidates (node, root)."""
+    nodes = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    chosen = distinct.join(nodes, distinct["fid"] == nodes["node"]).select("fid", "root", "print", F.col("first._id").alias("_i"), F.col("first._hash").alias("_h"))
+    texts = keyed.join(chosen, keyed["_id"].eqNullSafe(chosen["_i"]) & (keyed["_hash"] == chosen["_h"])).select("fid", "root", "print", "_text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .units import blocks
+
+        for batch in blocks(batches, "_text"):
+            sets = [np.unique(shingle_hashes(t, ngram)).tobytes() for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fid", "root", "print")), pa.array(sets, pa.binary())], ["fid", "root", "print", "hashes"])
+
+    sets = materialize(map_arrow(texts, shingled, "fid bigint, root bigint, print binary, hashes binary").dropDuplicates(["fid"]), "shingle-sets")
+    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes"))
+    size = size.select("root", "n", F.greatest(F.ceil(F.col("n") / members), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = spread_join(sets, materialize(size, "group-sizes"), "root", "n", sets.count())
+    own = materialize(own.withColumn("at", F.pmod(F.xxhash64("fid"), F.col("blocks")).cast("int")), "dealt-sets")
+
+    # Each block by itself, with the group's first set.
+    others = F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> at)")).alias("to")
+    centre = own.filter("fid = root").select(*[c for c in own.columns if c != "at"], others).withColumnRenamed("to", "at")
+    links = materialize(_compared(own.unionByName(centre).withColumn("label", F.col("fid")), ["root", "at"], similarity), "block-links")
+
+    # Pairs of blocks, where a group is still in parts.
+    comp = components(links).withColumnRenamed("root", "label")
+    wide = own.filter("blocks > 1").join(comp, F.col("fid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fid")).drop("node")
+    wide = materialize(wide, "wide-groups")
+    parts = wide.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("root", "n")
+    wide = spread_join(wide, materialize(parts, "groups-in-parts"), "root", "n", wide.count())
+    pairs = wide.select("*", others).withColumn("lo", F.least("at", "to")).withColumn("hi", F.greatest("at", "to"))
+    return links.unionByName(_compared(pairs, ["root", "lo", "hi"], similarity))
+
+
+def _compared(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _flat(batch)
+            fid, known = flat.field("fid").to_numpy(), flat.field("label").to_numpy()
             prints = np.frombuffer(b"".join(flat.field("print").to_pylist()), "<u8").reshape(len(fid), -1)
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                label = group(prints[lo:hi], radius)
-                moved = np.flatnonzero(label != np.arange(hi - lo))
-                if len(moved):
-                    a.append(fid[lo:hi][moved])
-                    b.append(fid[lo:hi][label[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            sets = [np.frombuffer(s, "<u8") for s in flat.field("hashes").to_pylist()]
+            yield _starred((fid[lo:hi], verified(prints[lo:hi], sets[lo:hi], known[lo:hi], similarity)) for lo, hi in ends)
 
+    groups = rows.groupBy(*keys).agg(F.collect_list(F.struct("fid", "label", "print", "hashes")).alias("m"))
     return map_arrow(groups.filter(F.size("m") > 1).select("m"), run, "a bigint, b bigint")
 
 

@@ -116,34 +116,47 @@ def jaccard(a, b):
     return len(x & y) / max(1, len(x | y))
 
 
-@pytest.mark.parametrize("shard", [4096, 8])
-def test_similar_groups(spark, shard):
-    """Planted copies of every degree: all at 0.85 or more are found, none under 0.7."""
+@pytest.mark.parametrize(("shard", "members"), [(4096, 2048), (8, 2048), (4096, 3)])
+def test_similar_groups(spark, shard, members):
+    """Planted copies of every degree against all pairs: nothing is linked under 0.8, nearly all at 0.8 and all at 0.85 or more are."""
     rng = np.random.default_rng(6)
     rows, source = [], []
     for k in range(40):
         words = prose(rng, 200).split()
-        for edits in (0, 1, 2, 12, 30) if k else (0, 1) * 20:
+        for edits in (0, 1, 2, 3, 4, 4, 5, 5, 8, 12) if k else (0, 1) * 20:
             w = list(words)
             for at in rng.choice(200, edits, replace=False):
                 w[at] = prose(rng, 1) + "x"
-            rows.append((len(rows), " ".join(w)))
+            rows.append((len(rows), " ".join(w), "clash"))
             source.append(k)
-    rows += [(len(rows), None), (len(rows) + 1, ""), (None, "one two")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r._id: r.component_id for r in simhash.similar_groups(frame, shard=shard).collect()}
-    for i, (a, k) in enumerate(zip(rows, source, strict=False)):
-        for j in range(i):
-            if k != source[j]:
-                assert got[i] != got[j]
-            elif jaccard(a[1], rows[j][1]) >= 0.85:
-                assert got[i] == got[j]
-    far = [i for i, (r, k) in enumerate(zip(rows, source, strict=False)) if k and max(jaccard(r[1], rows[j][1]) for j in range(len(source)) if j != i and source[j] == k) < 0.7]
-    assert far and all(got[i] == i for i in far)
-    assert got[len(source)] == got[len(source) + 1]
+    n = len(rows)
+    like = {(i, j): jaccard(rows[i][1], rows[j][1]) for i in range(n) for j in range(i) if source[i] == source[j]}
+    want = linked(n, lambda a, b: like.get((a, b), 0) >= 0.8)
+    rows += [(n, None, "clash"), (n + 1, "", "clash"), (None, "one two", "clash")] + [rows[50]] * 9
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _hash string").repartition(3)
+    groups = simhash.similar_groups(frame, shard=shard, members=members).collect()
+    got = {r._id: r.component_id for r in groups}
+    assert len(groups) == len(rows) and got[n] == got[n + 1] == n and got[None] is None
+    assert all(want[i] == want[got[i]] for i in range(n))
+    bands = [(lo, [got[i] == got[j] for (i, j), s in like.items() if lo <= s < lo + 0.05]) for lo in (0.8, 0.85, 0.9, 0.95)]
+    assert all(len(found) > 20 and np.mean(found) >= (1 if lo > 0.8 else 0.95) for lo, found in bands)
+    assert sum(s < 0.8 and want[i] != want[j] for (i, j), s in like.items()) > 100
     assert simhash.similar_groups(frame.limit(0)).count() == 0
 
 
+def test_verified_links_are_exact():
+    """Labels against all pairs, with some sets linked before."""
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << 62, 60).astype(np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < keep], rng.integers(0, 1 << 62, more).astype(np.uint64)])) for b in base for keep, more in ((1, 0), (0.97, 0), (0.95, 3), (0.9, 6), (0.8, 1))]
+    sets += [np.empty(0, np.uint64), sets[0][:48], sets[0]]
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(x), "<u8") for x in sets])
+    known = np.arange(len(sets)) + 100
+    known[3] = known[27]
+    like = lambda a, b: known[a] == known[b] or len(np.intersect1d(sets[a], sets[b])) / max(1, len(np.union1d(sets[a], sets[b]))) >= 0.8
+    assert simhash.verified(prints, sets, known, 0.8).tolist() == linked(len(sets), like)
+
+
 def test_quality(docs):
     led = {(r.doc_id, r.n_words): r for r in quality.ledger(docs).collect()}
     for r in docs.collect():
