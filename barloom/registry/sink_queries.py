@@ -132,6 +132,16 @@ def online(spark, d):
     return rounded(L.run_to_table(L.online_indicators(feed)), ["close", "ema_fast", "ema_slow", "atr"])
 
 
+def late(spark, d):
+    """A seventh of the events comes after all others: what the watermark drops of them, and what is kept."""
+    feed, out, e = _path(spark, "late-feed"), _path(spark, "late-run"), table(spark, d, "events")
+    for part in ("event_id % 7 <> 0", "event_id % 7 = 0"):
+        e.filter(part).write.mode("append").parquet(feed)
+        dropped = L.late_rows(L.distinct_events(L.event_stream(spark, feed, "*.parquet", 1000)), out)
+    kept = spark.read.parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("kept"))
+    return dropped.agg(F.sum("dropped").alias("dropped")).join(F.broadcast(kept))
+
+
 ONLINE_SQL = f"""WITH RECURSIVE {Q.features_cte(["EMA10", "EMA20", "ATR14"])}, e AS (SELECT *,
   CASE WHEN bar_idx < 9 THEN avg(close) OVER k ELSE EMA10 END AS fa, CASE WHEN bar_idx < 19 THEN avg(close) OVER k ELSE EMA20 END AS sl FROM f
   WINDOW k AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -189,3 +199,6 @@ def register(reg: Registry) -> None:
     reg.add("x05_online_indicators", online, ONLINE_SQL)
     reg.add("x06_counters", lambda s, d: rounded(L.run_to_table(L.counters(stream_of(s, d)), "update", ["event_type"]), ["total"]),
             f"SELECT event_type, count(*) AS n, {R('sum(value)')} AS total FROM events GROUP BY event_type")
+    reg.add("x07_late_rows", late, """WITH m AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 7200000000 AS mark FROM events WHERE event_id % 7 <> 0),
+        e AS (SELECT event_id, event_id % 7 = 0 AND epoch_us(ts) <= mark AS late FROM events, m)
+        SELECT count(*) FILTER (WHERE late) AS dropped, count(DISTINCT event_id) FILTER (WHERE NOT late) AS kept FROM e""")

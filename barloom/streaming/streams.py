@@ -101,21 +101,55 @@ def online_indicators(bars: DataFrame) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run over all available files into a table in the shared folder and read it back.
 
-    Update streams keep the latest row per key: each batch is written with its
-    number and the newest one wins on reading.
+    Update streams keep a current row per key (``upsert``).
     """
     spark = stream.sparkSession
     path = f"{shared_folder(spark)}/barloom/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").outputMode("append").option("path", f"{path}/data").start()
-    else:
-        def save(batch: DataFrame, number: int) -> None:
-            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
-        query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
-    if mode == "append":
+        writer.format("parquet").outputMode("append").option("path", f"{path}/data").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/data")
-    out = spark.read.parquet(f"{path}/data").drop("batch")
-    rest = [c for c in out.columns if c not in (*keys, "_batch")]
-    return out.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in rest])
+    writer.outputMode(mode).foreachBatch(upsert(f"{path}/data", keys)).start().awaitTermination()
+    return current(spark, f"{path}/data", stream.schema)
+
+
+def upsert(path: str, keys: list[str]):
+    """A batch function that keeps the newest row per key.
+
+    Two copies take turns: batch n is merged with the copy of n - 1 and replaces that of n - 2. A batch that is
+    replayed after a failure finds the copy it started from and gives the same table, and the copies hold
+    no more rows than there are keys, however many batches came.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        rows = batch.withColumn("_version", F.lit(number).cast("long"))
+        if number:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/{(number - 1) % 2}")
+            rows = rows.unionByName(before.withColumn("_version", F.lit(number - 1).cast("long")))
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("r")).select(*keys, "r.*")
+        newest.withColumn("_version", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{number % 2}")
+    return save
+
+
+def current(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newer copy of an upserted table, once its stream has ended."""
+    copies = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, _version long").parquet(f"{path}/*")
+    newest = copies.agg(F.max("_version").alias("_newest"))
+    return copies.join(F.broadcast(newest), F.col("_version") == F.col("_newest"), "left_semi").select(*[f.name for f in schema])
+
+
+def late_rows(stream: DataFrame, path: str) -> DataFrame:
+    """Run over the available files into path/data, going on where the last run ended; (batch, dropped): rows that came after the watermark.
+
+    The figures are the state operator's own. Aggregations count rows after their map-side part.
+    """
+    query = (stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+             .format("parquet").outputMode("append").option("path", f"{path}/data").start())
+    dropped: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(1)
+        # The newest hundred are kept by the query, so they are read as it runs.
+        for p in query.recentProgress:
+            dropped[p.batchId] = max(dropped.get(p.batchId, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+    return stream.sparkSession.createDataFrame(sorted(dropped.items()), "batch long, dropped long")

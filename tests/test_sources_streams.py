@@ -87,3 +87,16 @@ def test_lines_of_several_files_are_numbered_in_order(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("\n".join(["t,o,h,l,c,v", *rows]) + "\n")
     good, _ = B.read_klines(spark, str(tmp_path), "x")
     assert [(r.src_row, r.volume) for r in good.orderBy("src_row").collect()] == [(0, 97), (1, 97), (2, 97), (3, 98), (4, 98), (5, 99)]
+
+
+def test_upsert_survives_replay_and_keeps_one_row_per_key(spark, tmp_path):
+    save = L.upsert(str(tmp_path / "t"), ["k"])
+    want = {}
+    for n in range(12):
+        rows = [(k, n * 10 + k) for k in range(5) if (k + n) % 3 == 0]
+        batch = spark.createDataFrame(rows, "k long, v long")
+        for _ in range(2 if n in (0, 4, 11) else 1):
+            save(batch, n)
+        want |= dict(rows)
+        assert dict(map(tuple, L.current(spark, str(tmp_path / "t"), batch.schema).collect())) == want
+    assert spark.read.parquet(str(tmp_path / "t" / "*")).count() <= 10
