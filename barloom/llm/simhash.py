@@ -262,11 +262,38 @@ def _candidates(distinct: DataFrame, radius: int, shard: int) -> DataFrame:
             flat, ends = _flat(batch)
             fid = flat.field("fid").to_numpy()
             prints = np.stack([flat.field(f"p{k}").to_numpy() for k in range(SKETCH)], axis=1).view(np.uint64)
-            yield _starred((fid[lo:hi], group(prints[lo:hi], radius)) for lo, hi in ends)
+            yield _starred(_labelled(fid, prints, ends, radius))
 
     return map_arrow(few.select("m").unionByName(pairs.select("m")).filter(F.size("m") > 1), run, "a bigint, b bigint")
 
 
+def small_groups(prints: np.ndarray, radius: int) -> np.ndarray:
+    """The labels of ``group`` for many groups of one small size at once: prints (groups, members, words), labels (groups, members)."""
+    near = np.bitwise_count(prints[:, :, None] ^ prints[:, None]).sum(axis=-1, dtype=np.int16) <= radius
+    label = near.argmax(axis=-1)
+    while True:
+        least = np.where(near, label[:, None], prints.shape[1]).min(axis=-1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _labelled(fid: np.ndarray, prints: np.ndarray, ends: list[tuple[int, int]], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, labels) of groups: small ones many at once by size, trees for the others."""
+    lo, hi = np.array(ends, np.int64).reshape(-1, 2).T
+    for n in np.unique(hi - lo).tolist():
+        starts = lo[hi - lo == n]
+        if n > LEAF:
+            yield from ((fid[k : k + n], group(prints[k : k + n], radius)) for k in starts.tolist())
+            continue
+        step = max(1, BLOCK // (n * n))
+        for k in range(0, len(starts), step):
+            at = starts[k : k + step, None] + np.arange(n)
+            label = small_groups(prints[at], radius)
+            moved = np.flatnonzero((label != np.arange(n)).any(axis=1))
+            yield from zip(fid[at[moved]], label[moved], strict=True)
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[pa.StructArray, list[tuple[int, int]]]:
     """All members of a batch's groups, and where each group lies."""
     ends = (np.array(batch.column(0).offsets) - batch.column(0).offsets[0].as_py()).tolist()
