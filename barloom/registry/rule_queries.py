@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import meta as M
 from ..functions import rules as R
 from ..functions.indicators import ALL_FEATURES, features, tiled_features
+from ..functions.proofs import prove
 from ..operators.tiling import Tiles, drop_halo
 from ..session import materialize
 from . import sqlkit as Q
@@ -219,20 +220,54 @@ def min_complexity(spark, d):
 
 
 def proofs(spark, d):
-    rules = {"sig": RULES["tree_or"]}
-    t = ruled(spark, d, rules, more={
-        "ema10_prev": "lag(EMA10, 1) OVER (PARTITION BY symbol, tile ORDER BY bar_idx)",
-        "ema20_prev": "lag(EMA20, 1) OVER (PARTITION BY symbol, tile ORDER BY bar_idx)",
-        "crossed": R.rule_sql(RULES["cross_up"]), "path": R.fired_path_sql(RULES["tree_or"]),
-    })
-    out = plain(t).filter("r_sig").select(
-        "symbol", "bar_idx", "path",
-        F.struct(F.lit("CrossUp").alias("kind"), F.array("ema10_prev", "EMA10", "ema20_prev", "EMA20").alias("shown"),
-                 F.array(F.col("ema10_prev") <= F.col("ema20_prev"), F.col("EMA10") > F.col("EMA20")).alias("tests"),
-                 F.col("crossed").alias("result")).alias("proof"))
-    flat = out.select("symbol", "bar_idx", "path", F.col("proof.shown")[1].alias("fast"), F.col("proof.shown")[3].alias("slow"),
-                      F.col("proof.tests")[1].alias("above"), F.col("proof.result").alias("crossed"))
-    return rounded(flat, ["fast", "slow"])
+    """All rules on the bars where they hold, a row for each leaf."""
+    proven = prove(tiled_features(bars_of(spark, d), R.features_of(*RULES.values())), RULES)
+    leaf = proven.select("rule", "symbol", "bar_idx", "path", F.posexplode_outer("leaves").alias("pos", "l"))
+    shown = [F.get("l.shown", F.lit(k)).alias(f"v{k}") for k in range(4)]
+    tests = F.array_join(F.transform("l.tests", lambda t: t["ok"].cast("string")), ",").alias("tests")
+    # An empty rule has no leaf to fail.
+    whole = [F.coalesce(c, F.lit(v)).alias(c.split(".")[-1]) for c, v in (("pos", -1), ("l.lookback", 0), ("l.reaches", True), ("l.finite", True), ("l.result", True))]
+    out = leaf.select("rule", "symbol", "bar_idx", "path", "l.kind", "l.a", "l.b", *whole, *shown, tests)
+    return rounded(out, ["v0", "v1", "v2", "v3"])
+
+
+# Paths of trees as they must read, by rule; a single leaf's is its kind.
+PATHS = {"tree_and": "'AND(GT && NOT(false))'", "tree_not": "'NOT(false)'", "empty": "'no_rule'",
+         "tree_or": f"CASE WHEN {twin(RULES['cross_up'])} THEN 'OR_left:CrossUp' ELSE 'OR_right:AND(LT && Rising)' END"}
+
+
+def proofs_sql() -> str:
+    """One branch per rule and leaf, over the bars on which the rule holds."""
+    def leaf(rule):
+        kind, a = rule[:2]
+        if kind in ("GT", "LT"):
+            return [a, rule[2]], [f"{a} {'>' if kind == 'GT' else '<'} {rule[2]}"], 0
+        if kind in ("AbsGT", "AbsLT"):
+            return [f"abs({a})", rule[2]], [f"abs({a}) {'>' if kind == 'AbsGT' else '<'} {rule[2]}"], 0
+        if kind == "Between":
+            return [min(rule[2:]), max(rule[2:]), a], [f"{a} >= {min(rule[2:])}", f"{a} <= {max(rule[2:])}"], 0
+        if kind in ("Rising", "Falling"):
+            return [S(a, rule[2]), a], [f"{a} {'>' if kind == 'Rising' else '<'} {S(a, rule[2])}"], rule[2]
+        if kind in ("SlopeGT", "SlopeLT"):
+            slope = f"(({a} - {S(a, rule[3])}) / {rule[3]})"
+            return [S(a, rule[3]), a, slope], [f"{slope} {'>' if kind == 'SlopeGT' else '<'} {rule[2]}"], rule[3]
+        b, (was, now) = rule[2], ("<=", ">") if kind.endswith("Up") else (">=", "<")
+        moved = [f"abs({x} - {S(x)}) >= 1e-6" for x in (a, b)] if kind.startswith("Cross") else []
+        return [S(a), S(b), a, b], [*moved, f"{S(a)} {was} {S(b)}", f"{a} {now} {b}"], 1
+
+    branches = []
+    for name, rule in RULES.items():
+        for pos, part in enumerate(R.leaves(rule)):
+            values, tests, back = leaf(part)
+            cols = [f"CAST(round(CAST({v} AS DOUBLE), 6) AS DOUBLE) + 0.0" for v in values] + ["CAST(NULL AS DOUBLE)"] * (4 - len(values))
+            ok = " || ',' || ".join(f"CAST(coalesce({t}, FALSE) AS VARCHAR)" for t in tests)
+            b = f"'{part[2]}'" if part[0] in R.PAIRS else "CAST(NULL AS VARCHAR)"
+            branches.append(
+                f"SELECT '{name}' AS rule, symbol, bar_idx, {PATHS.get(name, repr(part[0]))} AS path, {pos} AS pos, '{part[0]}' AS kind, '{part[1]}' AS a, {b} AS b, {back} AS lookback, "
+                f"bar_idx >= {back} AS reaches, {' AND '.join(f'({v}) IS NOT NULL' for v in values)} AS finite, {twin(part)} AS result, "
+                + ", ".join(f"{v} AS v{k}" for k, v in enumerate(cols)) + f", {ok} AS tests, r_{name} AS fired FROM c")
+    branches.append("SELECT 'empty', symbol, bar_idx, 'no_rule', -1, NULL, NULL, NULL, 0, TRUE, TRUE, TRUE, NULL, NULL, NULL, NULL, NULL, r_empty FROM c")
+    return f"WITH RECURSIVE {rules_cte(RULES)}, every AS ({' UNION ALL '.join(branches)}) SELECT * EXCLUDE (fired) FROM every WHERE fired"
 
 
 VOL_OK = 0.9
@@ -315,10 +350,7 @@ def register(reg: Registry) -> None:
     reg.add("p13_min_complexity", min_complexity, f"""{FULL} SELECT rule_id,
         bool_or(category = 'price_market') AND bool_or(category = 'volume_volatility') AS ok
         FROM nodes n JOIN meta m ON m.name = n.a OR m.name = n.b GROUP BY rule_id""")
-    reg.add("p14_p15_proofs", proofs, f"""WITH RECURSIVE {rules_cte({"sig": RULES["tree_or"], "crossed": RULES["cross_up"]})}
-        SELECT symbol, bar_idx, CASE WHEN r_crossed THEN 'root.L' ELSE 'root.R.L+root.R.R' END AS path,
-        CAST(round(EMA10, 6) AS DOUBLE) + 0.0 AS fast, CAST(round(EMA20, 6) AS DOUBLE) + 0.0 AS slow,
-        EMA10 > EMA20 AS above, r_crossed AS crossed FROM c WHERE r_sig""")
+    reg.add("p14_p15_proofs", proofs, proofs_sql())
     ok = f"""{rules_cte(TRADABLE, ["Active", "ATR14", "ATR14_SMA50"])},
         k AS (SELECT *, Active > 0 AND r_regime AND r_entry AND (ATR14_SMA50 <= 0 OR ATR14 >= {VOL_OK} * ATR14_SMA50) AS ok FROM c),
         e AS (SELECT *, ok AND NOT coalesce({S("ok")}, FALSE) AS ok_edge FROM k)"""

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import features
+from ..functions.proofs import prove_signals
 from ..operators import joins as J
 from ..operators import ranking as K
 from ..operators.acceptance import recent_distinct
@@ -22,6 +23,7 @@ from .trade_queries import BOOK, STATES_SQL, states_sql, with_states, with_trade
 from .trade_sql import names_of, trades_cte
 from ..sources.bars import HOUR_MS
 
+SHOWN = ["EMA10", "EMA20", "RSI14"]
 TRAILING = ", ".join(f"'{s.name}'" for s in BOOK if s.trail)
 WINNER = "seed long, strategy string, test_score double, test_return double, test_trades long, regime string"
 
@@ -59,12 +61,20 @@ def bad_lines(spark, d):
     return Z.read_winners(spark, winner_file(spark, d), WINNER)[1].groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trade_sink(spark, t, b):
-    out = Z.trade_file(t, b)
+def trade_sink(spark, t, b, states, prep):
+    out = Z.trade_file(t, b, prove_signals(prep, t, BOOK, SHOWN))
     path = _path(spark, "trades")
     Z.write_csv(out, path)
     back = Z.read_csv(spark, path, out.schema)
-    return rounded(back.drop("ProofSummary"), ["EntryPrice", "ExitPrice", "PnL", "StopPrice", "TPPrice"])
+    return rounded(back, ["EntryPrice", "ExitPrice", "PnL", "StopPrice", "TPPrice"])
+
+
+def proof_sink(spark, t, b, states, prep):
+    """Every bar of every strategy, read back from the file."""
+    out = Z.state_file_with_proofs(states, prep, prove_signals(prep, t, BOOK, SHOWN), SHOWN)
+    path = _path(spark, "state-proofs")
+    Z.write_csv(out, path)
+    return Z.read_csv(spark, path, out.schema).withColumn("States", F.coalesce("States", F.lit("")))
 
 
 def state_sink(spark, t, b, states):
@@ -142,6 +152,28 @@ def late(spark, d):
     return dropped.agg(F.sum("dropped").alias("dropped")).join(F.broadcast(kept))
 
 
+def _num(x, digits=2):
+    return f"coalesce(CAST(TRY_CAST(round({x}, {digits}) AS DECIMAL(30, {digits})) AS VARCHAR), 'NaN')"
+
+
+def _crossing(kind, a, b, holds):
+    return f"""concat('{kind}({a},{b}):', CAST({holds} AS VARCHAR), '[{a}[t-1]=', {_num(f'p_{a}')}, ' | {b}[t-1]=', {_num(f'p_{b}')}, ' | {a}[t]=', {_num(a)}, ' | {b}[t]=', {_num(b)}, ']')"""
+
+
+def _rising(a, n, holds):
+    return f"concat('Rising({a}):', CAST({holds} AS VARCHAR), '[{a}[t]=', {_num(a)}, ' | {a}[t-{n}]=', {_num(f'p{n}_{a}')}, ']')"
+
+
+VALUES_SQL = "concat('indicators={', " + ", ', ', ".join(f"'{n}=', {_num(n)}" for n in SHOWN) + ", '}')"
+UP, DOWN = (f"p_EMA10 {x} p_EMA20 AND EMA10 {y} EMA20 AND abs(EMA10 - p_EMA10) >= 1e-6 AND abs(EMA20 - p_EMA20) >= 1e-6" for x, y in (("<=", ">"), (">=", "<")))
+# Summary by strategy: what the book's signals show.
+SUMMARY_SQL = f"""CASE strategy WHEN 'trend_long' THEN concat_ws(' | ', 'regime_ok=true', 'entry_ok=true',
+    CASE WHEN {UP} THEN 'path=OR_left:CrossUp' ELSE 'path=OR_right:AND(LT && Rising)' END, {_crossing('CrossUp', 'EMA10', 'EMA20', f'({UP})')},
+    concat('LT(RSI14):', CAST(RSI14 < 40 AS VARCHAR), '[RSI14[t]=', {_num('RSI14')}, ' | threshold=40.00]'), {_rising('EMA20', 2, '(EMA20 > p2_EMA20)')}, {VALUES_SQL})
+  WHEN 'fade_short' THEN concat_ws(' | ', 'regime_ok=true', 'entry_ok=true', 'path=CrossDown', {_crossing('CrossDown', 'EMA10', 'EMA20', f'({DOWN})')}, {VALUES_SQL})
+  ELSE concat_ws(' | ', 'regime_ok=true', 'entry_ok=true', 'path=Rising', {_rising('EMA10', 2, '(EMA10 > p2_EMA10)')}, {VALUES_SQL}) END"""
+SEEN_SQL = "pf AS MATERIALIZED (SELECT *, " + ", ".join(
+    f"lag({a}, {k}) OVER (PARTITION BY symbol ORDER BY bar_idx) AS {p}_{a}" for a in ("EMA10", "EMA20") for k, p in ((1, "p"), (2, "p2"))) + " FROM f)"
 ONLINE_SQL = f"""WITH RECURSIVE {Q.features_cte(["EMA10", "EMA20", "ATR14"])}, e AS (SELECT *,
   CASE WHEN bar_idx < 9 THEN avg(close) OVER k ELSE EMA10 END AS fa, CASE WHEN bar_idx < 19 THEN avg(close) OVER k ELSE EMA20 END AS sl FROM f
   WINDOW k AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -162,10 +194,17 @@ def register(reg: Registry) -> None:
     reg.add("a26_completeness", lambda s, d: Z.completeness(winners(s, d), ["regime", "test_score"]),
             f"WITH {W_SQL} SELECT count(*) AS lines, count(regime) AS with_regime, count(test_score) AS with_test_score FROM w")
     ts = lambda ms: f"strftime(make_timestamp_ms({ms}), '%Y-%m-%dT%H:%M:%SZ')"
-    reg.add("s06_trade_file", with_trades(trade_sink), f"""WITH RECURSIVE {trades_cte(BOOK)} SELECT concat_ws('-', strategy, t.symbol, signal_idx) AS TradeID,
+    reg.add("s06_trade_file", with_states(trade_sink, prep_too=True), f"""WITH RECURSIVE {trades_cte(BOOK)}, {SEEN_SQL} SELECT concat_ws('-', strategy, t.symbol, signal_idx) AS TradeID,
         signal_idx AS SignalIndex, entry_idx AS EntryIndex, exit_idx AS ExitIndex, {ts('b.open_ms')} AS SignalTime, {ts('entry_ms')} AS EntryTime, {ts('exit_ms')} AS ExitTime,
         CASE WHEN dir = 1 THEN 'LONG' ELSE 'SHORT' END AS Direction, {R('entry_price')} AS EntryPrice, {R('exit_price')} AS ExitPrice, {R('pnl')} AS PnL, hold AS HoldBars, reason AS ExitReason,
-        {R('stop')} AS StopPrice, {R('target')} AS TPPrice, strategy IN ({TRAILING}) AS TrailActive FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx = t.signal_idx""")
+        {R('stop')} AS StopPrice, {R('target')} AS TPPrice, strategy IN ({TRAILING}) AS TrailActive,
+        {SUMMARY_SQL} AS ProofSummary FROM trades t JOIN bars b ON b.symbol = t.symbol AND b.bar_idx = t.signal_idx JOIN pf ON pf.symbol = t.symbol AND pf.bar_idx = t.signal_idx""")
+    reg.add("s07_state_proofs", with_states(proof_sink, prep_too=True), f"""WITH RECURSIVE {STATES_SQL}, {SEEN_SQL}
+        SELECT s.symbol, s.strategy, s.bar_idx AS BarIndex, strftime(make_timestamp_ms(s.open_ms), '%Y-%m-%d %H:%M:%S') AS Time,
+        CASE WHEN st = 'filtered' THEN '' ELSE st END AS States, t.sid IS NOT NULL AS RegimeOK, t.sid IS NOT NULL AS EntryOK,
+        CASE WHEN t.sid IS NOT NULL THEN {SUMMARY_SQL.replace('strategy WHEN', 's.strategy WHEN')} ELSE {VALUES_SQL} END AS ProofSummary
+        FROM states s JOIN pf ON pf.symbol = s.symbol AND pf.bar_idx = s.bar_idx
+        LEFT JOIN trades t ON t.symbol = s.symbol AND t.strategy = s.strategy AND t.signal_idx = s.bar_idx""")
     reg.add("s07_state_file", with_states(state_sink), f"""WITH RECURSIVE {STATES_SQL} SELECT strategy, CASE WHEN st = 'filtered' THEN '' ELSE st END AS "Statuses", count(*) AS n,
         min(open_ms) AS first, max(bar_idx) AS last FROM states GROUP BY ALL""")
     reg.add("s08_trace", with_states(trace_sink), f"""WITH RECURSIVE {states_sql(BOOK).replace(Q.features_cte(names_of(BOOK)), Q.features_cte([*names_of(BOOK), *[n for n in ("RSI14", "EMA20") if n not in names_of(BOOK)]]))}

@@ -69,15 +69,15 @@ def with_trades(fn, strategies=BOOK):
     return run
 
 
-def with_states(fn, strategies=BOOK):
-    """Run ``fn(spark, trades, bars, states)`` with the state of every bar of every series."""
+def with_states(fn, strategies=BOOK, prep_too=False):
+    """Run ``fn(spark, trades, bars, states)`` with the state of every bar of every series; with ``prep_too`` also the book's tiled frame."""
     def run(spark, d):
         bars = materialize(bars_of(spark, d), "bars")
         prep = materialize(X.prepared(bars, strategies), "prepared")
         ids = range(len(strategies))
         lab = X.label(X.entries(prep, strategies), X.path_bars(prep, strategies), strategies)
         t = materialize(select_trades(lab, {i: strategies[i].cooldown for i in ids}, {i: strategies[i].max_losses for i in ids}), "trades")
-        return fn(spark, t, bars, TL.bar_states(TL.timeline(prep, t, strategies)))
+        return fn(spark, t, bars, TL.bar_states(TL.timeline(prep, t, strategies)), *[prep] * prep_too)
     return run
 
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def trade_file(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Trades in the 17-column file layout."""
+from ..functions.proofs import indicators_text
+from ..operators.tiling import Tiles, drop_halo
+
+
+def trade_file(trades: DataFrame, bars: DataFrame, proofs: DataFrame | None = None) -> DataFrame:
+    """Trades in the 17-column file layout. ``proofs``: summaries of their signals (``proofs.prove_signals``)."""
     times = bars.select("symbol", F.col("bar_idx").alias("signal_idx"), F.col("open_ms").alias("signal_ms"))
     stamp = lambda ms: f"date_format(timestamp_millis({ms}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
     t = trades.join(times, ["symbol", "signal_idx"])
+    t = t.withColumn("summary", F.lit("")) if proofs is None else t.join(proofs.select("strategy", "symbol", "signal_idx", "summary"), ["strategy", "symbol", "signal_idx"], "left")
     return t.selectExpr(
         "concat_ws('-', strategy, symbol, CAST(signal_idx AS STRING)) AS TradeID", "signal_idx AS SignalIndex",
         "entry_idx AS EntryIndex", "exit_idx AS ExitIndex", f"{stamp('signal_ms')} AS SignalTime", f"{stamp('entry_ms')} AS EntryTime",
         f"{stamp('exit_ms')} AS ExitTime", "IF(dir = 1, 'LONG', 'SHORT') AS Direction", "entry_price AS EntryPrice", "exit_price AS ExitPrice", "pnl AS PnL",
         "hold AS HoldBars", "reason AS ExitReason", "stop AS StopPrice", "target AS TPPrice", "trails AS TrailActive",
-        "'' AS ProofSummary")
+        "coalesce(summary, '') AS ProofSummary")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -32,6 +37,19 @@ def state_file(states: DataFrame, bars: DataFrame) -> DataFrame:
     return timed.selectExpr("symbol", "strategy", "bar_idx AS BarIndex", "open_ms AS Time", "array_join(array_remove(states, 'filtered'), ',') AS Statuses")
 
 
+def state_file_with_proofs(states: DataFrame, prep: DataFrame, proofs: DataFrame, shown: list[str], tiles: Tiles = Tiles()) -> DataFrame:
+    """Bar states with the proofs of signals; other bars show their values only, and count as not checked.
+
+    ``prep`` is the book's tiled frame, ``proofs`` come from ``proofs.prove_signals`` with the same ``shown``.
+    """
+    values = drop_halo(prep, tiles.size).select("symbol", "bar_idx", "open_ms", F.expr(indicators_text(shown)).alias("plain"))
+    of = proofs.select("strategy", "symbol", F.col("signal_idx").alias("bar_idx"), "regime_ok", "entry_ok", "summary")
+    both = states.join(values, ["symbol", "bar_idx"]).join(of, ["strategy", "symbol", "bar_idx"], "left")
+    return both.selectExpr("symbol", "strategy", "bar_idx AS BarIndex", "date_format(timestamp_millis(open_ms), 'yyyy-MM-dd HH:mm:ss') AS Time",
+                           "array_join(array_remove(states, 'filtered'), ',') AS States", "coalesce(regime_ok, false) AS RegimeOK",
+                           "coalesce(entry_ok, false) AS EntryOK", "coalesce(summary, plain) AS ProofSummary")
+
+
 def trace(states: DataFrame, featured: DataFrame, cols: list[str]) -> DataFrame:
     """Every bar of every strategy with its state, features and rule columns."""
     s = states.select("symbol", "strategy", "bar_idx", F.array_join("states", ",").alias("state"))
