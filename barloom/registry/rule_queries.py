@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta as M
 from ..functions import rules as R
-from ..functions.indicators import ALL_FEATURES, features, tiled_features
+from ..functions.indicators import ALL_FEATURES, STATEFUL, features, tiled_features
 from ..functions.proofs import prove
 from ..operators.tiling import Tiles, drop_halo
 from ..session import materialize
@@ -99,6 +99,8 @@ META_CTE = (f"meta(pos, name, type, family, category, lo, hi) AS (SELECT pos, na
 STATS_CTE = "stats AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS name, CAST(min({n}) AS DOUBLE) AS min, CAST(max({n}) AS DOUBLE) AS max, "
     f"CAST(avg({n}) AS DOUBLE) AS mean, CAST(stddev_pop({n}) AS DOUBLE) AS std FROM train" for n in STAT_FEATURES) + ")"
+# Every feature but the trend pair, which isn't planned with the others.
+ALL_STATS = [n for n in ALL_FEATURES if n not in STATEFUL]
 TRAIN_UNTIL = 1705708800000  # 2024-01-20, the end of the training split
 TRAIN = f"{Q.features_cte(STAT_FEATURES)},\ntrain AS MATERIALIZED (SELECT * FROM f WHERE open_ms < {TRAIN_UNTIL})"
 STEPS = [-1.5, -0.5, 0.5, 1.5]
@@ -156,7 +158,13 @@ FULL = f"WITH RECURSIVE {TRAIN},\n{STATS_CTE},\n{SWEEP_CTE},\n{RULE_ROWS}"
 
 
 def stats_query(spark, d):
-    return rounded(train_stats(spark, d), ["min", "max", "mean", "std"])
+    f = features(bars_of(spark, d), ALL_STATS).filter(F.col("open_ms") < TRAIN_UNTIL)
+    return rounded(M.feature_stats(f, ALL_STATS), ["min", "max", "mean", "std"])
+
+
+ALL_STATS_SQL = f"WITH RECURSIVE {Q.features_cte(ALL_STATS)}, train AS MATERIALIZED (SELECT * FROM f WHERE open_ms < {TRAIN_UNTIL}) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS name, " + ", ".join(f"CAST(round(CAST({fn}({n}) AS DOUBLE), 6) AS DOUBLE) + 0.0 AS {c}" for c, fn in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_pop")))
+    + " FROM train" for n in ALL_STATS)
 
 
 def typed_stats(spark, d):
@@ -165,10 +173,10 @@ def typed_stats(spark, d):
 
 
 def fingerprint_query(spark, d):
-    """Column fingerprint beside the number of rows the columns were computed for."""
-    t = plain(tiled_features(bars_of(spark, d), ["RSI14", "EMA20", "ATR14"]))
-    names = F.array(*[F.lit(c) for c in ["RSI14", "EMA20", "ATR14"]])
-    return t.agg(F.count(F.lit(1)).alias("n")).select("n", M.fingerprint(names).alias("fingerprint"))
+    """Fingerprint of the columns that a feature table of the bars has, beside its rows."""
+    t = features(bars_of(spark, d), ALL_STATS).select("bar_idx", *ALL_STATS)
+    names = F.array(*[F.lit(c) for c in t.columns if c in M.TYPE_OF])
+    return t.agg(F.count(F.lit(1)).alias("n")).select("n", F.size(names).alias("columns"), M.fingerprint(names).alias("fingerprint"))
 
 
 def warmups(spark, d):
@@ -313,9 +321,10 @@ def register(reg: Registry) -> None:
     reg.add("m01_j01_type_lookup", typed_stats, f"""{FULL} SELECT type, category, count(*) AS n,
         CAST(round(max(max), 6) AS DOUBLE) + 0.0 AS top FROM stats JOIN meta USING (name) GROUP BY type, category""")
     reg.add("m02_pairs", pair_counts, f"{FULL} SELECT a, kind, count(b) AS n FROM sweep WHERE b IS NOT NULL GROUP BY a, kind")
-    reg.add("m03_train_stats", stats_query, f"{FULL} SELECT name, {Q.rounded(['min', 'max', 'mean', 'std'])} FROM stats")
-    reg.add("m04_fingerprint", fingerprint_query, f"""WITH {Q.bars_cte()} SELECT count(*) AS n,
-        substr(sha256('0:RSI14|1:EMA20|2:ATR14'), 1, 16) AS fingerprint FROM bars""")
+    reg.add("m03_train_stats", stats_query, ALL_STATS_SQL)
+    parts = "|".join(f"{i}:{n}" for i, n in enumerate(n for n in ALL_STATS if n in M.TYPE_OF))
+    reg.add("m04_fingerprint", fingerprint_query, f"""WITH {Q.bars_cte()} SELECT count(*) AS n, CAST({len(parts.split('|'))} AS INTEGER) AS columns,
+        substr(sha256('{parts}'), 1, 16) AS fingerprint FROM bars""")
     reg.add("m05_lookback", warmups, f"""{FULL}, d AS (SELECT kind,
         greatest(coalesce(TRY_CAST(regexp_extract(a, '([0-9]+)[^0-9]*$', 1) AS INTEGER), 0),
                  coalesce(TRY_CAST(regexp_extract(b, '([0-9]+)[^0-9]*$', 1) AS INTEGER), 0)) AS lb FROM sweep)
