@@ -1,6 +1,12 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-A text is its words and one end. The longest context of a word is the whole word: one that was seen c times in
+``stream_scores`` is the whole method: a text is the byte stream of its words, a space after each, and one end. Every byte
+of every document is predicted from the ORDER bytes before it, over the borders of words, by a trie that is trained on the streams of all training
+texts with their counts; escapes and exclusion as below. A stream starts as if after a space. The corpus is reduced to counts of
+distinct (context, symbol) events, which are coded once; the EVENTS most frequent are broadcast to the pass over the texts, all others
+are joined. Words are counted only for ``base_score``.
+
+``score`` is a coarser model, by words: a text is its words and one end. The longest context of a word is the whole word: one that was seen c times in
 N training tokens has (c - d) / N, and the escape takes d for each distinct word; d is estimated from
 how many words occur once and twice. After that escape the word is predicted byte by byte from a
 trie of byte contexts, up to ORDER bytes back and no further than the space before the word, trained on
@@ -47,6 +53,9 @@ SPACE, END, ALPHABET = 0x20, 0x0A, 252
 
 LENGTH_AT = 56
 
+# Bytes of a stream that are looked at together, and the longest words that are broadcast.
+PIECE, WORD_MOST = 1 << 20, 64
+
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c, a) of (_text, _train): occurrences in training texts and in all."""
@@ -259,3 +268,141 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + zero(F.col("rbase")) + float(np.log10(ends + 1.0)) - n * float(np.log10(total + distinct + 1.0))).alias("base_score"),
         (F.col("lp") + zero(F.col("rlp")) + end_lp).alias("score"))
+
+
+def stream_of(text: bytes) -> bytes:
+    """What is predicted of a text, and the space before it."""
+    words = text.lower().split()
+    return b" " + b" ".join(words) + (b" \n" if words else b"\n")
+
+
+def stream_pieces(streams: list[bytes], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, owners) as in events_of, for every byte of the streams but the first; long streams in pieces, short ones together."""
+    held, size = [], 0
+    for i, stream in enumerate(streams):
+        for at in range(1, len(stream), PIECE):
+            lead = min(at, order)
+            held.append((i, lead, stream[at - lead:at + PIECE]))
+            size += len(held[-1][2])
+            if size >= PIECE:
+                yield _piece_events(held, order)
+                held, size = [], 0
+    if held:
+        yield _piece_events(held, order)
+
+
+def _piece_events(held: list[tuple[int, int, bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(part for _, _, part in held), np.uint8).astype(np.int64)
+    sizes = np.array([len(part) for _, _, part in held])
+    begin = np.cumsum(sizes) - sizes
+    lead = np.array([k for _, k, _ in held])
+    key = data.copy()
+    for j in range(1, order + 1):
+        key[j:] |= data[:-j] << (8 * j)
+    key |= order << LENGTH_AT
+    own = np.ones(len(data), bool)
+    for back in range(order):
+        at = begin[sizes > back] + back
+        key[at] = key[at] & ((1 << 8 * (back + 1)) - 1) | back << LENGTH_AT
+        own[begin[lead > back] + back] = False
+    return key[own], np.repeat([i for i, _, _ in held], sizes - lead)
+
+
+def stream_counts(texts: DataFrame) -> DataFrame:
+    """(key, c, a) of (_text, _train): how often each event occurs in training streams and in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .units import blocks
+
+        def summed(parts):
+            keys, where = np.unique(np.concatenate([k for k, _, _ in parts]), return_inverse=True)
+            return [(keys, *(np.bincount(where, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2)))]
+
+        parts, size, settled = [], 0, 0
+        for batch in blocks(batches, "_text"):
+            texts, train = batch.column("_text").cast(pa.binary()).to_pylist(), batch.column("_train").to_pylist()
+            for flag in (False, True):
+                for keys, _ in stream_pieces([stream_of(t) for t, x in zip(texts, train, strict=True) if x == flag]):
+                    keys, n = np.unique(keys, return_counts=True)
+                    parts.append((keys, n if flag else np.zeros_like(n), n))
+                    size += len(keys)
+                    if size > 2 * settled + HELD * 4:
+                        parts = summed(parts)
+                        size = settled = len(parts[0][0])
+                        if settled > HELD * 4:
+                            yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], ["key", "c", "a"])
+                            parts, size, settled = [], 0, 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, summed(parts)[0])], ["key", "c", "a"])
+
+    return map_arrow(texts, run, "key bigint, c bigint, a bigint").groupBy("key").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+
+
+@lru_cache(maxsize=1)
+def _base_words(key: str, shared):
+    words, c = shared.value
+    # One more entry at the end stands for all other words.
+    return {w: i for i, w in enumerate(words.split())}, np.append(np.log10(c + 1.0), 0.0), np.append(c > 0, False)
+
+
+def stream_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, training, n_tokens, n_known, train_tokens, base_score, score) of every document; ``score`` is of its byte stream.
+
+    ``training`` and ``base_score`` as in score.
+    """
+    import uuid
+
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(training, F.lit(False)).alias("_train"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    counted = materialize(word_counts(texts.select("_text", "_train")), "words")
+    ends = texts.agg(F.count_if("_train")).first()[0]
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct = sums[0] + ends, sums[1] + (ends > 0)
+    best = counted.filter(F.octet_length("word") <= WORD_MOST).orderBy(F.desc("a"), "word").limit(FREQUENT).select("word", "c").toArrow()
+    words = spark.sparkContext.broadcast((b" ".join(best["word"].to_pylist()), best["c"].to_numpy().astype(np.int64)))
+    del best
+
+    events = materialize(stream_counts(texts.select("_text", "_train")), "stream-events")
+    coded = materialize(code(events, *train(events)).join(events.select("key", "a"), "key"), "event-codes")
+    top = coded.orderBy(F.desc("a"), "key").limit(EVENTS).select("key", "lp").toArrow()
+    keys, lps = top["key"].to_numpy(), top["lp"].to_numpy()
+    order = np.argsort(keys)
+    codes = spark.sparkContext.broadcast((keys[order], lps[order]))
+    del top, keys, lps, order
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .units import blocks
+
+        at, base, known = _base_words(key, words)
+        keys, lps = codes.value
+        for batch in blocks(batches, "_text"):
+            texts, cols = batch.column("_text").cast(pa.binary()).to_pylist(), ([], [], [], [])
+            for text in texts:
+                tokens = text.lower().split()
+                i = np.fromiter(map(at.get, tokens, repeat(len(at))), np.int64, len(tokens))
+                for col, value in zip(cols, (len(tokens), int(known[i].sum()), float(base[i].sum()), [tokens[k] for k in np.flatnonzero(i == len(at))]), strict=True):
+                    col.append(value)
+            lp, rest = np.zeros(len(texts)), [[] for _ in texts]
+            for own, owner in stream_pieces([stream_of(t) for t in texts]):
+                place = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+                found = keys[place] == own if len(keys) else np.zeros(len(own), bool)
+                lp += np.bincount(owner[found], lps[place[found]], len(texts))
+                for j in np.flatnonzero(~found):
+                    rest[owner[j]].append(int(own[j]))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_train"), *map(pa.array, cols[:3]), pa.array(lp), pa.array(cols[3], pa.list_(pa.binary())), pa.array(rest, pa.list_(pa.int64()))],
+                                             ["_id", "_train", "n", "known", "base", "lp", "words", "events"])
+
+    first = map_arrow(texts, run, f"_id {kind}, _train boolean, n bigint, known bigint, base double, lp double, words array<binary>, events array<bigint>")
+    first = materialize(first.withColumn("place", F.monotonically_increasing_id()), "first-tier")
+    more = first.select("place", F.explode("words").alias("word")).join(counted.select("word", "c"), "word")
+    more = more.groupBy("place").agg(F.count_if(F.col("c") > 0).alias("rknown"), F.sum(F.log10(F.col("c") + 1.0)).alias("rbase"))
+    rare = first.select("place", F.explode("events").alias("key")).join(coded.select("key", F.col("lp").alias("elp")), "key").groupBy("place").agg(F.sum("elp").alias("rlp"))
+    both = first.drop("words", "events").join(more, "place", "left").join(rare, "place", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    n = F.col("n") + 1
+    return both.select(
+        F.col("_id").alias(id_col), F.col("_train").alias("training"), n.alias("n_tokens"), (F.col("known") + F.coalesce("rknown", F.lit(0)) + int(ends > 0)).alias("n_known"),
+        F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("base") + zero("rbase") + float(np.log10(ends + 1.0)) - n * float(np.log10(total + distinct + 1.0))).alias("base_score"),
+        (F.col("lp") + zero("rlp")).alias("score"))

@@ -30,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document; a seventh of the ids is held out from training."""
     training = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
-    scored = ppm.score(table(spark, sf_dir, "documents"), training)
+    scored = ppm.stream_scores(table(spark, sf_dir, "documents"), training)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
