@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .outcomes import next_bars, windowed
 from .recurrence import Rec, scan
 from .tiling import Tiles, drop_halo, running_offset, with_halo
@@ -65,7 +66,7 @@ def compound(trades: DataFrame, keys: list[str], risk: float = 1.0) -> DataFrame
         (growth(F.col("pnl")) - 1).alias("raw_return"), (growth(F.col("pnl") * risk) - 1).alias("risk_return"))
 
 
-def cumulative(df: DataFrame, keys: list[str], order: str, part: str, pnl: str, out: str) -> DataFrame:
+def cumulative(df: DataFrame, keys: list[str], order: str, part: str, pnl: str, out: str, written: bool = False) -> DataFrame:
     """Running product of ``1 + pnl``, exact through zero and negative factors.
 
     ``part`` is an integer column that never decreases along ``order``.  The
@@ -77,6 +78,8 @@ def cumulative(df: DataFrame, keys: list[str], order: str, part: str, pnl: str,
     df = df.select("*", *[F.expr(sql).alias(name) for name, sql in bits.items()])
     totals = df.groupBy(*keys, part).agg(*[F.sum(b).alias(b) for b in bits])
     base = running_offset(totals, keys, part, list(bits), [f"{b}0" for b in bits]).drop(*bits)
+    if written:
+        base = materialize(base, "part-starts")
     over = f"OVER (PARTITION BY {', '.join(keys)}, {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     run = df.select("*", *[F.expr(f"sum({b}) {over} AS {b}1") for b in bits]).join(base, [*keys, part])
     value = ("CASE WHEN _zero0 + _zero1 > 0 THEN 0D ELSE "
@@ -99,9 +102,13 @@ def drawdown(df: DataFrame, keys: list[str], order: str, part: str, value: str,
 
 
 def trade_drawdown(trades: DataFrame, keys: list[str], order: str, part: str) -> DataFrame:
-    """Drawdown of compounded trade results; ``part`` is a SQL integer expression."""
+    """Drawdown of compounded trade results; ``part`` is a SQL integer expression.
+
+    The results so far are written, and so are the parts' starts: in one stage, all these sorts and hash tables would hold memory at once.
+    """
     t = trades.selectExpr(*keys, *order.split(", "), "pnl", f"{part} AS _part")
-    return drawdown(cumulative(t, keys, order, "_part", "pnl", "_eq"), keys, order, "_part", "_eq", 1.0)
+    grown = cumulative(t, keys, order, "_part", "pnl", "_eq", written=True)
+    return drawdown(materialize(grown.select(*t.columns, "_eq"), "grown"), keys, order, "_part", "_eq", 1.0)
 
 
 # --- equity per bar ---------------------------------------------------------

@@ -10,7 +10,15 @@ from ..session import prepare
 from ..sources import bars as B
 
 
+# Many small shuffle partitions, put together up to so many bytes. Rows of bars and trades compress to a few bytes each, so
+# the default of 64 MB puts millions of them into one task, whose sorts and hash tables then grow with the input.
+TASK_SETTINGS = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in TASK_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,11 +14,13 @@ from ..session import materialize
 from . import sqlkit as Q
 from .common import Registry, bars_of, rounded, table
 from .rule_queries import FULL, RULES, candidates, plain, ruled, rules_cte
-from .metric_queries import LEDGER_PART, R
+from .metric_queries import R
 
 # --- metric rows from the orders table: strategy = block of ten customers ------
 
 BY = ["strategy"]
+# Years: a day of a strategy has about one trade, so day parts made the part table as long as the ledger.
+YEAR_PART = f"exit_ms div {365 * 86_400_000}"
 LED = """led AS (SELECT CAST(o_custkey // 10 AS VARCHAR) AS strategy, epoch_ms(o_orderdate) AS exit_ms, o_orderkey AS trade_no,
   (o_totalprice % 1000 - 480) / 10000 AS pnl, o_orderkey % 120 + 1 AS hold, o_orderpriority AS reason,
   CASE WHEN year(o_orderdate) < 1998 THEN 'train' WHEN year(o_orderdate) < 2000 THEN 'screen' ELSE 'val' END AS split,
@@ -34,12 +36,13 @@ def led(spark, d):
 
 
 def metrics_by(trades, keys):
+    trades = materialize(trades, "ledger")
     m = X.trade_metrics(trades, keys).select(*keys, "trades", "win_rate", "expectancy", "profit_factor")
     r = trades.groupBy(*keys).agg(
         (X.growth(F.col("pnl")) - 1).alias("ret"), F.stddev_pop("pnl").alias("smooth_vol"),
         F.coalesce(F.sqrt(F.avg(F.when(F.col("pnl") < 0, F.col("pnl") ** 2))), F.lit(0.0)).alias("downside_vol"))
-    dd = X.trade_drawdown(trades, keys, "exit_ms, trade_no", LEDGER_PART)
-    return m.join(r, keys).join(dd, keys).withColumn("tested", F.col("trades") * 100)
+    dd = X.trade_drawdown(trades, keys, "exit_ms, trade_no", YEAR_PART)
+    return m.join(r, keys).join(materialize(dd, "drawdowns"), keys).withColumn("tested", F.col("trades") * 100)
 
 
 def met_cte(keys: str, name: str) -> str:

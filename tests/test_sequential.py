@@ -103,3 +103,21 @@ def test_timeline(spark, walk):
                 assert found[0][s.name, sym, t] == want, (s.name, sym, t)
     kinds = Counter(found[0].values())
     assert {"cooldown", "filtered", "flat", "signal_warmup,flat", "busted,flat", "signal,pending,flat"} <= kinds.keys()
+
+
+def test_ledger_parts_and_shuffle_partitions_are_bounded(spark):
+    """Parts hold many rows, tasks few bytes; the drawdown is that of a plain pass."""
+    from barloom.operators.metrics import trade_drawdown
+    from barloom.registry.common import table
+    from barloom.registry.score_queries import YEAR_PART, led
+
+    rows = led(spark, "/root/testdata/sf0.001").cache()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4m" and table(spark, "/root/testdata/sf0.001", "orders").count() == rows.count()
+    assert rows.selectExpr("strategy", YEAR_PART).distinct().count() * 4 < rows.count()
+    got = {r.strategy: r.max_dd for r in trade_drawdown(rows, ["strategy"], "exit_ms, trade_no", YEAR_PART).collect()}
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.exit_ms, r.trade_no)):
+        e, top, dd = want.get(r.strategy, (1.0, 1.0, 0.0))
+        e *= 1 + r.pnl
+        want[r.strategy] = e, max(top, e), max(dd, (max(top, e) - e) / max(top, e))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k][2]) < 1e-9 for k in want)
