@@ -1,9 +1,10 @@
 """Global removal of repeated passages of two lines or more.
 
-``passages`` and ``without_passages`` take every two neighbouring lines with words as a unit, so a passage
-is found wherever it stands: a pair that has an earlier occurrence goes, and overlapping pairs unite to the
+``passages`` and ``without_passages`` find repeats by chunks with content-defined borders, as below, and then extend them line by line:
+of the lines that no repeated chunk covers, with their neighbours on both sides, every two neighbouring ones with words are looked up too.
+So a passage is found wherever it stands: a chunk or pair that has an earlier occurrence goes, and overlapping ones unite to the
 whole equal passage. Digests find candidates, and the bytes of all candidates are compared. A pair that
-overlaps its own first occurrence stays (three equal lines in a row). Lines without words belong to the pair
+overlaps its own first occurrence stays (three equal lines in a row). Lines without words belong to the pair or chunk
 around them. Each line that goes stands in an earlier place; a single repeated line stays.
 
 ``repeats`` and ``deduplicate`` are the coarser form by chunks with content-defined borders; it finds only
@@ -122,8 +123,19 @@ def pairs_of(text: bytes) -> Iterator[tuple[int, int]]:
         at = stop + 1
 
 
-def pairs(keyed: DataFrame) -> DataFrame:
-    """(_id, _hash, start, stop, size, digest) of the line pairs of keyed texts; stop is after the line break, size before it."""
+def whole_chunks(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, stop) from the first to the last line with words of each chunk that has two of them, without the last line break."""
+    for start, stop, _ in chunks_of(text):
+        inside = list(pairs_of(text[start:stop]))
+        if inside:
+            yield start + inside[0][0], start + inside[-1][1]
+
+
+def units(keyed: DataFrame) -> DataFrame:
+    """(_id, _hash, start, stop, size, digest, within) of the chunks and line pairs of keyed texts.
+
+    ``within``: start of the chunk that holds a pair, -1 if none does, null for chunks. Stop is after the line break, size before it.
+    """
     kind = dict(keyed.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,19 +144,32 @@ def pairs(keyed: DataFrame) -> DataFrame:
         from .units import blocks
 
         for batch in blocks(batches, "_text"):
-            rows, starts, stops, sizes, digests = [], [], [], [], []
+            rows, starts, stops, sizes, digests, holders = [], [], [], [], [], []
+
+            def add(i, text, start, stop, within):
+                rows.append(i)
+                starts.append(start)
+                stops.append(min(stop + 1, len(text)))
+                sizes.append(stop - start)
+                digests.append(xxh3_64_intdigest(text[start:stop]) - (1 << 63))
+                holders.append(within)
+
             for i, text in enumerate(batch.column("_text").cast(pa.binary()).to_pylist()):
-                for start, stop in pairs_of(text) if b"\n" in text else ():
-                    rows.append(i)
-                    starts.append(start)
-                    stops.append(min(stop + 1, len(text)))
-                    sizes.append(stop - start)
-                    digests.append(xxh3_64_intdigest(text[start:stop]) - (1 << 63))
+                if b"\n" not in text:
+                    continue
+                held, at = list(whole_chunks(text)), 0
+                for start, stop in held:
+                    add(i, text, start, stop, None)
+                for start, stop in pairs_of(text):
+                    while at < len(held) and held[at][1] <= start:
+                        at += 1
+                    inside = at < len(held) and held[at][0] <= start and stop <= held[at][1]
+                    add(i, text, start, stop, held[at][0] if inside else -1)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_hash").take(at), *(pa.array(x, pa.int32()) for x in (starts, stops, sizes)),
-                                              pa.array(digests, pa.int64())], ["_id", "_hash", "start", "stop", "size", "digest"])
+                                              pa.array(digests, pa.int64()), pa.array(holders, pa.int32())], ["_id", "_hash", "start", "stop", "size", "digest", "within"])
 
-    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, start int, stop int, size int, digest bigint")
+    return map_arrow(keyed, run, f"_id {kind}, _hash bigint, start int, stop int, size int, digest bigint, within int")
 
 
 def _with_bodies(rows: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -158,12 +183,20 @@ def _with_bodies(rows: DataFrame, keyed: DataFrame) -> DataFrame:
     return found.select("_id", "_hash", F.inline("x"))
 
 
+def _repeated(found: DataFrame, keyed: DataFrame) -> DataFrame:
+    total = found.count()
+    return first_kept(materialize(_with_bodies(candidates(found, total), keyed), "candidates"), total, same=True)
+
+
 def passage_removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = keyed_texts(docs, id_col, text_col)
-    found = materialize(pairs(keyed), "line-pairs")
-    total = found.count()
-    rows = materialize(_with_bodies(candidates(found, total), keyed), "candidates")
-    return runs(first_kept(rows, total, same=True))
+    found = materialize(units(keyed), "line-units")
+    gone = materialize(_repeated(found.filter("within IS NULL").drop("within"), keyed), "repeated-chunks")
+    # No pair of a repeated chunk is the first of its kind, so only the others are looked up.
+    covered = gone.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), F.col("start").alias("_s")).distinct()
+    same = found["_id"].eqNullSafe(F.col("_i")) & (found["_hash"] == F.col("_h")) & (found["within"] == F.col("_s"))
+    pairs = materialize(found.filter("within IS NOT NULL").join(covered, same, "left_anti").drop("within"), "line-pairs")
+    return runs(gone.unionByName(_repeated(pairs, keyed)))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
