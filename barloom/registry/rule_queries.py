@@ -10,8 +10,9 @@ from ..functions.indicators import ALL_FEATURES, STATEFUL, features, tiled_featu
 from ..functions.proofs import prove
 from ..operators.tiling import Tiles, drop_halo
 from ..session import materialize
+from ..sources.bars import lineitem_bars
 from . import sqlkit as Q
-from .common import Registry, bars_of, rounded
+from .common import Registry, bars_of, rounded, table
 
 # Rules used across the queries.
 RULES = {
@@ -188,7 +189,8 @@ def warmups(spark, d):
 
 def quality_query(spark, d):
     names = ["EMA10", "EMA200", "RSI14", "MACD", "ADX"]
-    return M.quality(features(bars_of(spark, d, "lineitem"), names), names, 200)
+    bars = lineitem_bars(table(spark, d, "lineitem"), columns=["high", "low", "close"])
+    return M.quality(features(bars, names), names, 200)
 
 
 def clamped(spark, d):

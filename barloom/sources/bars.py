@@ -38,6 +38,7 @@ def build_bars(
     price: Column,
     volume: Column,
     width_ms: int,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Aggregate raw trades/events into bars, one per symbol and time bucket.
 
@@ -72,18 +73,20 @@ def build_bars(
         ((F.col("slot") + 1) * width_ms).alias("close_ms"),
         F.col("slot").alias("src_row"),
     ).drop("slot")
-    return index_bars(bars, width_ms)
+    return index_bars(bars, width_ms, columns)
 
 
-def index_bars(bars: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
+def index_bars(bars: DataFrame, width_ms: int = HOUR_MS, columns: list[str] | None = None) -> DataFrame:
     """Dense ``bar_idx`` per symbol in close-time order.
 
     The un-numbered bars are written once, so the raw rows are read once however
-    many branches later stages need; the numbering itself stays lazy.
+    many branches later stages need; the numbering itself stays lazy. With ``columns``, only
+    these are built, besides symbol, index and times.
     """
-    bars = materialize(bars, "bars")
+    kept = BAR_COLUMNS if columns is None else [c for c in BAR_COLUMNS if c in ("symbol", "bar_idx", "open_ms", "close_ms", *columns)]
+    bars = materialize(bars.select(*[c for c in bars.columns if c in kept]), "bars")
     part = F.expr(f"close_ms div {width_ms * 4096}")
-    return number_rows(bars, ["symbol"], [F.col("close_ms")], part, "bar_idx").select(*BAR_COLUMNS)
+    return number_rows(bars, ["symbol"], [F.col("close_ms")], part, "bar_idx").select(*kept)
 
 
 # --- driver tables -------------------------------------------------------
@@ -94,11 +97,11 @@ def event_bars(events: DataFrame, width_ms: int = HOUR_MS) -> DataFrame:
     )
 
 
-def lineitem_bars(lineitem: DataFrame, symbol: str = "l_suppkey", width_ms: int = DAY_MS) -> DataFrame:
+def lineitem_bars(lineitem: DataFrame, symbol: str = "l_suppkey", width_ms: int = DAY_MS, columns: list[str] | None = None) -> DataFrame:
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return build_bars(
         lineitem, F.col(symbol), micros(F.col("l_shipdate")), key,
-        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), width_ms,
+        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), width_ms, columns,
     )
 
 

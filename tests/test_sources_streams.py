@@ -110,3 +110,11 @@ def test_kline_scan_keeps_rows_that_parse(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1, i), 1, "view", 0.0 if i == 2 else 5.0, "{}") for i in range(4)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     assert sorted(r.low for r in kline_scan(spark, str(tmp_path)).collect()) == [0.0, 5.0, 5.0, 5.0]
+
+
+def test_bars_of_some_columns(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    some = B.lineitem_bars(rows, "l_returnflag", columns=["high", "low", "close"])
+    assert some.columns == ["symbol", "bar_idx", "open_ms", "close_ms", "high", "low", "close"]
+    whole = B.lineitem_bars(rows, "l_returnflag")
+    assert whole.columns == B.BAR_COLUMNS and whole.select(*some.columns).exceptAll(some).isEmpty() and whole.count() == some.count()
