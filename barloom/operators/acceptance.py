@@ -1,94 +1,196 @@
 """Which rows are accepted when that depends on how many rows before them were.
 
-Both rules below read the number of rows accepted so far, of all keys, so they are sequential. They are solved as a fixed point:
-from a guess of the accepted rows follow the counts, from the counts each key's accepted rows, independently of the other keys.
-Where a guess is right up to some row, the next one is right up to the next row that it decides, so the only fixed point is what
-a row-by-row pass would accept; a guess from plain positions needs a few rounds. Each round is a written table.
+Both rules below read the number of rows accepted so far, of all keys, so they are sequential: one row more or less moves every later
+decision of ``novelty``, and a fixed point over guesses of the accepted rows needed about as many rounds as there were tiles. Rows are cut into
+tiles of bounded size along the order. A tile is one pass of one task, from the state that the tile before it wrote; the state is bounded by
+the window. No task sees more than a tile, and no row is passed over a second time unless a guess of a tile's first state was wrong.
+
+Where the state is soon forgotten (``recent_distinct``), all tiles run at once, each from the state that the rows before it leave behind. A tile
+whose state is not the one that the tile before it ended with runs again, so the result is that of a row-by-row pass in any case.
 """
 
 from __future__ import annotations
 
+import hashlib
+import sys
+import uuid
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .selection import runs, select_trades
+from ..session import materialize, shared_folder
+from .selection import runs
 from .tiling import running_offset
 
-PART_ROWS = 65536
-
-
-def fixed_point(rows: DataFrame, guess: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """The set of ``at`` that ``step`` gives back. ``rows`` and the guess are written tables."""
-    taken = guess
-    while True:
-        new = materialize(step(rows, taken), "accepted")
-        union = taken.select("at").unionByName(new.select("at")).groupBy("at").count().filter("count = 1")
-        if not union.limit(1).count():
-            return new
-        taken = new
-
-
-def accepted_before(rows: DataFrame, taken: DataFrame) -> DataFrame:
-    """``rows`` with ``before``: how many of ``taken`` have a smaller ``at``; and ``_in``: whether it is one of them."""
-    marked = rows.join(taken.select("at", F.lit(1).alias("_in")), "at", "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
-    marked = marked.withColumn("_part", F.expr(f"at div {PART_ROWS}"))
-    totals = marked.groupBy("_part").agg(F.sum("_in").alias("_n")).withColumn("_all", F.lit(0))
-    offsets = running_offset(totals, ["_all"], "_part", "_n", "_off").select("_part", "_off")
-    w = Window.partitionBy("_part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return marked.join(offsets, "_part").withColumn("before", F.col("_off") + F.coalesce(F.sum("_in").over(w), F.lit(0))).drop("_part", "_off")
+# Ship this module's functions by value: executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
+# A part is a range of the order; a tile is about so many parts of rows, and a guess reads about so many parts before it.
+PART_ROWS, TILE_PARTS, GUESS_PARTS = 65536, 8, 2
+# Rows of a tile as its task reads them, in this order.
+STATE, BEFORE, OWN = 0, 1, 2
+RESULT = "tile long, kind string, at long, key string, n long"
+
+
+class Recent:
+    """The keys of the last ``window`` accepted rows."""
+
+    def __init__(self, window: int):
+        self.window, self.recent, self.held = window, deque(), set()
+
+    def load(self, keys: list, counts: list) -> None:
+        self.recent, self.held = deque(keys), set(keys)
+
+    def state(self) -> tuple[list, list]:
+        return list(self.recent), [0] * len(self.recent)
+
+    def accepted(self, keys: list) -> list[int]:
+        window, recent, held, taken = self.window, self.recent, self.held, []
+        for i, key in enumerate(keys):
+            if key not in held:
+                taken.append(i)
+                recent.append(key)
+                held.add(key)
+                if len(recent) > window:
+                    held.discard(recent.popleft())
+        return taken
+
+
+class Novel:
+    """Accepted rows by family and their total, halved together when the total passes twice the window."""
+
+    def __init__(self, keep: int, window: int):
+        self.keep, self.window, self.counts, self.total = keep, window, {}, 0
+
+    def load(self, keys: list, counts: list) -> None:
+        self.total, self.counts = counts[0], dict(zip(keys[1:], counts[1:], strict=True))
+
+    def state(self) -> tuple[list, list]:
+        return [None, *self.counts], [self.total, *self.counts.values()]
+
+    def accepted(self, keys: list) -> list[int]:
+        keep, most, counts, total, taken = self.keep, 2 * self.window, self.counts, self.total, []
+        for i, key in enumerate(keys):
+            count = counts.get(key, 0)
+            if count < keep:
+                counts[key] = count + 1
+                total += 1
+                taken.append(i)
+                if total > most:
+                    # At most twice the window of families have a count.
+                    counts, total = {k: n >> 1 for k, n in counts.items() if n > 1}, total >> 1
+        self.counts, self.total = counts, total
+        return taken
+
+
+def _digest(scan) -> str:
+    return hashlib.blake2b(repr(scan.state()).encode(), digest_size=16).hexdigest()
+
+
+def _scanned(new: Callable[[], Recent | Novel]):
+    """Pass the rows of whole tiles, sorted by (tile, role, at), through a scan: accepted rows, the state at the end, digests of both states."""
+
+    def result(tile, kind, at, keys=None, counts=None):
+        size = len(at)
+        columns = {"tile": [tile] * size, "kind": [kind] * size, "at": at, "key": keys or [None] * size, "n": counts or [0] * size}
+        return pd.DataFrame(columns).astype({"tile": "int64", "at": "int64", "n": "int64", "key": "object"})
+
+    def finish(tile, scan, first):
+        keys, counts = scan.state()
+        yield result(tile, "state", list(range(len(keys))), keys, counts)
+        yield result(tile, "came", [0], [first])
+        yield result(tile, "left", [0], [_digest(scan)])
+
+    def run(batches):
+        tile = scan = first = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for piece, edges in runs([pdf], ["tile", "role"]):
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    own, role = int(piece["tile"].iat[lo]), int(piece["role"].iat[lo])
+                    if own != tile:
+                        if scan is not None:
+                            yield from finish(tile, scan, first or _digest(scan))
+                        tile, scan, first, held = own, new(), None, ([], [])
+                    keys = [None if k is None or k != k else k for k in piece["key"].iloc[lo:hi].tolist()]
+                    if role == STATE:
+                        held[0].extend(keys)
+                        held[1].extend(piece["n"].iloc[lo:hi].tolist())
+                        continue
+                    if held[1]:
+                        scan.load(*held)
+                        held = ([], [])
+                    if role == OWN and first is None:
+                        first = _digest(scan)
+                    taken = scan.accepted(keys)
+                    if role == OWN and taken:
+                        at = piece["at"].iloc[lo:hi].to_numpy()[taken]
+                        yield result(tile, "taken", at)
+        if scan is not None:
+            yield from finish(tile, scan, first or _digest(scan))
+
+    return run
+
+
+def _tiled(df: DataFrame, key: str, order: str, guess: bool) -> DataFrame:
+    """Rows as a written table by tile; with ``guess``, the last rows before a tile lie in it too."""
+    rows = df.select(F.col(order).cast("long").alias("at"), F.col(key).cast("string").alias("key")).filter("at IS NOT NULL").withColumn("_part", F.expr(f"at div {PART_ROWS}"))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    size = PART_ROWS * TILE_PARTS
+    of = running_offset(sizes, ["_all"], "_part", "_n", "_off").select("_part", F.expr(f"_off div {size}").alias("tile"), F.expr(f"(_off + {PART_ROWS * GUESS_PARTS}) div {size}").alias("_next"))
+    rows = rows.join(of, "_part")
+    if guess:
+        roles = F.expr(f"CASE WHEN _next > tile THEN array(struct(tile, {OWN} AS role), struct(_next AS tile, {BEFORE} AS role)) ELSE array(struct(tile, {OWN} AS role)) END")
+        rows = rows.withColumn("_r", F.explode(roles)).select("at", "key", "_r.role", "_r.tile")
+    else:
+        rows = rows.select("at", "key", F.lit(OWN).alias("role"), "tile")
+    return materialize(rows.repartition("tile").sortWithinPartitions("tile", "role", "at"), "tiles", by=["tile"])
+
+
+def accept(df: DataFrame, key: str, order: str, new: Callable[[], Recent | Novel], guess: bool) -> DataFrame:
+    """Rows that a pass in ``order`` through ``new()`` accepts, see the module's text."""
+    spark, rows, scan = df.sparkSession, _tiled(df, key, order, guess), _scanned(new)
+    folder = f"{shared_folder(spark)}/barloom/accepted-{uuid.uuid4().hex}"
+    read = lambda *parts: spark.read.schema(RESULT).parquet(*[f"{folder}/{p}" for p in parts])
+    last = rows.agg(F.max("tile")).first()[0]
+    again, came, left = [], {}, {}
+    if guess:
+        rows.select("tile", "role", "at", "key", F.lit(0).cast("long").alias("n")).repartition("tile").sortWithinPartitions("tile", "role", "at").mapInPandas(scan, RESULT).write.parquet(f"{folder}/all")
+        for r in read("all").filter("kind IN ('came', 'left')").collect():
+            (came if r.kind == "came" else left)[r.tile] = r.key
+    for tile in range(0 if last is None else last + 1):
+        if guess and (tile == 0 or came.get(tile) == left.get(tile - 1)):
+            continue
+        own = rows.filter((F.col("tile") == tile) & (F.col("role") == OWN)).select("tile", "role", "at", "key", F.lit(0).cast("long").alias("n"))
+        if tile:
+            state = read(tile - 1 if tile - 1 in again else "all").filter((F.col("tile") == tile - 1) & (F.col("kind") == "state"))
+            own = state.select(F.lit(tile).cast("long").alias("tile"), F.lit(STATE).alias("role"), "at", "key", "n").unionByName(own)
+        own.coalesce(1).sortWithinPartitions("tile", "role", "at").mapInPandas(scan, RESULT).write.parquet(f"{folder}/{tile}")
+        again.append(tile)
+        if guess:
+            left[tile] = read(tile).filter("kind = 'left'").first().key
+    taken = [read("all").filter(~F.col("tile").isin(again))] if guess else []
+    taken += [read(*again)] if again else []
+    if not taken:
+        return df.limit(0)
+    at = taken[0] if len(taken) == 1 else taken[0].unionByName(taken[1])
+    # Written small, but as many rows as the input may have: not to be broadcast.
+    return df.join(at.filter("kind = 'taken'").select(F.col("at").alias(order)).hint("merge"), order, "left_semi")
 
 
 def recent_distinct(df: DataFrame, key: str, order: str, window: int = 1000) -> DataFrame:
-    """Rows whose key none of the last ``window`` accepted rows has. ``order``: distinct long integers from 0 up, not far apart."""
-    rows = materialize(df.select(F.col(order).cast("bigint").alias("at"), F.col(key).cast("string").alias("symbol")), "candidates")
-
-    def step(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        counted = materialize(accepted_before(rows, taken), "counted")
-        # A row accepted as number p lets its key in again after number p + window.
-        ends = counted.filter("_in = 1").select((F.col("before") - window).alias("before"), F.col("at").alias("exit_idx"))
-        labels = counted.join(ends, "before", "left").select(
-            F.lit(0).alias("sid"), F.lit(0).cast("bigint").alias("grp"), "symbol", F.col("at").alias("signal_idx"), F.coalesce("exit_idx", F.lit((1 << 62) - 2)).alias("exit_idx"))
-        return select_trades(labels, {0: 0}, {0: 0}).select(F.col("signal_idx").alias("at"))
-
-    taken = fixed_point(rows, materialize(rows.select("at"), "guess"), step)
-    return df.join(taken.withColumnRenamed("at", order), order, "left_semi")
-
-
-def _carries(batches):
-    """How much of a family's count each of its epochs starts with: half of what the one before ended with, once for each epoch between."""
-    for pdf, edges in runs(batches, ["family"]):
-        came, epoch, n, keep = [], pdf["epoch"].to_numpy(), pdf["n"].to_numpy(), pdf["keep"].to_numpy()
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            carry = 0
-            for i in range(lo, hi):
-                if i > lo:
-                    carry = min(carry + int(n[i - 1]), max(carry, int(keep[i - 1]))) >> min(62, int(epoch[i] - epoch[i - 1]))
-                came.append(carry)
-        yield pd.DataFrame({"family": pdf["family"].to_numpy(), "epoch": epoch, "carry": came})
+    """Rows whose key none of the last ``window`` accepted rows has. ``order``: distinct long integers, not far apart."""
+    return accept(df, key, order, lambda: Recent(window), True)
 
 
 def novelty(df: DataFrame, family: str, order: str, keep: int = 6, window: int = 5000) -> DataFrame:
     """Rows whose family counts fewer than ``keep`` accepted rows; all counts halve when the accepted rows, halved with them, pass twice the window.
 
-    ``order``: distinct long integers from 0 up. A family has a row per epoch, of ``window`` accepted rows and more, in the scan of carries.
+    ``order``: distinct long integers, not far apart.
     """
-    rows = materialize(df.select(F.col(order).cast("bigint").alias("at"), F.col(family).cast("string").alias("family")), "candidates")
-
-    def step(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        # The first epoch takes 2 * window + 1 accepted rows, all later ones window + 1.
-        epoch = F.expr(f"CASE WHEN before < {2 * window + 1} THEN 0 ELSE 1 + (before - {2 * window + 1}) div {window + 1} END").cast("bigint")
-        counted = materialize(accepted_before(rows, taken).select("at", "family", epoch.alias("epoch"), F.expr(f"at div {PART_ROWS}").alias("part")), "counted")
-        sizes = counted.groupBy("family", "epoch", "part").agg(F.count(F.lit(1)).alias("n"))
-        totals = sizes.groupBy("family", "epoch").agg(F.sum("n").alias("n")).withColumn("keep", F.lit(keep))
-        carries = totals.repartition("family").sortWithinPartitions("family", "epoch").mapInPandas(_carries, "family string, epoch long, carry int")
-        earlier = running_offset(sizes, ["family", "epoch"], "part", "n", "off").select("family", "epoch", "part", "off")
-        place = F.col("off") + F.row_number().over(Window.partitionBy("family", "epoch", "part").orderBy("at"))
-        ranked = counted.join(earlier, ["family", "epoch", "part"]).withColumn("place", place)
-        return ranked.join(carries, ["family", "epoch"]).filter(F.col("place") + F.col("carry") <= keep).select("at")
-
-    taken = fixed_point(rows, materialize(rows.select("at"), "guess"), step)
-    return df.join(taken.withColumnRenamed("at", order), order, "left_semi")
+    return accept(df, family, order, lambda: Novel(keep, window), False)

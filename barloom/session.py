@@ -58,13 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Cuts lineage, survives lost executors and keeps column pruning and
-    predicate pushdown for everything downstream.
+    predicate pushdown for everything downstream. ``by``: columns that name folders.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

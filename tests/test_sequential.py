@@ -50,6 +50,36 @@ def test_novelty(spark, monkeypatch, seed, window, keep, part):
     assert 0 < len(want) < 250
 
 
+@pytest.fixture
+def jobs(spark):
+    """Counts the Spark jobs of a call."""
+    def run(call):
+        group = f"jobs-{random.random()}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = call()
+        spark.sparkContext.setJobGroup("", "")
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    return run
+
+
+def test_novelty_jobs(spark, monkeypatch, jobs):
+    """One row more or less moves all later halvings: still one pass over each tile, with a null family and gaps in the order."""
+    monkeypatch.setattr(acceptance, "PART_ROWS", 64)
+    monkeypatch.setattr(acceptance, "TILE_PARTS", 1, raising=False)
+    rng, counts, total, want = random.Random(1), Counter(), 0, []
+    keys = [None if rng.random() < 0.1 else "hot" if rng.random() < 0.3 else f"k{i // 90}-{rng.randint(0, 25)}" for i in range(700)]
+    for i, k in enumerate(keys):
+        if counts[k] < 3:
+            counts[k] += 1
+            total += 1
+            want.append(i + 1000 * (i > 400))
+            if total > 14:
+                counts, total = Counter({f: c // 2 for f, c in counts.items()}), total // 2
+    df = spark.createDataFrame([(i + 1000 * (i > 400), k) for i, k in enumerate(keys)], "i long, f string").repartition(5)
+    got, n = jobs(lambda: sorted(r.i for r in acceptance.novelty(df, "f", "i", 3, 7).collect()))
+    assert got == want and n <= 10 + 3 * 12
+
+
 def test_rule_texts(spark):
     """Brackets close where subtrees end, at any depth."""
     rule = ("AND", ("OR", ("NOT", ("NOT", ("GT", "RSI14", 30.0))), ("Rising", "EMA20", 3)), ("AND", ("CrossUp", "EMA10", "EMA20"), ("NOT", ("Between", "ADX", 9.0, 27.0))))
