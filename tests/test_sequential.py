@@ -80,6 +80,23 @@ def test_novelty_jobs(spark, monkeypatch, jobs):
     assert got == want and n <= 10 + 3 * 12
 
 
+@pytest.mark.parametrize(("span", "most"), [(400, 24), (9, 60)])
+def test_recent_distinct_jobs(spark, monkeypatch, jobs, span, most):
+    """Tiles from guessed states; nine keys in turn never leave a window of twelve, so that each guess is wrong and its tile runs again."""
+    monkeypatch.setattr(acceptance, "PART_ROWS", 64)
+    monkeypatch.setattr(acceptance, "TILE_PARTS", 1, raising=False)
+    monkeypatch.setattr(acceptance, "GUESS_PARTS", 1, raising=False)
+    rng, recent, want = random.Random(3), deque(maxlen=12), []
+    keys = [f"k{i % 9 if span == 9 else rng.randint(0, span)}" for i in range(600)]
+    for i, k in enumerate(keys):
+        if k not in recent:
+            recent.append(k)
+            want.append(i)
+    df = spark.createDataFrame(list(enumerate(keys)), "i long, f string").repartition(5)
+    got, n = jobs(lambda: sorted(r.i for r in acceptance.recent_distinct(df, "f", "i", 12).collect()))
+    assert got == want and n <= most
+
+
 def test_rule_texts(spark):
     """Brackets close where subtrees end, at any depth."""
     rule = ("AND", ("OR", ("NOT", ("NOT", ("GT", "RSI14", 30.0))), ("Rising", "EMA20", 3)), ("AND", ("CrossUp", "EMA10", "EMA20"), ("NOT", ("Between", "ADX", 9.0, 27.0))))
