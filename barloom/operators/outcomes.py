@@ -3,8 +3,8 @@
 A signal at bar t enters at the open of t+1.  Its outcome depends only on the
 bars that follow, never on other trades, so all signals are labelled
 independently: each event is range-joined with its next bars on
-``(symbol, entry_idx div horizon)`` and the first bar that triggers an exit
-wins.  Bars are duplicated into two buckets, events into one, so every row of
+``(symbol, entry_idx div width)`` and the first bar that triggers an exit
+wins.  Bars near a bucket's start are copied to the bucket before, events lie in one, so every row of
 an event meets in one partition and the aggregate needs no further shuffle.
 """
 
@@ -25,6 +25,8 @@ REASONS = {
     6: "exit_rule", 7: "max_hold", 8: "end_of_data",
 }
 NEEDED = ["ATR14", "ATR14_SMA50", "VolZ20", "Active"]
+# By how much thin volume on the bar before multiplies slippage. The bounds leave room for rounding: counts give scores of exactly -1 and -2.
+THIN = f"CASE WHEN {lag('VolZ20')} < -2.000000001D THEN 4 WHEN {lag('VolZ20')} < -1.000000001D THEN 2 ELSE 1 END"
 
 
 def prepared(bars: DataFrame, strategies: list[Strategy], tiles: Tiles = Tiles()) -> DataFrame:
@@ -42,6 +44,41 @@ def prepared(bars: DataFrame, strategies: list[Strategy], tiles: Tiles = Tiles()
     return t.select("*", *sig, *out)
 
 
+def entry_calls(strategies: list[Strategy]) -> dict[str, str]:
+    """What an entry reads of the bars before it."""
+    calls = {"thin": THIN} | {f"was_{i}": f"coalesce({lag(f'sig_{i}')}, false)" for i in range(len(strategies))}
+    if any(x and x[0] == "atr" for s in strategies for x in (s.stop, s.target)):
+        calls["r_atr"] = lag("ATR14")
+    for i, s in enumerate(strategies):
+        if s.stop and s.stop[0] == "swing":
+            n = int(s.stop[1])
+            over = f"OVER ({PART} ROWS BETWEEN {n + 1} PRECEDING AND 2 PRECEDING)"
+            calls[f"sw_{i}"] = f"least({lag('close')}, min(low) {over})" if s.direction == 1 else f"greatest({lag('close')}, max(high) {over})"
+    return calls
+
+
+def path_calls(strategies: list[Strategy]) -> dict[str, str]:
+    """What a bar of a path reads of the bars before it."""
+    calls = {"thin": THIN}
+    if any(s.trail and s.trail[0] == "swing" for s in strategies):
+        calls["low51"] = f"max(low) OVER ({PART} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW)"
+        calls["high51"] = f"min(high) OVER ({PART} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW)"
+    if any(s.exit is not None for s in strategies):
+        calls |= {f"left_{i}": f"coalesce({lag(f'out_{i}')}, false)" for i in range(len(strategies))}
+    return calls
+
+
+def looked_back(prep: DataFrame, strategies: list[Strategy], tiles: Tiles = Tiles()) -> DataFrame:
+    """One row per bar, with nothing but what ``entries`` and ``path_bars`` read: once written, neither shuffles bars by tile again."""
+    calls = entry_calls(strategies) | path_calls(strategies)
+    atr = ["ATR14"] if any(s.trail for s in strategies) else []
+    return _read_back(prep, calls, tiles).select("symbol", "bar_idx", "open_ms", "open", "high", "low", "close", *atr, *calls)
+
+
+def _read_back(prep: DataFrame, calls: dict[str, str], tiles: Tiles) -> DataFrame:
+    return prep if set(calls) <= set(prep.columns) else drop_halo(_apply(prep, calls, set(calls)), tiles.size)
+
+
 def _sql(value) -> str:
     return "CAST(NULL AS DOUBLE)" if value is None else f"{float(value)!r}D"
 
@@ -52,15 +89,8 @@ def entries(prep: DataFrame, strategies: list[Strategy], ends: DataFrame | None
     ``ends`` (symbol, grp, lo_idx, end_idx) gives the windows signals may lie in,
     one group of events per window; by default the whole series is group 0.
     """
-    calls = {"r_atr": lag("ATR14"), "r_volz": lag("VolZ20"), "r_close": lag("close")}
-    for i, s in enumerate(strategies):
-        calls[f"was_{i}"] = f"coalesce({lag(f'sig_{i}')}, false)"
-        if s.stop and s.stop[0] == "swing":
-            n = int(s.stop[1])
-            over = f"OVER ({PART} ROWS BETWEEN {n + 1} PRECEDING AND 2 PRECEDING)"
-            calls[f"sw_{i}"] = f"least(r0, min(low) {over})" if s.direction == 1 else f"greatest(r0, max(high) {over})"
-            calls[f"sw_{i}"] = calls[f"sw_{i}"].replace("r0", lag("close"))
-    at_entry = drop_halo(_apply(prep, calls, set(calls)), tiles.size)
+    at_entry = _read_back(prep, entry_calls(strategies), tiles)
+    r_atr = "r_atr" if "r_atr" in at_entry.columns else "CAST(NULL AS DOUBLE) AS r_atr"
     rows = []
     for i, s in enumerate(strategies):
         swing = f"sw_{i}" if s.stop and s.stop[0] == "swing" else "CAST(NULL AS DOUBLE)"
@@ -74,10 +104,10 @@ def entries(prep: DataFrame, strategies: list[Strategy], ends: DataFrame | None
             f"{_sql(s.slip_bps)} AS slip, {s.max_hold} AS max_hold) END"
         )
     ev = at_entry.selectExpr(
-        "symbol", "bar_idx AS entry_idx", "open_ms AS entry_ms", "open", "r_atr", "r_volz",
+        "symbol", "bar_idx AS entry_idx", "open_ms AS entry_ms", "open", r_atr, "thin",
         f"explode(filter(array({', '.join(rows)}), x -> x IS NOT NULL)) AS s",
-    ).select("symbol", "entry_idx", "entry_ms", "open", "r_atr", "r_volz", "s.*")
-    ev = ev.selectExpr("*", f"open * (1 + dir * {slip_sql('r_volz')}) AS entry_price")
+    ).select("symbol", "entry_idx", "entry_ms", "open", "r_atr", "thin", "s.*")
+    ev = ev.selectExpr("*", f"open * (1 + dir * {slip_sql()}) AS entry_price")
     side = lambda kind, x, sign, fallback: (
         f"CASE {kind} WHEN 'fixed' THEN entry_price * (1 {sign} dir * {x} / 100) "
         f"WHEN 'atr' THEN CASE WHEN r_atr > 0 THEN entry_price {sign} dir * {x} * r_atr "
@@ -106,32 +136,34 @@ def windowed(rows: DataFrame, windows: DataFrame, idx: str, tile: int = 8192) ->
     return joined.filter(F.expr(f"{idx} >= lo_idx AND {idx} < end_idx")).drop("_t")
 
 
-def slip_sql(volz: str, slip: str = "slip") -> str:
-    """Slippage as a fraction; thin volume on the reference bar multiplies it.
-
-    The bounds leave room for rounding: counts give scores of exactly -1 and -2.
-    """
-    return f"({slip} / 1e4D * CASE WHEN {volz} < -2.000000001D THEN 4 WHEN {volz} < -1.000000001D THEN 2 ELSE 1 END)"
+def slip_sql(thin: str = "thin") -> str:
+    """Slippage as a fraction; thin volume on the reference bar multiplies it."""
+    return f"(slip / 1e4D * {thin})"
 
 
 def path_bars(prep: DataFrame, strategies: list[Strategy], tiles: Tiles = Tiles()) -> DataFrame:
-    """Bars as the outcome join needs them; ``outs`` holds last bar's exit rules by strategy."""
-    calls = {"volz": lag("VolZ20")}
-    if any(s.trail and s.trail[0] == "swing" for s in strategies):
-        calls["low51"] = f"max(low) OVER ({PART} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW)"
-        calls["high51"] = f"min(high) OVER ({PART} ROWS BETWEEN 50 PRECEDING AND CURRENT ROW)"
-    for i in range(len(strategies)):
-        calls[f"left_{i}"] = f"coalesce({lag(f'out_{i}')}, false)"
-    t = drop_halo(_apply(prep, calls, set(calls)), tiles.size)
-    outs = ", ".join(f"left_{i}" for i in range(len(strategies)))
-    swings = ["low51", "high51"] if "low51" in calls else ["CAST(NULL AS DOUBLE) AS low51", "CAST(NULL AS DOUBLE) AS high51"]
-    return t.selectExpr("symbol", "bar_idx", "open_ms", "open", "high", "low", "close", "ATR14 AS atr", "volz", *swings, f"array({outs}) AS outs")
+    """Bars as the outcome join needs them; ``outs`` holds last bar's exit rules by strategy, if there are any."""
+    t = _read_back(prep, path_calls(strategies), tiles)
+    cols = ["symbol", "bar_idx", "open_ms", "open", "high", "low", "close", "thin"]
+    if any(s.trail for s in strategies):
+        swings = ["low51", "high51"] if "low51" in t.columns else ["CAST(NULL AS DOUBLE) AS low51", "CAST(NULL AS DOUBLE) AS high51"]
+        cols += ["ATR14 AS atr", *swings]
+    if any(s.exit is not None for s in strategies):
+        cols.append(f"array({', '.join(f'left_{i}' for i in range(len(strategies)))}) AS outs")
+    return t.selectExpr(*cols)
+
+
+# Bars of a bucket, where horizons don't ask for more.
+WIDEST = 512
 
 
 def next_bars(events: DataFrame, bars: DataFrame, horizon: int, start: str = "entry_idx") -> DataFrame:
     """Events joined with their next ``horizon`` bars; adds ``pos`` and ``bucket``."""
-    left = events.withColumn("bucket", F.expr(f"({start}) div {horizon}"))
-    right = bars.withColumn("bucket", F.explode(F.expr(f"array(bar_idx div {horizon}, bar_idx div {horizon} - 1)")))
+    # Wide buckets: an event meets more bars that are filtered out, but few bars are shuffled twice.
+    width = max(horizon, min(4 * horizon, WIDEST))
+    left = events.withColumn("bucket", F.expr(f"({start}) div {width}"))
+    own = f"bar_idx div {width}"
+    right = bars.withColumn("bucket", F.explode(F.expr(f"CASE WHEN bar_idx % {width} < {horizon} THEN array({own}, {own} - 1) ELSE array({own}) END")))
     near = (F.col("bar_idx") >= F.expr(start)) & (F.col("bar_idx") < F.expr(start) + horizon)
     return left.join(right, ["symbol", "bucket"]).filter(near).withColumn("pos", F.col("bar_idx") - F.col("entry_idx"))
 
@@ -178,7 +210,7 @@ def _passes(events: DataFrame, bars: DataFrame, trailing: bool, span: int, most:
 
 def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> DataFrame:
     j = next_bars(events, bars, span, "entry_idx + seen").filter("bar_idx < end_idx AND (max_hold <= 0 OR bar_idx <= entry_idx + max_hold)")
-    j = j.withColumn("cut", F.expr(
+    j = j.withColumn("cut", F.expr("CAST(NULL AS DOUBLE)" if not trailing else
         "CASE trail_kind WHEN 1 THEN CASE WHEN atr > 0 THEN dir * close - trail_k * atr END "
         "WHEN 2 THEN CASE WHEN bar_idx > 50 THEN CASE WHEN dir = 1 THEN low51 ELSE -high51 END END END"))
     if trailing:
@@ -188,14 +220,14 @@ def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> Data
     else:
         j = j.withColumn("ss", F.col("live"))
     j = j.selectExpr(
-        "*", f"{slip_sql('volz')} AS sl",
-        """CASE WHEN pos > 0 AND dir * open >= dir * target THEN 1
+        "*", f"{slip_sql()} AS sl",
+        f"""CASE WHEN pos > 0 AND dir * open >= dir * target THEN 1
                 WHEN pos > 0 AND dir * open <= ss THEN 2
                 WHEN CASE WHEN dir = 1 THEN low ELSE -high END <= ss
                   THEN CASE WHEN trail_kind > 0 AND ss >= dir * entry_price THEN 4 ELSE 3 END
                 WHEN CASE WHEN dir = 1 THEN high ELSE -low END >= dir * target THEN 5
                 WHEN max_hold > 0 AND pos >= max_hold THEN 7
-                WHEN pos > 0 AND outs[sid] THEN 6 END AS code""",
+                {"WHEN pos > 0 AND outs[sid] THEN 6" if "outs" in bars.columns else ""} END AS code""",
     ).selectExpr(
         "*",
         """CASE WHEN code IN (3, 4) THEN dir * ss * (1 - dir * 2 * sl) WHEN code = 5 THEN target * (1 - dir * sl)
@@ -210,7 +242,7 @@ def _pass(events: DataFrame, bars: DataFrame, span: int, trailing: bool) -> Data
         F.min("hit").alias("exit_idx"), F.min_by("code", "hit").alias("exit_code"), F.min_by("px", "hit").alias("exit_price"),
         F.min_by("open_ms", "hit").alias("exit_ms"),
         F.max("bar_idx").alias("last_idx"), F.max_by("close", "bar_idx").alias("last_close"),
-        F.max_by("volz", "bar_idx").alias("last_volz"), F.max_by("open_ms", "bar_idx").alias("last_ms"),
+        F.max_by("thin", "bar_idx").alias("last_thin"), F.max_by("open_ms", "bar_idx").alias("last_ms"),
     )
 
 
@@ -220,7 +252,7 @@ def _close(out: DataFrame) -> DataFrame:
     out = out.selectExpr(
         "strategy", "sid", "grp", "symbol", "dir", "entry_idx - 1 AS signal_idx", "entry_idx", "entry_ms", "entry_price", "stop", "target",
         "fee", "slip", "trail_kind > 0 AS trails", "end_idx", "coalesce(exit_idx, last_idx) AS exit_idx", "coalesce(exit_ms, last_ms) AS exit_ms",
-        f"coalesce(exit_price, last_close * (1 - dir * {slip_sql('last_volz')})) AS exit_price",
+        f"coalesce(exit_price, last_close * (1 - dir * {slip_sql('last_thin')})) AS exit_price",
         f"element_at({names}, coalesce(exit_code, 8)) AS reason", "last_close",
     )
     return out.selectExpr(
@@ -230,7 +262,7 @@ def _close(out: DataFrame) -> DataFrame:
 
 def outcomes(bars: DataFrame, strategies: list[Strategy], ends: DataFrame | None = None, tiles: Tiles = Tiles()) -> DataFrame:
     """All labelled signals of the strategies, overlapping ones included."""
-    prep = materialize(prepared(bars, strategies, tiles), "prepared")
+    prep = materialize(looked_back(prepared(bars, strategies, tiles), strategies, tiles), "prepared")
     return label(entries(prep, strategies, ends, tiles), path_bars(prep, strategies, tiles), strategies)
 
 

@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars_of(spark: SparkSession, sf_dir: str, source: str = "events", width: int | None = None) -> DataFrame:
+def bars_of(spark: SparkSession, sf_dir: str, source: str = "events", width: int | None = None, columns: list[str] | None = None) -> DataFrame:
     build = {"events": B.event_bars, "orders": B.order_bars, "lineitem": B.lineitem_bars}[source]
     rows = table(spark, sf_dir, source)
+    if columns is not None:  # of lineitem bars only
+        return build(rows, columns=columns)
     return build(rows) if width is None else build(rows, width_ms=width)
 
 

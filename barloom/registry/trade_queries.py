@@ -29,13 +29,14 @@ BOOK = [LONG, SHORT, WIDE]
 MONEY = ["entry_price", "stop", "target", "exit_price", "pnl"]
 
 
-def labels(spark, d, strategies=BOOK, source="events"):
-    return X.outcomes(bars_of(spark, d, source), strategies)
+def labels(spark, d, strategies=BOOK, source="events", columns=None):
+    return X.outcomes(bars_of(spark, d, source, columns=columns), strategies)
 
 
-def book_trades(spark, d, strategies=BOOK, source="events"):
-    """Selected trades of a strategy book."""
-    lab = labels(spark, d, strategies, source)
+def book_trades(spark, d, strategies=BOOK, source="events", columns=None, keep=None):
+    """Selected trades of a strategy book, from bars of ``columns`` and with label columns ``keep`` only, if they are given."""
+    lab = labels(spark, d, strategies, source, columns)
+    lab = lab if keep is None else lab.select("sid", "grp", *keep)
     return select_trades(
         lab, {i: s.cooldown for i, s in enumerate(strategies)}, {i: s.max_losses for i, s in enumerate(strategies)})
 
@@ -117,7 +118,7 @@ def register(reg: Registry) -> None:
     for name, source in (("o15_simple", "orders"), ("o15_simple_hourly", "events")):
         reg.add(name, lambda s, d, source=source: shown(simple_engine.trades(bars_of(s, d, source), SIMPLE_PRESETS), simple),
                 show_sql(simple_cte(SIMPLE_PRESETS, source), "trades WHERE reason IS NOT NULL", simple))
-    reg.add("o10_supplier_trades", lambda s, d: shown(book_trades(s, d, [WIDE], "lineitem"), digits=9),
+    reg.add("o10_supplier_trades", lambda s, d: shown(book_trades(s, d, [WIDE], "lineitem", ["open", "high", "low", "close", "volume"], COLS), digits=9),
             show_sql(trades_cte([WIDE], "lineitem"), "trades", digits=9))
     reg.add("o11_excursions",
             with_trades(lambda s, t, b: rounded(X.excursions(t, b, HOLD), ["mfe", "mae"])),

@@ -85,6 +85,26 @@ def test_no_cartesian_product(walk):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_bars_of_outcomes_are_written_ready(walk, monkeypatch):
+    """Paths and entries are read off one written table: no bar is shuffled by tile again, and columns that no strategy reads are not in it."""
+    seen = []
+    label = O.label
+    monkeypatch.setattr(O, "label", lambda events, bars, *rest: seen.append((events, bars)) or label(events, bars, *rest))
+    O.outcomes(walk, [NO_CLOCK])
+    plan = seen[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in seen[0][0]._jdf.queryExecution().executedPlan().toString()
+    assert {"volume", "close_ms", "EMA10"}.isdisjoint(seen[0][1].columns)
+
+
+@pytest.mark.parametrize("horizon", [1, 7, 41, 300, 700])
+def test_next_bars(spark, walk, horizon):
+    """Every event meets its next bars once each, at the borders of buckets too."""
+    events = walk.filter("symbol = 'a' AND bar_idx % 5 <> 2").selectExpr("symbol", "bar_idx AS entry_idx")
+    got = O.next_bars(events, walk.select("symbol", "bar_idx"), horizon).select("symbol", "entry_idx", "bar_idx", "pos").collect()
+    want = [("a", e, e + k, k) for e in range(700) if e % 5 != 2 for k in range(min(horizon, 700 - e))]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_drawdown_and_growth_through_total_loss(spark):
     rnd = random.Random(3)
     rows = [("k", i, rnd.choice([0.1, -0.2, 0.3, -1.4, 0.05])) for i in range(60)] + [("z", i, p) for i, p in enumerate([0.5, -1.0, 0.2])]
