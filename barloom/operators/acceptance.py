@@ -1,7 +1,7 @@
 """Which rows are accepted when that depends on how many rows before them were.
 
 Both rules below read the number of rows accepted so far, of all keys, so they are sequential: one row more or less moves every later
-decision of ``novelty``, and a fixed point over guesses of the accepted rows needed about as many rounds as there were tiles. Rows are cut into
+decision of ``novelty``, so guesses of the accepted rows settle only slowly, from the front on. Rows are cut into
 tiles of bounded size along the order. A tile is one pass of one task, from the state that the tile before it wrote; the state is bounded by
 the window. No task sees more than a tile, and no row is passed over a second time unless a guess of a tile's first state was wrong.
 
