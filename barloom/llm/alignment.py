@@ -160,7 +160,7 @@ def aligned_texts(docs: DataFrame, a: str, b: str, text_col: str = "text") -> Da
                  *[lists(flat[m], n["pairs"]) for m in flat]],
                 ["_key", "_copies", *MEASURES, "groups_sha256", *flat])
 
-    return materialize(map_arrow(rows, run, ALIGNED), "aligned")
+    return materialize(map_arrow(rows, run, ALIGNED, caches=True), "aligned")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:

@@ -189,7 +189,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_pydict(out)
 
     schema = f"_id {kind}, ids array<int>" + (", decoded binary" if decoded else "")
-    return map_arrow(rows, run, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(rows, run, schema, caches=True).withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:

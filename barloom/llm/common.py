@@ -34,10 +34,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with a function of this package."""
+def map_arrow(df: DataFrame, function, schema: str, caches: bool = False) -> DataFrame:
+    """mapInArrow with a function of this package. Workers outlive operators: unless the function ``caches`` units, what others cached goes first."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        from .units import UnitCache
+
+        UnitCache.release()
+        return function(batches)
+
+    return df.mapInArrow(function if caches else run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -117,4 +117,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, id_co
         if held:
             yield flush()
 
-    return map_arrow(rows, run, schema).withColumnRenamed("_id", id_col)
+    return map_arrow(rows, run, schema, caches=True).withColumnRenamed("_id", id_col)

@@ -120,5 +120,5 @@ def count(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id"
                 [batch.column("_id"), pc.binary_length(texts).cast(pa.int64()), pa.array([lengths(t) for t in texts.to_pylist()], pa.int64())],
                 ["_id", "n_bytes", "n_tokens"])
 
-    out = map_arrow(rows, run, f"_id {kind}, n_bytes bigint, n_tokens bigint")
+    out = map_arrow(rows, run, f"_id {kind}, n_bytes bigint, n_tokens bigint", caches=True)
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

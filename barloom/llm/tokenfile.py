@@ -73,7 +73,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
                 f.close()
 
     schema = f"_id {kind}, part bigint, name string, width int, place bigint, n_tokens bigint"
-    return materialize(map_arrow(ordered, run, schema), "token-index")
+    return materialize(map_arrow(ordered, run, schema, caches=True), "token-index")
 
 
 def manifest(index: DataFrame) -> DataFrame:

@@ -90,6 +90,12 @@ class UnitCache:
         if UnitCache.grown > most:
             UnitCache.settle()
 
+    @classmethod
+    def release(cls) -> None:
+        """Let go of all units of this worker."""
+        for c in cls.every:
+            c.held, c.old, c.held_bytes, c.old_bytes = {}, {}, 0, 0
+
     @classmethod
     def settle(cls) -> None:
         """Bring all caches under the budget again; called each time that they have grown by a 64th of it."""

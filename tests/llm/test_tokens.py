@@ -6,6 +6,7 @@ from sys import getsizeof
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,6 +81,21 @@ def test_encode_and_decode(docs):
     assert empty.count() == 0 and bpe.decode(bpe.encode(docs.limit(0), ranks, P.PATTERN), ranks).count() == 0
 
 
+def test_workers_drop_units_of_other_operators(spark, docs):
+    """Workers are used again: a stage that caches nothing doesn't run beside the units of one that did."""
+    from barloom.llm.common import map_arrow
+
+    def held(batches):
+        from barloom.llm.units import UnitCache
+
+        yield from ()
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(c.held) + len(c.old) for c in UnitCache.every)])], ["n"])
+
+    assert packing.pack(docs, P.path("word_bpe_49k.json"), 2).count() > 0
+    assert map_arrow(spark.range(8).repartition(8), held, "n bigint", caches=True).agg(F.max("n")).first()[0] > 0
+    assert {r.n for r in map_arrow(spark.range(8).repartition(8), held, "n bigint").collect()} == {0}
+
+
 def test_caches_share_one_budget(monkeypatch):
     """Long units, short units and two caches never hold more than the budget, and answers stay right."""
     monkeypatch.setattr(UnitCache, "every", type(UnitCache.every)())
