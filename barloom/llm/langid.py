@@ -34,6 +34,8 @@ DIMENSIONS = 1024
 LANGUAGES = 8192
 # A text's vector in a prototype's sum, in units.
 SCALE = 1_000_000
+# A prototype's whole numbers in one.
+UNIT = 1 << 20
 # Bytes of text at once, distinct grams bound at once, letters whose vectors a worker remembers, partial prototypes a task holds.
 BLOCK, GRAMS, LETTERS, HELD = 1 << 20, 4096, 4096, 512
 
@@ -145,12 +147,15 @@ def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", lang_col
         from .units import blocks
 
         names, table = sent.value
+        # In two parts of whole numbers: their products are exact, so which rows share a block changes no digit.
+        high = np.rint(table * UNIT)
+        low = np.rint((table * UNIT - high) * UNIT)
         for batch in blocks(batches, "_text", BLOCK):
             own = bundle(batch.column("_text").to_pylist(), dimensions)
             size = lengths(own)
             pred, score = np.full(len(own), "und", object), np.zeros(len(own))
             if names:
-                cosine = own @ table.T / np.where(size > 0, size, 1)[:, None]
+                cosine = (own @ high.T + own @ low.T / UNIT) / UNIT / np.where(size > 0, size, 1)[:, None]
                 best = cosine.argmax(axis=1)
                 pred = np.where(size > 0, np.array(names, object)[best], "und")
                 score = np.where(size > 0, cosine[np.arange(len(own)), best].clip(0, 1), 0.0)
